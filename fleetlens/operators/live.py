@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.exprs import EVENTS, STATES, TRANSITIONS
-from fleetlens.operators.ordered import StateMachine, number_rows, running, scan
+from fleetlens.operators.ordered import StateMachine, is_hot, number_rows, running, scan
 
 NO_WORK_AT = 16
 DISCONNECT_AT = 64
@@ -89,12 +89,13 @@ def stalls(sweeps: DataFrame, order: list[str], keys: list[str] | None = None,
     flag = (F.col("workers") > 0) & (F.col("outstanding") > 0) & (F.col("leased") == 0)
     s = sweeps.withColumn("stalled", flag)
     # An island is the stretch since the last healthy sweep.
-    s = running(s, keys, order, {"island": ("sum", (~F.col("stalled")).cast("long"))})
+    hot = is_hot(sweeps, keys)
+    s = running(s, keys, order, {"island": ("sum", (~F.col("stalled")).cast("long"))}, hot=hot)
     runs = (s.where("stalled").groupBy(*keys, "island")
             .agg(F.count(F.lit(1)).alias("sweeps"), F.min(F.struct(*order)).alias("first"))
             .where(F.col("sweeps") >= at))
     numbered = number_rows(s.where("stalled").join(runs.select(*keys, "island"), [*keys, "island"], "left_semi"),
-                           [*keys, "island"], order, "nth")
+                           [*keys, "island"], order, "nth", hot=hot)
     onset = numbered.where(F.col("nth") == at).select(*keys, "island", F.col(order[0]).alias("onset"))
     healthy = s.where(~F.col("stalled")).select(*keys, (F.col("island") - 1).alias("island"), F.col(order[0]).alias("cleared"))
     on = [*keys, "island"]

@@ -85,14 +85,14 @@ def _join(kind: str, local: Column, carry: Column) -> Column:
 
 
 def running(df: DataFrame, keys: list[str], order: list[str],
-            outs: dict[str, tuple[str, Column]], inclusive: bool = True) -> DataFrame:
+            outs: dict[str, tuple[str, Column]], inclusive: bool = True, hot: bool | None = None) -> DataFrame:
     """Running values per key. ``outs`` maps a new column to (kind, value) with
     kind one of sum, count, last (non-null), min, max. ``order`` must be total
     within a key and point one way ("-" prefix: descending); ``inclusive=False``
-    leaves the current row out, so "last" then reads the previous row."""
+    leaves the current row out, so "last" then reads the previous row. Pass
+    ``hot`` when a chain of calls over the same groups was measured once."""
     end = 0 if inclusive else -1
-    hot = is_hot(df, keys)
-    if not hot:
+    if not (is_hot(df, keys) if hot is None else hot):
         # One window for all outputs: one shuffle and one sort.
         w = Window.partitionBy(*keys).orderBy(*in_order(order)).rowsBetween(Window.unboundedPreceding, end)
         return df.select("*", *[_local(k, v, w).alias(n) for n, (k, v) in outs.items()])
@@ -117,9 +117,9 @@ def running(df: DataFrame, keys: list[str], order: list[str],
                                         for n, (k, _) in outs.items()])
 
 
-def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str, hot: bool | None = None) -> DataFrame:
     """1-based position within the key."""
-    return running(df, keys, order, {name: ("count", F.lit(1))})
+    return running(df, keys, order, {name: ("count", F.lit(1))}, hot=hot)
 
 
 def nearest_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict) -> DataFrame:
@@ -201,7 +201,8 @@ def _plain(v):
     return v.item() if isinstance(v, np.generic) else v
 
 
-def scan(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], fold: Scan) -> DataFrame:
+def scan(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], fold: Scan,
+         hot: bool | None = None) -> DataFrame:
     """Append ``fold.outputs`` to every row, folding each key in ``order``."""
     out_schema = T.StructType(df.schema.fields + [
         f for f in T._parse_datatype_string(
@@ -225,7 +226,7 @@ def scan(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], fo
             res = pdf.drop(columns=[CHUNK]) if chunk_col is not None else pdf
             yield res.assign(**{n: np.concatenate(v) for n, v in outs.items()})
 
-    if not is_hot(df, keys):
+    if not (is_hot(df, keys) if hot is None else hot):
         placed = df.repartition(*keys).sortWithinPartitions(*keys, *in_order(order))
         return placed.mapInPandas(lambda it: apply_rows(it, {}), out_schema)
 
@@ -372,7 +373,9 @@ class Cooldown(Scan):
 
     def step(self, state, cols):
         until, t, s = state[0], cols[self.t].astype(float), cols[self.s]
-        started, ends = np.zeros(len(t), dtype=bool), np.empty(len(t))
+        started, ends = np.zeros(len(t), dtype=bool), np.full(len(t), until)
+        if not s.any():
+            return {"ban_started": started, "banned_until": ends}, [until]
         for i in range(len(t)):
             if s[i] and until <= t[i]:
                 started[i], until = True, t[i] + self.length

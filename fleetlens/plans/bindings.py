@@ -146,8 +146,11 @@ def uploads(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    return as_verdicts(event_log(spark, sf))
+
+
+def as_verdicts(ev: DataFrame) -> DataFrame:
     """Judged results per worker: severities in quarters, so sums are exact."""
-    ev = event_log(spark, sf)
     k = F.col("k") % 4
     sev = F.when(k == 0, 0.25).when(k == 1, 0.5).when(k == 2, 1.0).otherwise(4.0)
     return ev.select("worker_id", "t_ms", F.col("event_id").alias("verdict_id"),

@@ -60,11 +60,12 @@ class Standing(Scan):
         self.cfg = cfg
 
     def start(self):
-        return [self.cfg.alpha0, self.cfg.beta0, 0.0, 0.0]
+        # alpha, beta, end of the running ban (0: none), probation, end of the last ban
+        return [self.cfg.alpha0, self.cfg.beta0, 0.0, 0.0, 0.0]
 
     def step(self, state, cols):
         cfg = self.cfg
-        alpha, beta, until, probation = state
+        alpha, beta, until, probation, last = state
         acc, sev = cols["accepted"].astype(bool), cols["severity"].astype(float)
         spot, t = cols["spot"].astype(bool), cols["t_ms"].astype(float)
         n = len(acc)
@@ -73,17 +74,18 @@ class Standing(Scan):
         score = a / (a + b)
         started, ends, prob = np.zeros(n, dtype=bool), np.empty(n), np.zeros(n, dtype=bool)
         for i in range(n):
-            if until and until <= t[i] and not probation:
-                probation = 1.0
+            if until and until <= t[i]:
+                until, probation = 0.0, 1.0
             if acc[i]:
                 if probation and score[i] >= cfg.trusted_at:
-                    probation, until = 0.0, 0.0
-            elif until <= t[i] and score[i] < cfg.blacklist_below:
-                started[i], until = True, t[i] + cfg.cooldown_ms
-            ends[i], prob[i] = until, bool(probation)
+                    probation = 0.0
+            elif not until and score[i] < cfg.blacklist_below:
+                started[i] = True
+                until = last = t[i] + cfg.cooldown_ms
+            ends[i], prob[i] = last, bool(probation)
         outs = {"alpha": a, "beta": b, "score": score, "ban_started": started,
                 "banned_until": ends.astype(np.int64), "on_probation": prob}
-        return outs, [float(a[-1]), float(b[-1]), float(until), float(probation)]
+        return outs, [float(a[-1]), float(b[-1]), until, probation, last]
 
 
 def stream_reputation(verdicts: DataFrame, cfg: ReputationConfig = ReputationConfig()) -> DataFrame:
