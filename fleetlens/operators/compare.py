@@ -87,7 +87,10 @@ def compare_statistical(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFram
     outliers or on means further apart than sampling allows."""
     chans = ("r", "g", "b")
     right = b.select(*keys, "pixel", *[F.col(c).alias("b_" + c) for c in (*chans, "samples")])
-    j = a.join(right, [*keys, "pixel"])
+    both = (a.withColumn("in_a", F.lit(True))
+            .join(right.withColumn("in_b", F.lit(True)), [*keys, "pixel"], "full"))
+    sizes = both.groupBy(*keys).agg(F.count("in_a").alias("n_a"), F.count("in_b").alias("n_b"))
+    j = both.where("in_a and in_b")
     na, nb = F.col("samples").cast("double"), F.col("b_samples").cast("double")
 
     def finite(c):
@@ -133,17 +136,20 @@ def compare_statistical(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFram
     m = F.col("channels").cast("double")
     se = F.col("scale") * F.sqrt(F.col("pooled") / m) / F.sqrt(m)
     agg = agg.withColumn("z_aggregate", F.when(se > 0, F.abs(F.col("sum_diff") / m) / se).otherwise(F.lit(0.0)))
-    all_keys = j.groupBy(*keys).agg((F.count(F.lit(1)) * 3).alias("elements"))
-    out = all_keys.join(agg, keys, "left").join(problems, keys, "left")
-    verdict = (F.when(F.col("p").isNotNull(), F.col("p.problem"))
+    sizes = sizes.withColumn("elements", F.greatest("n_a", "n_b") * 3)
+    out = sizes.join(agg, keys, "left").join(problems, keys, "left")
+    # Payloads of different sizes never match; they have no z-scores either.
+    uneven = F.col("n_a") != F.col("n_b")
+    verdict = (F.when(uneven, "Mismatch")
+               .when(F.col("p").isNotNull(), F.col("p.problem"))
                .when(F.col("outliers") / m > MAX_OUTLIER_FRACTION, "Mismatch")
                .when(F.col("z_aggregate") > AGGREGATE_CUTOFF, "Mismatch").otherwise("Match"))
     clean = F.col("p").isNull()
     return out.select(
         *keys, "elements", verdict.alias("verdict"),
         F.when(clean, F.col("outliers")).otherwise(F.lit(0)).alias("outliers"),
-        F.when(clean, F.col("worst")).otherwise(F.lit(0.0)).alias("worst"),
-        F.when(clean, F.col("z_aggregate")).otherwise(F.lit(0.0)).alias("z_aggregate"),
+        F.when(uneven, F.lit(None)).when(clean, F.col("worst")).otherwise(F.lit(0.0)).alias("worst"),
+        F.when(uneven, F.lit(None)).when(clean, F.col("z_aggregate")).otherwise(F.lit(0.0)).alias("z_aggregate"),
         F.when(clean, F.lit(-1).cast("long"))
         .otherwise(F.col("p.pixel") * 3 + F.col("p.bad_channel")).alias("bad_channel"))
 
