@@ -178,12 +178,12 @@ def ulp_summary(pairs: DataFrame, keys: list[str]) -> DataFrame:
 def ulp_histogram(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, ulp, count, cumulative %) plus p99, worst relative error and the
     headroom left by a tolerance of 1e-6, repeated on the key's rows."""
-    hist = pairs.where(F.col("ulp").isNotNull()).groupBy(*keys, "ulp").agg(F.count(F.lit(1)).alias("count"))
-    cum = running(hist, keys, ["ulp"], {"cum": ("sum", F.col("count"))})
-    stats = pairs.groupBy(*keys).agg(F.count("ulp").alias("n"), F.coalesce(F.max("rel_diff"), F.lit(0.0)).alias("max_rel"))
-    both = cum.join(stats, keys)
-    p99 = both.groupBy(*keys).agg(
-        F.min(F.when(F.col("cum") > rank_of(0.99)(F.col("n")), F.col("ulp"))).alias("p99"))
-    return both.join(p99, keys).select(
+    rel = F.max("rel_diff").alias("rel")
+    hist = pairs.where(F.col("ulp").isNotNull()).groupBy(*keys, "ulp").agg(F.count(F.lit(1)).alias("count"), rel)
+    cum = running(hist, keys, ["ulp"], {"cum": ("sum", F.col("count")), "n": ("total", F.col("count"))})
+    stats = cum.groupBy(*keys).agg(
+        F.min(F.when(F.col("cum") > rank_of(0.99)(F.col("n")), F.col("ulp"))).alias("p99"),
+        F.coalesce(F.max("rel"), F.lit(0.0)).alias("max_rel"))
+    return cum.join(stats, keys).select(
         *keys, "ulp", "count", (F.lit(100.0) * F.col("cum") / F.col("n")).alias("cumulative_pct"), "p99", "max_rel",
         F.when(F.col("max_rel") > 0, F.lit(1e-6) / F.col("max_rel")).otherwise(F.lit(0.0)).alias("headroom"))

@@ -54,12 +54,18 @@ def lease_expiries(events: DataFrame, lease_ms: int, now_ms: int, ends=("accept"
         "task_id", "worker_id", "unit_count", F.col("t_ms").alias("granted_at_ms"), deadline.alias("expired_at_ms"))
 
 
-def worker_sessions(events: DataFrame, gap: str) -> DataFrame:
-    """Spells of activity; a worker silent for ``gap`` counts as lost. The same
-    expression serves a stream with a watermark."""
-    return events.groupBy("worker_id", F.session_window("ts", gap).alias("s")).agg(
-        F.count(F.lit(1)).alias("events")).select(
-        "worker_id", F.unix_micros("s.start").alias("start_us"), F.unix_micros("s.end").alias("end_us"), "events")
+def worker_sessions(events: DataFrame, gap_us: int) -> DataFrame:
+    """Spells of activity per worker; silence of ``gap_us`` ends one and the
+    worker counts as lost. Columns: worker_id, ts, event_id."""
+    keys, order = ["worker_id"], ["us", "event_id"]
+    e = events.select("worker_id", F.unix_micros("ts").alias("us"), "event_id")
+    hot = is_hot(e, keys)
+    e = running(e, keys, order, {"prev": ("last", F.col("us"))}, inclusive=False, hot=hot)
+    fresh = F.coalesce(F.col("us") - F.col("prev") >= F.lit(gap_us), F.lit(True)).cast("long")
+    e = running(e, keys, order, {"spell": ("sum", fresh)}, hot=hot)
+    return e.groupBy("worker_id", "spell").agg(
+        F.min("us").alias("start_us"), (F.max("us") + F.lit(gap_us)).alias("end_us"),
+        F.count(F.lit(1)).alias("events")).drop("spell")
 
 
 def first_result(results: DataFrame, order: list[str]) -> DataFrame:

@@ -6,8 +6,8 @@ every key is small, so each operator here first looks at the largest group
 partitioned by (key, order), which cuts a hot key into as many ordered pieces
 as it needs; each piece is handled on its own and receives a carry from the
 pieces before it. Range partitioning leaves at most one key continuing into a
-partition, so the carry table never has more rows than there are partitions
-and is safe to broadcast.
+partition, so the carry table never has more than two rows per partition and is
+safe to broadcast.
 
 The pieces come from sampled bounds, so the partitioned rows are written once
 (checkpoint) before both passes read them; a recomputed stage can then not cut
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from fleetlens.session import cut_lineage, hot_rows, null_safe, shuffle_partitions
+from fleetlens.session import cut_lineage, hot_rows, shuffle_partitions
 
 CHUNK = "__chunk"
 CARRY = "__carry_"
@@ -59,13 +59,15 @@ def _local(kind: str, value: Column, window) -> Column:
         return F.coalesce(F.sum(value).over(window), F.lit(0))
     if kind == "count":
         return F.count(F.lit(1)).over(window)
+    if kind == "total":
+        return F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     if kind == "last":
         return F.last(value, ignorenulls=True).over(window)
     return {"min": F.min, "max": F.max}[kind](value).over(window)
 
 
 def _total(kind: str, value: Column, order: list[str]) -> Column:
-    if kind == "sum":
+    if kind in ("sum", "total"):
         return F.coalesce(F.sum(value), F.lit(0))
     if kind == "count":
         return F.count(F.lit(1))
@@ -76,8 +78,15 @@ def _total(kind: str, value: Column, order: list[str]) -> Column:
     return {"min": F.min, "max": F.max}[kind](value)
 
 
+def _carry(kind: str, total: Column, before, whole) -> Column:
+    """What the other pieces of the key add to this one."""
+    if kind == "total":
+        return F.sum(total).over(whole) - total
+    return _local("sum" if kind == "count" else kind, total, before)
+
+
 def _join(kind: str, local: Column, carry: Column) -> Column:
-    if kind in ("sum", "count"):
+    if kind in ("sum", "count", "total"):
         return local + F.coalesce(carry, F.lit(0))
     if kind == "last":
         return F.coalesce(local, carry)
@@ -87,7 +96,8 @@ def _join(kind: str, local: Column, carry: Column) -> Column:
 def running(df: DataFrame, keys: list[str], order: list[str],
             outs: dict[str, tuple[str, Column]], inclusive: bool = True, hot: bool | None = None) -> DataFrame:
     """Running values per key. ``outs`` maps a new column to (kind, value) with
-    kind one of sum, count, last (non-null), min, max. ``order`` must be total
+    kind one of sum, count, last (non-null), min, max, or total (the sum over
+    the whole key, on each of its rows). ``order`` must be total
     within a key and point one way ("-" prefix: descending); ``inclusive=False``
     leaves the current row out, so "last" then reads the previous row. Pass
     ``hot`` when a chain of calls over the same groups was measured once."""
@@ -103,13 +113,12 @@ def running(df: DataFrame, keys: list[str], order: list[str],
 
     totals = pieces.groupBy(*keys, CHUNK).agg(*[_total(k, v, order).alias(n) for n, (k, v) in outs.items()])
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    rank = Window.partitionBy(*keys).orderBy(CHUNK)
+    whole = Window.partitionBy(*keys)
     carry = totals.select(
         *[F.col(k).alias(CARRY + k) for k in keys], F.col(CHUNK).alias(CARRY + "chunk"),
-        F.row_number().over(rank).alias("__nth"),
-        *[_local("sum" if k == "count" else k, F.col(n), before).alias(CARRY + n)
-          for n, (k, _) in outs.items()],
-    ).where("__nth > 1").drop("__nth")
+        F.count(F.lit(1)).over(whole).alias("__pieces"),
+        *[_carry(k, F.col(n), before, whole).alias(CARRY + n) for n, (k, _) in outs.items()],
+    ).where("__pieces > 1").drop("__pieces")
     cond = reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(CARRY + k)), keys,
                   F.col(CHUNK) == F.col(CARRY + "chunk"))
     joined = local.join(F.broadcast(carry), cond, "left")
@@ -128,11 +137,8 @@ def nearest_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict) -> Da
     counts accumulated, and the first value whose cumulative count passes the
     rank is taken. ``ranks`` maps a name to a function from group size to rank."""
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    cum = running(counts, keys, [value], {"__cum": ("sum", F.col("__n"))})
-    sizes = counts.groupBy(*keys).agg(F.sum("__n").alias("__size"))
-    both = cum.join(sizes.select(*[F.col(k).alias("__s_" + k) for k in keys], "__size"),
-                    reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col("__s_" + k)), keys, F.lit(True)))
-    return both.groupBy(*keys).agg(
+    cum = running(counts, keys, [value], {"__cum": ("sum", F.col("__n")), "__size": ("total", F.col("__n"))})
+    return cum.groupBy(*keys).agg(
         F.max("__size").alias("n"),
         *[F.min(F.when(F.col("__cum") > fn(F.col("__size")), F.col(value))).alias(name)
           for name, fn in ranks.items()])

@@ -90,9 +90,9 @@ def spot_sample(grants: DataFrame, scores: DataFrame, pool: DataFrame) -> DataFr
     workers, who then score the prior. ``pool`` (slot, start_unit, unit_count,
     checksum) is numbered from 0 and bounded (known_pool keeps 256)."""
     h = F.col("task_id") * F.lit(SPOT_MULTIPLIER)
-    g = (grants.join(scores, "worker_id", "left")
-         .withColumn("score", F.coalesce("score", F.lit(0.5)))
-         .withColumn("roll", (h % 10000) / F.lit(10000.0)))
+    # No score draws at more than the unproven rate: nine in ten grants leave before the join.
+    drawn = grants.withColumn("roll", (h % 10000) / F.lit(10000.0)).where(F.col("roll") < max(RATE_UNPROVEN, RATE_TRUSTED))
+    g = drawn.join(scores, "worker_id", "left").withColumn("score", F.coalesce("score", F.lit(0.5)))
     rate = F.when(F.col("score") >= PROVEN_AT, F.lit(RATE_TRUSTED)).otherwise(F.lit(RATE_UNPROVEN))
     size = pool.agg(F.count(F.lit(1)).alias("pool_size"))
     chosen = (g.where(F.col("roll") < rate).join(F.broadcast(size))

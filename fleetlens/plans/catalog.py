@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetlens.plans.fragments import sql
+from fleetlens.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -17,7 +18,7 @@ def query(name: str, needs: list[str] | None = None, oracle: str | None = None):
     """Register a query under ``name``; ``oracle`` is SQL over the fragments in ``needs``."""
     def add(fn: Query) -> Query:
         def run(spark: SparkSession, sf: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            tune(spark)
             return fn(spark, sf)
         QUERIES[name] = run
         if oracle is not None:

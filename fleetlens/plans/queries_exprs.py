@@ -141,12 +141,13 @@ def required_agreement(spark, sf):
 
 
 @query("tile_at", [], """
-SELECT o_orderkey, i, i % 7 * 16 AS x, i // 7 * 16 AS y, least(16, 100 - i % 7 * 16) AS w, least(16, 90 - i // 7 * 16) AS h
-FROM (SELECT o_orderkey, o_orderkey % 60 AS i FROM orders) WHERE i < 42""")
+SELECT o_orderkey, i, CASE WHEN i < 42 THEN i % 7 * 16 ELSE -1 END AS x, CASE WHEN i < 42 THEN i // 7 * 16 ELSE -1 END AS y,
+  CASE WHEN i < 42 THEN least(16, 100 - i % 7 * 16) ELSE -1 END AS w, CASE WHEN i < 42 THEN least(16, 90 - i // 7 * 16) ELSE -1 END AS h
+FROM (SELECT o_orderkey, o_orderkey % 60 AS i FROM orders)""")
 def tile_at(spark, sf):
     o = B.table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 60).alias("i"))
-    t = o.withColumn("t", E.tile_at("i", 100, 90, 16, 16)).where("t is not null")
-    return t.select("o_orderkey", "i", "t.*")
+    t = o.withColumn("t", E.tile_at("i", 100, 90, 16, 16))
+    return t.select("o_orderkey", "i", *[F.coalesce(F.col("t." + c), F.lit(-1)).alias(c) for c in ("x", "y", "w", "h")])
 
 
 @query("tone_map", [], """

@@ -95,7 +95,7 @@ GROUP BY worker_id, s"""
 
 @query("worker_sessions", [], SESSIONS)
 def worker_sessions(spark, sf):
-    return L.worker_sessions(B.event_log(spark, sf), "12 hours")
+    return L.worker_sessions(B.event_log(spark, sf), 12 * 3_600_000_000)
 
 
 @query("stream_lost", [], f"""

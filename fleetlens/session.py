@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 # A group with more rows than this is split over several tasks by
 # fleetlens.operators.ordered; smaller ones use a plain window.
@@ -46,8 +45,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
+def tune(spark: SparkSession) -> None:
+    """Runtime settings the operators count on."""
+    for k, v in {
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Split a skewed join even where the aggregation after it then needs a shuffle.
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        # Merge the sessions of a key in each task before they are shuffled.
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    }.items():
+        spark.conf.set(k, v)

@@ -136,7 +136,13 @@ def stream_expiry(events: DataFrame, lease_ms: int, watermark: str = WATERMARK)
 
 
 def stream_lost(events: DataFrame, timeout: str = "45 seconds", watermark: str = WATERMARK) -> DataFrame:
-    return live.worker_sessions(events.withWatermark("ts", watermark), timeout)
+    """Spells of activity; one is emitted when the watermark passes its end, at
+    which point the worker is lost. Sessions of a key merge on the map side
+    (``session.tune``)."""
+    s = (events.withWatermark("ts", watermark)
+         .groupBy("worker_id", F.session_window("ts", timeout).alias("s")).agg(F.count(F.lit(1)).alias("events")))
+    return s.select("worker_id", F.unix_micros("s.start").alias("start_us"), F.unix_micros("s.end").alias("end_us"),
+                    "events")
 
 
 def stream_first_result(results: DataFrame, watermark: str = WATERMARK) -> DataFrame:
