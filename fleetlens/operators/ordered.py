@@ -1,8 +1,8 @@
 """Order-dependent work per key that survives hot keys.
 
 A plain window puts a whole key into one task. That is the right plan while
-every key is small, so each operator here first looks at the largest group
-(one column-pruned count). Past ``spark.fleetlens.hotRows`` the rows are range
+every key is small, so each operator here first looks at the optimiser's size
+estimate and, for large inputs, at the largest group (one column-pruned count). Past ``spark.fleetlens.hotRows`` the rows are range
 partitioned by (key, order), which cuts a hot key into as many ordered pieces
 as it needs; each piece is handled on its own and receives a carry from the
 pieces before it. Range partitioning leaves at most one key continuing into a
@@ -30,6 +30,7 @@ from fleetlens.session import cut_lineage, hot_rows, shuffle_partitions
 
 CHUNK = "__chunk"
 CARRY = "__carry_"
+BYTES_PER_ROW = 8
 
 
 def largest_group(df: DataFrame, keys: list[str]) -> int:
@@ -39,8 +40,18 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
     return int(top or 0)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimiser's size estimate, the one it picks join strategies by."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def is_hot(df: DataFrame, keys: list[str]) -> bool:
-    return largest_group(df, keys) > hot_rows(df.sparkSession)
+    """Whether some group is too large for one task. Inputs the optimiser knows
+    to be small are not counted: a wrong guess costs time, never rows."""
+    limit = hot_rows(df.sparkSession)
+    if estimated_bytes(df) <= BYTES_PER_ROW * limit:
+        return False
+    return largest_group(df, keys) > limit
 
 
 def in_order(order: list[str]) -> list[Column]:
@@ -137,7 +148,9 @@ def nearest_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict) -> Da
     counts accumulated, and the first value whose cumulative count passes the
     rank is taken. ``ranks`` maps a name to a function from group size to rank."""
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    cum = running(counts, keys, [value], {"__cum": ("sum", F.col("__n")), "__size": ("total", F.col("__n"))})
+    # A group of few rows has few distinct values; only a large one is counted again.
+    hot = is_hot(df, keys) and is_hot(counts, keys)
+    cum = running(counts, keys, [value], {"__cum": ("sum", F.col("__n")), "__size": ("total", F.col("__n"))}, hot=hot)
     return cum.groupBy(*keys).agg(
         F.max("__size").alias("n"),
         *[F.min(F.when(F.col("__cum") > fn(F.col("__size")), F.col(value))).alias(name)

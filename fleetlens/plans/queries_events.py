@@ -54,12 +54,12 @@ FROM ev WHERE event = 'accept' GROUP BY worker_id"""
 
 @query("worker_throughput", ["ev"], THROUGHPUT)
 def worker_throughput(spark, sf):
-    return S.worker_throughput(B.event_log(spark, sf))
+    return S.worker_throughput(B.event_log(spark, sf, "accept"))
 
 
 @query("leaderboard", ["ev"], THROUGHPUT)
 def leaderboard(spark, sf):
-    return S.leaderboard(S.worker_throughput(B.event_log(spark, sf)))
+    return S.leaderboard(S.worker_throughput(B.event_log(spark, sf, "accept")))
 
 
 @query("source_mix", ["ft"], """
@@ -82,7 +82,7 @@ def candidate_counts(spark, sf):
 @query("wasted_work", ["ev"], """
 SELECT run, count(*) AS cancels, CAST(sum(unit_count) AS BIGINT) AS wasted_units FROM ev WHERE event = 'cancel' GROUP BY run""")
 def wasted_work(spark, sf):
-    return S.wasted_work(B.event_log(spark, sf), ["run"])
+    return S.wasted_work(B.event_log(spark, sf, "cancel"), ["run"])
 
 
 @query("job_completion", ["tk", "jb"], """
@@ -97,7 +97,7 @@ def job_completion(spark, sf):
 
 @query("detection_overhead", ["ev", "tr"], """
 WITH g AS (SELECT 'src' || CAST(worker_id % 20 AS VARCHAR) AS arm, count(*) FILTER (event = 'grant') AS grants,
-    count(DISTINCT task_id) FILTER (event = 'accept') AS tasks FROM ev GROUP BY 1),
+    count(DISTINCT task_id) FILTER (event = 'accept') AS tasks FROM ev GROUP BY 1 HAVING count(*) FILTER (event IN ('grant', 'accept')) > 0),
   l AS (SELECT arm, count(*) FILTER (wrong) AS lies, count(*) FILTER (wrong AND accepted) AS accepted_wrong FROM tr GROUP BY arm)
 SELECT arm, grants, tasks, coalesce(lies, 0) AS lies, coalesce(accepted_wrong, 0) AS accepted_wrong,
   CASE WHEN tasks > 0 THEN grants::DOUBLE / tasks ELSE 0 END AS overhead,
@@ -105,7 +105,7 @@ SELECT arm, grants, tasks, coalesce(lies, 0) AS lies, coalesce(accepted_wrong, 0
   CASE WHEN lies > 0 THEN (lies - accepted_wrong)::DOUBLE / lies ELSE 1.0 END AS detection_rate
 FROM g LEFT JOIN l USING (arm)""")
 def detection_overhead(spark, sf):
-    ev = B.event_log(spark, sf).withColumn("arm", F.concat(F.lit("src"), (F.col("worker_id") % 20).cast("string")))
+    ev = B.event_log(spark, sf, "grant", "accept").withColumn("arm", F.concat(F.lit("src"), (F.col("worker_id") % 20).cast("string")))
     return S.detection_overhead(ev, B.truth(spark, sf), ["arm"])
 
 
@@ -123,7 +123,7 @@ def time_to_ready(spark, sf):
 
 def _runs(spark, sf):
     """Cancelled units per (day, worker parity, hour): repeats of a setting."""
-    ev = B.event_log(spark, sf).where("event = 'cancel'")
+    ev = B.event_log(spark, sf, "cancel")
     return ev.groupBy("run", "condition", F.floor(F.col("t_ms") / 3_600_000).alias("rep")).agg(
         F.sum("unit_count").alias("egress"))
 
@@ -163,7 +163,7 @@ SELECT run, (sum(unit_count) FILTER (condition = 0))::DOUBLE / count(*) FILTER (
   - (sum(unit_count) FILTER (condition = 0))::DOUBLE / count(*) FILTER (condition = 0) AS delta
 FROM ev WHERE event = 'accept' GROUP BY run""")
 def arm_compare(spark, sf):
-    ev = B.event_log(spark, sf).where("event = 'accept'").select("run", "condition", "unit_count")
+    ev = B.event_log(spark, sf, "accept").select("run", "condition", "unit_count")
     return J.arm_compare(ev, "condition", "run", F.col("unit_count"), 0, 1)
 
 
@@ -187,7 +187,7 @@ SELECT a.event_id, a.worker_id, a.task_id, a.t_ms, g.t_ms AS granted_at_ms, g.ta
 FROM (SELECT * FROM ev WHERE event = 'accept') a ASOF LEFT JOIN (SELECT * FROM ev WHERE event = 'grant') g
   ON a.worker_id = g.worker_id AND a.t_ms >= g.t_ms""")
 def grant_accept_asof(spark, sf):
-    return J.grant_accept_asof(B.event_log(spark, sf))
+    return J.grant_accept_asof(B.event_log(spark, sf, "grant", "accept"))
 
 
 CONVERGENCE = """
@@ -198,7 +198,7 @@ cv AS (SELECT worker_id, t_ms, event_id, predicted_ms, duration_ms AS actual_ms,
 
 @query("sizing_convergence", ["ev"], f"WITH {CONVERGENCE} SELECT * FROM cv")
 def sizing_convergence(spark, sf):
-    return S.sizing_convergence(B.event_log(spark, sf))
+    return S.sizing_convergence(B.event_log(spark, sf, "accept"))
 
 
 @query("final_corrections", ["ev"], f"""
@@ -207,7 +207,7 @@ WITH {CONVERGENCE}, f AS (SELECT list_sort(list(v)) AS s FROM (
 SELECT len(s) AS workers, s[1] AS min_correction, (s[(len(s) - 1) // 2 + 1] + s[len(s) // 2 + 1]) / 2 AS median_correction,
   s[len(s)] AS max_correction FROM f""")
 def final_corrections(spark, sf):
-    cv = S.sizing_convergence(B.event_log(spark, sf))
+    cv = S.sizing_convergence(B.event_log(spark, sf, "accept"))
     return S.final_corrections(cv.withColumn("correction", F.col("ratio")))
 
 
@@ -222,7 +222,7 @@ WITH RECURSIVE a AS (SELECT worker_id, t_ms, event_id, predicted_ms,
 SELECT a.worker_id, a.t_ms, a.event_id, a.predicted_ms, a.actual_ms, f.c AS correction_after
 FROM a JOIN f USING (worker_id, i)""")
 def correction_history(spark, sf):
-    return S.correction_history(B.event_log(spark, sf), lease_ms=60_000)
+    return S.correction_history(B.event_log(spark, sf, "accept", "expire"), lease_ms=60_000)
 
 
 @query("overhead_thirds", ["ev"], """
@@ -237,7 +237,7 @@ SELECT run, CAST(third AS BIGINT) AS third, count(*) FILTER (event = 'grant') AS
     / count(DISTINCT task_id) FILTER (event = 'accept') ELSE 0 END AS overhead
 FROM e WHERE third IS NOT NULL GROUP BY run, third""")
 def overhead_thirds(spark, sf):
-    return S.overhead_thirds(B.event_log(spark, sf), ["run"])
+    return S.overhead_thirds(B.event_log(spark, sf, "grant", "accept"), ["run"])
 
 
 @query("counter_deltas", ["ev"], """
@@ -262,7 +262,7 @@ WITH a AS (SELECT condition, duration_ms, row_number() OVER (PARTITION BY condit
 SELECT i, 100.0::DOUBLE * (i + 1) / n AS percentile, condition, duration_ms FROM g, n, a
 WHERE a.r = least(CAST(floor((i * len)::DOUBLE / n) AS BIGINT), len - 1)""")
 def completion_cdf(spark, sf):
-    acc = B.event_log(spark, sf).where("event = 'accept'")
+    acc = B.event_log(spark, sf, "accept")
     return S.completion_cdf(acc, "condition", "duration_ms", "event_id")
 
 
@@ -272,7 +272,7 @@ WITH r AS (SELECT worker_id % 10 + 1 AS workers, 1000.0::DOUBLE * sum(unit_count
 SELECT workers, units_per_sec, units_per_sec / base AS speedup, units_per_sec / (workers / 1.0::DOUBLE * base) AS efficiency,
   base * workers / 1.0::DOUBLE AS ideal FROM r, b""")
 def scaling_efficiency(spark, sf):
-    runs = B.event_log(spark, sf).where("event = 'accept'").groupBy((F.col("worker_id") % 10 + 1).alias("workers")).agg(
+    runs = B.event_log(spark, sf, "accept").groupBy((F.col("worker_id") % 10 + 1).alias("workers")).agg(
         (F.lit(1000.0) * F.sum("unit_count") / (F.max("t_ms") - F.min("t_ms"))).alias("units_per_sec"))
     return S.scaling_efficiency(runs)
 
@@ -292,7 +292,7 @@ def device_merge(spark, sf):
 SELECT condition, event_id, duration_ms FROM ev WHERE event = 'accept' AND condition = 0
 UNION ALL SELECT condition, event_id, duration_ms FROM ev WHERE event = 'accept' AND condition = 1""")
 def pooled_runs(spark, sf):
-    acc = B.event_log(spark, sf).where("event = 'accept'").select("condition", "event_id", "duration_ms")
+    acc = B.event_log(spark, sf, "accept").select("condition", "event_id", "duration_ms")
     return J.pooled_runs(acc.where("condition = 0"), acc.where("condition = 1"))
 
 

@@ -16,8 +16,7 @@ from fleetlens.streaming import stateful as S
 
 def stream_table(spark, sf, name):
     """A test table as a file stream."""
-    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(B.TABLES[name]).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
 def run_now(spark, df, mode, keys=None):
@@ -73,7 +72,7 @@ SELECT task_id, worker_id, unit_count, t_ms AS granted_at_ms, t_ms + {LEASE} AS
   SELECT *, lead(t_ms) OVER (PARTITION BY task_id ORDER BY t_ms, event_id) AS next_ms FROM ev WHERE event IN ('grant', 'accept', 'cancel'))
 WHERE event = 'grant' AND (next_ms IS NULL AND t_ms + {LEASE} <= 1706745600000 OR next_ms >= t_ms + {LEASE})""")
 def lease_expiries(spark, sf):
-    return L.lease_expiries(B.event_log(spark, sf), LEASE, 1_706_745_600_000)
+    return L.lease_expiries(B.event_log(spark, sf, "grant", "accept", "cancel"), LEASE, 1_706_745_600_000)
 
 
 @query("stream_expiry", ["ev"], f"""
@@ -109,7 +108,7 @@ def stream_lost(spark, sf):
 SELECT task_id, arg_min(event_id, event_id) AS event_id, arg_min(t_ms, event_id) AS t_ms, arg_min(worker_id, event_id) AS worker_id
 FROM ev WHERE event = 'accept' GROUP BY task_id""")
 def first_result(spark, sf):
-    r = B.event_log(spark, sf).where("event = 'accept'").select("task_id", "event_id", "t_ms", "worker_id")
+    r = B.event_log(spark, sf, "accept").select("task_id", "event_id", "t_ms", "worker_id")
     return L.first_result(r, ["t_ms", "event_id"])
 
 

@@ -66,7 +66,7 @@ def blacklist_filter(spark, sf):
         "worker_id", F.when(F.col("worker_id") % 3 == 0, 0).otherwise(
             1704067200000 + (F.col("worker_id") % 20) * 86400000).alias("blacklisted_until_ms"),
         (F.col("worker_id") % 7 == 0).alias("on_probation"))
-    req = ev.where("event = 'grant'").select("event_id", "worker_id", "t_ms")
+    req = B.event_log(spark, sf, "grant").select("event_id", "worker_id", "t_ms")
     out = Y.blacklist_filter(req, rep)
     return out.withColumn("on_probation", F.col("on_probation") | (F.col("worker_id") % 7 == 0))
 

@@ -66,22 +66,22 @@ def reassemble(chunks: DataFrame, manifest: DataFrame, size: int = CHUNK_BYTES,
               .when((length < size) & ~last, "short piece before the end")
               .when(length != want_len, "length disagrees with position"))
     judged = chunks.join(fit.select("address", "expected", "want_total"), "address").withColumn("reason", reason)
-    # First copy per position; combine on the map side keeps repeated pieces out of the shuffle.
-    firsts = (judged.where(F.col("reason").isNull())
-              .groupBy("address", "index")
-              .agg(F.min_by(F.struct("seq", "part"), F.col("seq")).alias("p")))
-    built = firsts.groupBy("address").agg(
-        F.count(F.lit(1)).alias("have"),
-        F.max("p.seq").alias("done_seq"),
-        F.array_sort(F.collect_list(F.struct("index", F.col("p.part").alias("part")))).alias("parts"))
-    bad = (judged.where(F.col("reason").isNotNull())
-           .groupBy("address").agg(F.min(F.struct("seq", "reason")).alias("b")))
+    # First good copy and first fault per position, then per blob. The first step
+    # combines on the map side, so repeated pieces stay out of the shuffle.
+    good = F.col("reason").isNull()
+    per = judged.groupBy("address", "index").agg(
+        F.min_by(F.struct("seq", "part"), F.when(good, F.col("seq"))).alias("p"),
+        F.min(F.when(~good, F.struct("seq", "reason"))).alias("fault"))
+    built = per.groupBy("address").agg(
+        F.count("p").alias("have"), F.max("p.seq").alias("done_seq"), F.min("fault").alias("b"),
+        F.array_sort(F.collect_list(F.when(F.col("p").isNotNull(), F.struct("index", F.col("p.part").alias("part")))))
+        .alias("parts"))
     # Pieces of a binary column are joined as hex text; strings join directly.
     is_binary = chunks.schema["part"].dataType.typeName() == "binary"
     texts = F.transform("parts", lambda p: F.hex(p["part"]) if is_binary else p["part"])
     joined = F.array_join(texts, "")
     content = F.unhex(joined) if is_binary else joined
-    j = sized.join(built, "address", "left").join(bad, "address", "left")
+    j = sized.join(built, "address", "left")
     j = j.withColumn("complete", F.coalesce(F.col("have") == F.col("want_total"), F.lit(False)))
     j = j.withColumn("content", F.when(F.col("complete"), content))
     early = F.col("b").isNotNull() & (~F.col("complete") | (F.col("b.seq") < F.col("done_seq")))
