@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.exprs import U32, is_nan_bits, ulp_distance, ulp_distance_bits
-from fleetlens.operators.ordered import nearest_ranks, rank_of, running
+from fleetlens.operators.ordered import is_hot, nearest_ranks, rank_of, running
 
 # Fixed values of the statistical comparison.
 SIGMA_CUTOFF = 6.0
@@ -122,8 +122,9 @@ def compare_statistical(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFram
     def quantile(q):
         return lambda n: F.floor(F.lit(q) * (n - 1)).cast("long")
 
-    dq = nearest_ranks(ch.select(*keys, "d"), keys, "d", {"dq": quantile(SCALE_QUANTILE)}).drop("n")
-    mq = nearest_ranks(ch.select(*keys, "mag"), keys, "mag", {"mq": quantile(0.5)}).drop("n")
+    hot = is_hot(a.select(*keys), keys)  # pixels of one side: measured once, before the joins
+    dq = nearest_ranks(ch.select(*keys, "d"), keys, "d", {"dq": quantile(SCALE_QUANTILE)}, hot).drop("n")
+    mq = nearest_ranks(ch.select(*keys, "mag"), keys, "mag", {"mq": quantile(0.5)}, hot).drop("n")
     scale = F.greatest(F.col("dq") / HALF_NORMAL, F.lit(SCALE_FLOOR) * F.greatest("mq", F.lit(1e-9)))
     scales = dq.join(mq, keys).select(*keys, scale.alias("scale"))
     z = F.col("d") / F.col("scale")

@@ -142,14 +142,14 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str, hot
     return running(df, keys, order, {name: ("count", F.lit(1))}, hot=hot)
 
 
-def nearest_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict) -> DataFrame:
+def nearest_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict, hot: bool | None = None) -> DataFrame:
     """Values at given 0-based ranks of the sorted group, without sorting a
     group in one place: distinct values are counted (map-side combine), their
     counts accumulated, and the first value whose cumulative count passes the
     rank is taken. ``ranks`` maps a name to a function from group size to rank."""
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
     # A group of few rows has few distinct values; only a large one is counted again.
-    hot = is_hot(df, keys) and is_hot(counts, keys)
+    hot = (is_hot(df, keys) if hot is None else hot) and is_hot(counts, keys)
     cum = running(counts, keys, [value], {"__cum": ("sum", F.col("__n")), "__size": ("total", F.col("__n"))}, hot=hot)
     return cum.groupBy(*keys).agg(
         F.max("__size").alias("n"),
@@ -170,6 +170,29 @@ def upper_mid(n: Column) -> Column:
     return F.floor(n / 2).cast("long")
 
 
+def whole_div(a: Column, b: Column) -> Column:
+    """Integer division, exact beyond the range of doubles."""
+    return F.call_function("div", a, b)
+
+
+EXPAND_BLOCK = 32_768
+
+
+def expand(df: DataFrame, low: Column, high: Column, name: str, block: int = EXPAND_BLOCK,
+           spread: int | None = None) -> DataFrame:
+    """One row per integer of [low, high]. Long ranges are first cut into
+    blocks; the blocks are spread over the cluster before they are expanded, so
+    no row ever holds more than ``block`` values and no task a whole range."""
+    keep = [c for c in df.columns if c not in (name, "__lo", "__hi")]
+    cut = (df.withColumn("__lo", low.cast("long")).withColumn("__hi", high.cast("long")).where("__hi >= __lo")
+           .withColumn("__b", F.explode(F.sequence(
+               F.lit(0).cast("long"), whole_div(F.col("__hi") - F.col("__lo"), F.lit(block))))))
+    first = F.col("__lo") + F.col("__b") * block
+    blocks = cut.repartition(spread or shuffle_partitions(df.sparkSession))
+    return blocks.select(*keep, F.explode(F.sequence(
+        first, F.least(first + (block - 1), F.col("__hi")))).alias(name))
+
+
 # ---- ordered folds that a window cannot express ----------------------------
 
 class Scan:

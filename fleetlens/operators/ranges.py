@@ -6,28 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.exprs import HIGH_WORD_MUL, U32, with_pcg_rounds
-from fleetlens.operators.ordered import Carve, running, scan
-from fleetlens.session import shuffle_partitions
-
-SEARCH_BLOCK = 32_768
+from fleetlens.operators.ordered import EXPAND_BLOCK, Carve, expand, running, scan
 
 
 def search_candidates(spec: DataFrame, rounds: int, partitions: int | None = None,
-                      block: int = SEARCH_BLOCK) -> DataFrame:
+                      block: int = EXPAND_BLOCK) -> DataFrame:
     """(search_id, lo, h, match inputs) for each candidate of each range.
 
-    A range is first cut into blocks, the blocks are spread over the cluster,
-    and only then expanded, so one long range is not one task's work and no row
-    ever holds more than ``block`` candidates."""
-    n = F.col("unit_count")
-    blocks = (spec.where(n > 0)
-              .select("search_id", "start_lo", "base_hi", "seed", "target", "mask", n,
-                      F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / block))).alias("b"))
-              .repartition(partitions or shuffle_partitions(spec.sparkSession)))
-    first = F.col("b") * block
-    cand = blocks.select(
-        "search_id", "base_hi", "seed", "target", "mask", "start_lo",
-        F.explode(F.sequence(first, F.least(first + block, n) - 1)).alias("i"))
+    Ranges are cut into blocks that are spread over the cluster before they
+    are expanded, so one long range is not one task's work."""
+    cand = expand(spec.select("search_id", "start_lo", "base_hi", "seed", "target", "mask", "unit_count"),
+                  F.lit(0), F.col("unit_count") - 1, "i", block, partitions)
     # The high word times a 32-bit constant, mod 2^32, in 16-bit halves: no overflow.
     hi = F.col("base_hi").bitwiseAND(F.lit(U32))
     low_part = hi * F.lit(HIGH_WORD_MUL & 0xFFFF)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.exprs import MAX_CORRECTION, MIN_CORRECTION, STATES, TERMINAL
 from fleetlens.operators.ordered import (
-    Ewma, lower_mid, nearest_ranks, number_rows, rank_of, running, scan, upper_mid)
+    Ewma, expand, is_hot, lower_mid, nearest_ranks, number_rows, rank_of, running, scan, upper_mid, whole_div)
 
 
 def milli(c) -> Column:
@@ -263,18 +263,23 @@ def counter_deltas(timeline: DataFrame, by: list[str], order: list[str], cols: l
 
 def completion_cdf(accepts: DataFrame, condition: str, value: str, tie: str) -> DataFrame:
     """Sorted values of every condition on the percentile grid of the longest
-    one: grid point i reads rank int(i*len/n)."""
-    ranked = number_rows(accepts.select(condition, value, tie), [condition], [value, tie], "__r")
-    ranked = ranked.withColumn("__r", F.col("__r") - 1)
-    lens = accepts.groupBy(condition).agg(F.count(F.lit(1)).alias("len"))
-    n = lens.agg(F.max(F.struct(F.col("len"), F.col(condition).alias("c"))).alias("top"))
-    grid = (ranked.join(F.broadcast(n), F.col(condition) == F.col("top.c"))
-            .select(F.col("__r").alias("i"), F.col("top.len").alias("n")))
-    # ``lens`` has one row per condition being compared (two in the studies).
-    want = grid.join(F.broadcast(lens)).withColumn("__r", F.least(
-        F.floor((F.col("i") * F.col("len")).cast("double") / F.col("n")).cast("long"), F.col("len") - 1))
-    return (want.join(ranked.select(condition, "__r", value), [condition, "__r"])
-            .select(F.col("i"), (F.lit(100.0) * (F.col("i") + 1) / F.col("n")).alias("percentile"), condition, value))
+    one: grid point i reads rank int(i*len/n). Seen from the other side, rank r
+    serves the points ceil(r*n/len) up to ceil((r+1)*n/len) - 1, so every row
+    produces its own points and nothing is joined."""
+    keys = [condition]
+    rows = accepts.select(condition, value, tie)
+    hot = is_hot(rows, keys)
+    r = running(rows, keys, [value, tie], {"__r": ("count", F.lit(1)), "__len": ("total", F.lit(1))}, hot=hot)
+    longest = (accepts.groupBy(condition).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c").alias("__n")))
+    r = r.join(F.broadcast(longest))  # one row
+
+    def wide(c):
+        return F.col(c).cast("decimal(19,0)")
+
+    def ceil_of(rank):
+        return whole_div(rank * wide("__n") + wide("__len") - 1, wide("__len"))
+    points = expand(r, ceil_of(wide("__r") - 1), ceil_of(wide("__r")) - 1, "i")
+    return points.select("i", (F.lit(100.0) * (F.col("i") + 1) / F.col("__n")).alias("percentile"), condition, value)
 
 
 def scaling_efficiency(runs: DataFrame, base_workers: int = 1) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.operators.ordered import number_rows, running
+from fleetlens.operators.ordered import number_rows, running, whole_div
 
 DAY_MS = 86_400_000
 LEASE_MS = 30 * DAY_MS
@@ -44,8 +44,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def millis(c: str):
-    """Epoch milliseconds of a zone-less timestamp, floored."""
-    return F.floor(F.unix_micros(F.col(c).cast("timestamp")) / 1000).cast("long")
+    """Epoch milliseconds of a zone-less timestamp."""
+    return whole_div(F.unix_micros(F.col(c).cast("timestamp")), F.lit(1000).cast("long"))
 
 
 def one_of(c: str, mapping: dict[str, str]):
@@ -58,7 +58,7 @@ def one_of(c: str, mapping: dict[str, str]):
 def as_event_log(ev: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
     return ev.select(
-        "event_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("t_ms"),
+        "event_id", millis("ts").alias("t_ms"),
         one_of("event_type", EVENT_KINDS).alias("event"),
         ((F.col("user_id") * 7 + F.col("event_id")) % 4000).alias("task_id"),
         F.col("user_id").alias("worker_id"), (k + 1).alias("unit_count"),

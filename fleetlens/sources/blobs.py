@@ -33,11 +33,11 @@ def split_chunks(df: DataFrame, content: str, key: str = "address", size: int =
     total = F.ceil(n / F.lit(size)).cast("long")
     piece = F.transform(
         F.sequence(F.lit(0).cast("long"), total - 1),
-        lambda i: F.struct(i.alias("index"), F.substring(
+        lambda i: F.struct(i.alias("index"), total.alias("total"), F.substring(
             F.col(content), (i * size + 1).cast("int"), F.lit(size)).alias("part")))
-    # The pieces are cut before the explode, so the whole blob is not repeated per row.
-    return (df.where(n > 0).select(key, total.alias("total"), F.inline(piece))
-            .select(key, "index", "total", "part"))
+    # Pieces and total come out of one generator, so the blob itself is not
+    # carried along on every generated row.
+    return df.where(n > 0).select(key, F.inline(piece))
 
 
 def reassemble(chunks: DataFrame, manifest: DataFrame, size: int = CHUNK_BYTES,
