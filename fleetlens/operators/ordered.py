@@ -2,7 +2,7 @@
 
 A plain window puts a whole key into one task. That is the right plan while
 every key is small, so each operator here first looks at the optimiser's size
-estimate and, for large inputs, at the largest group (one column-pruned count). Past ``spark.fleetlens.hotRows`` the rows are range
+estimate and, for large inputs, at a bound on the largest group (``is_hot``). Past ``spark.fleetlens.hotRows`` the rows are range
 partitioned by (key, order), which cuts a hot key into as many ordered pieces
 as it needs; each piece is handled on its own and receives a carry from the
 pieces before it. Range partitioning leaves at most one key continuing into a
@@ -31,13 +31,7 @@ from fleetlens.session import cut_lineage, hot_rows, shuffle_partitions
 CHUNK = "__chunk"
 CARRY = "__carry_"
 BYTES_PER_ROW = 8
-
-
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    if not keys:
-        return df.count()
-    top = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return int(top or 0)
+BUCKETS = 65_536
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -46,12 +40,27 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def is_hot(df: DataFrame, keys: list[str]) -> bool:
-    """Whether some group is too large for one task. Inputs the optimiser knows
-    to be small are not counted: a wrong guess costs time, never rows."""
-    limit = hot_rows(df.sparkSession)
+    """Whether some group is too large for one task: more than
+    ``spark.fleetlens.hotRows`` rows and more than twice an average partition.
+
+    Inputs the optimiser knows to be small are not counted. Otherwise rows are
+    counted per hash bucket of the key, which bounds the largest group from
+    above: one scan of the key columns, combined on the map side to a fixed
+    number of buckets whatever the number of keys. A wrong guess costs time,
+    never rows."""
+    spark = df.sparkSession
+    limit = hot_rows(spark)
+    if limit <= 0:
+        return True
     if estimated_bytes(df) <= BYTES_PER_ROW * limit:
         return False
-    return largest_group(df, keys) > limit
+    if not keys:
+        return df.count() > limit
+    parts = shuffle_partitions(spark)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(max(BUCKETS, 8 * parts)))
+    top, total = (df.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+                  .agg(F.max("n"), F.sum("n")).first())
+    return (top or 0) > max(limit, 2 * (total or 0) / parts)
 
 
 def in_order(order: list[str]) -> list[Column]:

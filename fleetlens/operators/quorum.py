@@ -160,6 +160,12 @@ def number_pool(pool: DataFrame) -> DataFrame:
     return pool.withColumn("slot", (F.row_number().over(Window.orderBy("arrival")) - 1).cast("long"))
 
 
+def held_partials(partials: DataFrame, leases: DataFrame) -> DataFrame:
+    """Partials sent by the holder of the task's lease; others may not move the
+    sequence. ``leases`` (task_id, worker_id) may be static beside a stream."""
+    return partials.join(leases.select("task_id", "worker_id"), ["task_id", "worker_id"], "left_semi")
+
+
 def latest_partial(partials: DataFrame, finished: DataFrame) -> DataFrame:
     """The newest partial per unfinished task: greatest sequence, first arrival
     on a tie, payload replaced whole. Combines on the map side."""

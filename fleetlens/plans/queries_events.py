@@ -1,17 +1,21 @@
 """Event-log analytics over the test tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fleetlens.operators import joins as J
 from fleetlens.operators import summary as S
 from fleetlens.plans import bindings as B
 from fleetlens.plans.catalog import query
+from fleetlens.session import checkpoint_dir
+from fleetlens.sources.tables import read_result_table, write_result_table
 
 def _rank(q: str, n: str) -> str:
     return f"list_sort(ds)[CAST(least({n} - 1, floor({q}::DOUBLE * {n})) AS BIGINT) + 1]"
 
 
-@query("run_summary", ["ev"], f"""
+RUN_SUMMARY = f"""
 WITH g AS (SELECT run, count(*) FILTER (event = 'accept') AS tasks, sum(unit_count) FILTER (event = 'accept') AS units,
   greatest(1, max(t_ms) FILTER (event = 'accept') - min(t_ms) FILTER (event = 'grant')) AS wall_ms,
   list(duration_ms) FILTER (event = 'accept') AS ds, max(duration_ms) FILTER (event = 'accept') AS max_ms,
@@ -22,11 +26,23 @@ WITH g AS (SELECT run, count(*) FILTER (event = 'accept') AS tasks, sum(unit_cou
 SELECT run, tasks, CAST(units AS BIGINT) AS units, wall_ms, 1000.0::DOUBLE * units / wall_ms AS units_per_sec,
   (list_sort(ds)[(tasks - 1) // 2 + 1] + list_sort(ds)[tasks // 2 + 1]) / 2 AS p50_ms,
   {_rank('0.95', 'tasks')} AS p95_ms, {_rank('0.99', 'tasks')} AS p99_ms, max_ms, expiries, cancels,
-  speculative_grants, CAST(wasted_units AS BIGINT) AS wasted_units FROM g WHERE tasks > 0 AND grants > 0""")
+  speculative_grants, CAST(wasted_units AS BIGINT) AS wasted_units FROM g WHERE tasks > 0 AND grants > 0"""
+
+
+@query("run_summary", ["ev"], RUN_SUMMARY)
 def run_summary(spark, sf):
     return S.run_summary(B.event_log(spark, sf), ["run"])
 
 
+@query("result_table", ["ev"], f"SELECT *, 'SIMULATED' AS provenance FROM ({RUN_SUMMARY})")
+def result_table(spark, sf):
+    """The summary written as a labelled result table and read back."""
+    got = S.run_summary(B.event_log(spark, sf), ["run"])
+    path = f"{checkpoint_dir(spark)}/fleetlens-results/{uuid.uuid4().hex}"
+    write_result_table(got, path, "run_summary", "SIMULATED", "test tables")
+    return read_result_table(spark, path, got.schema).drop("source_file", "rev")
+
+
 @query("state_counts", ["tk"], """
 SELECT s AS state, (SELECT count(*) FROM tk WHERE state = s) AS count,
   (SELECT count(*) FROM tk WHERE state = s)::DOUBLE / (SELECT count(*) FROM tk) AS share

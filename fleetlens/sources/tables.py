@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,6 +62,23 @@ def write_with_provenance(df: DataFrame, path: str, label: str = "SIMULATED", no
      .write.parquet(path))
 
 
+def write_result_table(df: DataFrame, path: str, name: str, label: str = "SIMULATED", note: str | None = None,
+                       rev: str = "unknown") -> None:
+    """CSV whose every file opens with the ``#`` block naming the table, the
+    revision and the label; :func:`read_result_table` reads it back."""
+    _check_label(label)
+    head = [f"# {name}", f"# rev={rev}", f"# PROVENANCE: {label}", *([f"# {note}"] if note else []), ",".join(df.columns)]
+
+    def with_head(batches):
+        opened = False
+        for pdf in batches:
+            if len(pdf):
+                yield pdf if opened else pd.DataFrame({"value": [*head, *pdf["value"]]})
+                opened = True
+    lines = df.select(F.to_csv(F.struct(*df.columns)).alias("value"))
+    lines.mapInPandas(with_head, "value string").write.text(path)
+
+
 def require_provenance(df: DataFrame) -> DataFrame:
     """Refuse a table without a valid label on each row."""
     if LABEL not in df.columns:

@@ -151,8 +151,8 @@ def stream_first_result(results: DataFrame, watermark: str = WATERMARK) -> DataF
 
 def stream_partial(partials: DataFrame) -> DataFrame:
     """Newest partial per task, as an aggregation in update mode. Partials of
-    other workers than the lease holder must be filtered before (left semi
-    against the leases): they may not move the sequence."""
+    other workers than the lease holder are filtered before
+    (``quorum.held_partials``): they may not move the sequence."""
     rest = [c for c in partials.columns if c not in ("task_id", "sequence", "arrival")]
     best = partials.groupBy("task_id").agg(
         F.max_by(F.struct("sequence", "arrival", *rest), F.struct("sequence", -F.col("arrival"))).alias("p"))

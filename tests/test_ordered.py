@@ -61,6 +61,27 @@ def test_hot_key_is_cut_into_pieces(spark):
     assert per_key > 1 and largest < 3000 * 0.5
 
 
+def test_hot_groups_are_found(spark):
+    even = spark.createDataFrame([(i % 500,) for i in range(3000)], "k long")
+    _, df = skewed(spark)
+    spark.conf.set("spark.fleetlens.hotRows", "100")
+    try:
+        assert O.is_hot(df, ["k"]) and not O.is_hot(even, ["k"])
+        assert O.is_hot(even, [])  # one group of all rows
+    finally:
+        spark.conf.unset("spark.fleetlens.hotRows")
+    assert not O.is_hot(df, ["k"])
+
+
+@pytest.mark.parametrize("low, high", [(0, 0), (5, 4), (-3, 70_000)])
+def test_expand(spark, low, high):
+    df = spark.createDataFrame([(1, low, high)], "id long, a long, b long")
+    got = O.expand(df, F.col("a"), F.col("b"), "i", block=1000, spread=3)
+    n = max(0, high - low + 1)
+    assert got.agg(F.count("i"), F.count_distinct("i"), F.min("i"), F.max("i")).first()[:] == (
+        (n, n, low, high) if n else (0, 0, None, None))
+
+
 @pytest.mark.parametrize("split", [False, True])
 def test_nearest_ranks(spark, split):
     spark.conf.set("spark.fleetlens.hotRows", "0" if split else "1000000")

@@ -126,3 +126,10 @@ def test_latest_partial(spark):
                               "task_id long, sequence long, arrival long, units_done long")
     done = spark.createDataFrame([(2,)], "task_id long")
     assert [tuple(r) for r in Q.latest_partial(p, done).collect()] == [(1, 3, 2, 30)]
+
+
+def test_partials_of_strangers_are_refused(spark):
+    p = spark.createDataFrame([(1, 1, 1, 7), (1, 9, 2, 8)], "task_id long, sequence long, arrival long, worker_id long")
+    leases = spark.createDataFrame([(1, 7)], "task_id long, worker_id long")
+    got = Q.latest_partial(Q.held_partials(p, leases), leases.where("false")).collect()
+    assert [(r.sequence, r.worker_id) for r in got] == [(1, 7)]
