@@ -168,15 +168,14 @@ def ulp_distance_bits(a, b) -> Column:
 
 def float_rank(v) -> Column:
     """Signed rank of a finite float32 held as a number: the arithmetic twin of
-    :func:`ordered_bits`, exact because it only scales by powers of two."""
+    :func:`ordered_bits`. All scaling is by powers of two and therefore exact.
+    The logarithm can only miss its floor at an exact power of two, where both
+    exponents give the same rank; the logarithm of zero is null and skipped."""
     d = _c(v).cast("double")
     mag = F.abs(d)
-    guess = F.floor(F.log2(F.when(mag > 0, mag).otherwise(F.lit(1.0))))
-    low = F.when(F.pow(F.lit(2.0), guess) > mag, guess - 1).otherwise(guess)
-    exp = F.greatest(F.when(F.pow(F.lit(2.0), low + 1) <= mag, low + 1).otherwise(low), F.lit(-126))
+    exp = F.greatest(F.floor(F.log2(mag)), F.lit(-126).cast("long"))
     rank = (exp + F.lit(126)) * F.lit(8388608.0) + mag * F.pow(F.lit(2.0), F.lit(23) - exp)
-    return F.when(mag == 0, F.lit(0).cast("long")).otherwise(
-        F.when(d < 0, -rank).otherwise(rank).cast("long"))
+    return (F.signum(d) * rank).cast("long")
 
 
 def ulp_distance(a, b) -> Column:

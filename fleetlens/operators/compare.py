@@ -1,14 +1,16 @@
 """Comparing two results element by element.
 
-Inputs are long tables (id columns, pos, value) for the two sides, joined on
-the position; all verdicts are aggregates, so a large payload is spread over
-tasks like any other rows.
+Inputs are the two sides either as long tables (id columns, pos, value), joined
+on the position, or with whole payloads as arrays (id columns, value array),
+joined on the id and opened in place, which shuffles each payload once. All
+verdicts are aggregates, so elements combine before they are shuffled again.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from fleetlens.functions.exprs import U32, is_nan_bits, ulp_distance, ulp_distance_bits
 from fleetlens.operators.ordered import is_hot, nearest_ranks, rank_of, running
@@ -24,6 +26,16 @@ HALF_NORMAL = 2.5758
 
 def pair_up(a: DataFrame, b: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """One row per position in either payload: va, vb, in_a, in_b."""
+    if isinstance(a.schema[value].dataType, ArrayType):
+        j = (a.select(*keys, F.col(value).alias("pa"))
+             .join(b.select(*keys, F.col(value).alias("pb")), keys, "full")
+             .select(*keys, F.coalesce("pa", F.array()).alias("va"), F.coalesce("pb", F.array()).alias("vb")))
+        sizes = [F.size("va").alias("na"), F.size("vb").alias("nb")]
+        opened = j.select(*keys, *sizes, F.posexplode_outer(F.arrays_zip("va", "vb")).alias("pos", "e"))
+        # Two empty payloads keep one row that is in neither side.
+        return opened.select(*keys, F.col("pos").cast("long").alias("pos"), F.col("e.va").alias("va"),
+                             F.col("e.vb").alias("vb"), F.coalesce(F.col("pos") < F.col("na"), F.lit(False)).alias("in_a"),
+                             F.coalesce(F.col("pos") < F.col("nb"), F.lit(False)).alias("in_b"))
     left = a.select(*keys, "pos", F.col(value).alias("va"), F.lit(True).alias("in_a"))
     right = b.select(*keys, "pos", F.col(value).alias("vb"), F.lit(True).alias("in_b"))
     j = left.join(right, [*keys, "pos"], "full")

@@ -1,8 +1,8 @@
 """Order-dependent work per key that survives hot keys.
 
 A plain window puts a whole key into one task. That is the right plan while
-every key is small, so each operator here first looks at the optimiser's size
-estimate and, for large inputs, at a bound on the largest group (``is_hot``). Past ``spark.fleetlens.hotRows`` the rows are range
+every key is small, so each operator here first looks at how much the
+input reads and, if that is a lot, at a bound on the largest group (``is_hot``). Past ``spark.fleetlens.hotRows`` the rows are range
 partitioned by (key, order), which cuts a hot key into as many ordered pieces
 as it needs; each piece is handled on its own and receives a carry from the
 pieces before it. Range partitioning leaves at most one key continuing into a
@@ -35,15 +35,16 @@ BUCKETS = 65_536
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimiser's size estimate, the one it picks join strategies by."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """What the optimised plan reads: the size estimates of its leaves."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def is_hot(df: DataFrame, keys: list[str]) -> bool:
     """Whether some group is too large for one task: more than
     ``spark.fleetlens.hotRows`` rows and more than twice an average partition.
 
-    Inputs the optimiser knows to be small are not counted. Otherwise rows are
+    Inputs that read little are not counted. Otherwise rows are
     counted per hash bucket of the key, which bounds the largest group from
     above: one scan of the key columns, combined on the map side to a fixed
     number of buckets whatever the number of keys. A wrong guess costs time,

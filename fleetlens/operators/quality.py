@@ -94,11 +94,11 @@ def spot_sample(grants: DataFrame, scores: DataFrame, pool: DataFrame) -> DataFr
     drawn = grants.withColumn("roll", (h % 10000) / F.lit(10000.0)).where(F.col("roll") < max(RATE_UNPROVEN, RATE_TRUSTED))
     g = drawn.join(scores, "worker_id", "left").withColumn("score", F.coalesce("score", F.lit(0.5)))
     rate = F.when(F.col("score") >= PROVEN_AT, F.lit(RATE_TRUSTED)).otherwise(F.lit(RATE_UNPROVEN))
-    size = pool.agg(F.count(F.lit(1)).alias("pool_size"))
-    chosen = (g.where(F.col("roll") < rate).join(F.broadcast(size))
-              .where("pool_size > 0")
-              .withColumn("slot", F.shiftright(h, 16) % F.col("pool_size")))
-    return chosen.join(F.broadcast(pool), "slot").drop("pool_size")
+    # The pool is bounded, so it rides along as one array in one broadcast row.
+    packed = pool.agg(F.array_sort(F.collect_list(F.struct("slot", *[c for c in pool.columns if c != "slot"]))).alias("pool"))
+    chosen = g.where(F.col("roll") < rate).join(F.broadcast(packed)).where(F.size("pool") > 0)
+    at = (F.shiftright(h, 16) % F.size("pool") + 1).cast("int")
+    return chosen.withColumn("pick", F.element_at("pool", at)).select(*g.columns, "pick.*")
 
 
 def speculation_candidates(tasks: DataFrame, jobs: DataFrame, proposals: DataFrame, prior: DataFrame,

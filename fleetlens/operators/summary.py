@@ -125,18 +125,22 @@ def coverage_loss(audit: DataFrame, jobs: DataFrame) -> DataFrame:
                     (F.col("total_units") - covered).alias("units_lost"), F.coalesce("gaps", F.lit(0)).alias("gaps"))
 
 
+def grants_and_tasks(events: DataFrame, by: list[str]) -> DataFrame:
+    """Grants and distinct accepted tasks per group in one pass. Counting per
+    (group, task) first spreads a hot group over tasks of the cluster."""
+    per_task = events.groupBy(*by, "task_id").agg(
+        F.count_if(is_event("grant")).alias("g"), F.bool_or(is_event("accept")).alias("a"))
+    return per_task.groupBy(*by).agg(F.sum("g").alias("grants"), F.count_if("a").alias("tasks"))
+
+
 def detection_overhead(events: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:
     """Grants per distinct accepted task, and the share of lies not accepted.
     ``truth`` has ``by``, wrong, accepted."""
-    accept = is_event("accept")
-    grants = events.groupBy(*by).agg(F.count_if(is_event("grant")).alias("grants"))
-    # Distinct (by, task) first: the pair spreads a hot group over tasks.
-    done = (events.where(accept).select(*by, "task_id").dropDuplicates()
-            .groupBy(*by).agg(F.count(F.lit(1)).alias("tasks")))
+    per = grants_and_tasks(events, by)
     lies = truth.groupBy(*by).agg(F.count_if("wrong").alias("lies"),
                                   F.count_if(F.col("wrong") & F.col("accepted")).alias("accepted_wrong"))
-    j = grants.join(done, by, "left").join(lies, by, "left")
-    for c in ("tasks", "lies", "accepted_wrong"):
+    j = per.join(lies, by, "left")
+    for c in ("lies", "accepted_wrong"):
         j = j.withColumn(c, F.coalesce(c, F.lit(0)))
     return (j.withColumn("overhead", F.when(F.col("tasks") > 0, F.col("grants") / F.col("tasks")).otherwise(F.lit(0.0)))
             .withColumn("detected", F.col("lies") - F.col("accepted_wrong"))
@@ -151,17 +155,21 @@ def time_to_ready(workers: DataFrame, by: list[str], ready: str = "ready_ms", gr
         F.count_if(F.col(ready) >= 0).alias("n_ready"), F.count_if(F.col(ready) < 0).alias("never_ready"),
         F.sum(F.when(F.col(ready) >= 0, F.col(ready))).alias("sum_ready"),
         F.max(F.when(F.col(ready) >= 0, F.col(ready))).alias("max_ready"))
-    mids = {"lo": lower_mid, "hi": upper_mid}
-    r = nearest_ranks(workers.where(F.col(ready) >= 0), by, ready, mids).drop("n")
-    g = nearest_ranks(workers.where(F.col(grant) >= 0), by, grant, mids).drop("n").select(
-        *by, F.col("lo").alias("glo"), F.col("hi").alias("ghi"))
-    j = base.join(r, by, "left").join(g, by, "left")
+    # Both measures as one long table: one pass for both medians.
+    long = workers.select(*by, F.inline(F.array(
+        F.struct(F.lit("ready").alias("kind"), F.col(ready).alias("v")),
+        F.struct(F.lit("grant").alias("kind"), F.col(grant).alias("v"))))).where("v >= 0")
+    mids = nearest_ranks(long, [*by, "kind"], "v", {"lo": lower_mid, "hi": upper_mid})
+    mid = (F.col("lo") + F.col("hi")) / 2
+    wide = mids.groupBy(*by).agg(F.max(F.when(F.col("kind") == "ready", mid)).alias("ready_mid"),
+                                 F.max(F.when(F.col("kind") == "grant", mid)).alias("grant_mid"))
+    j = base.join(wide, by, "left")
     return j.select(
         *by, "n_ready", "never_ready",
-        F.coalesce((F.col("lo") + F.col("hi")) / 2, F.lit(-1.0)).alias("median_ms"),
+        F.coalesce("ready_mid", F.lit(-1.0)).alias("median_ms"),
         F.coalesce(F.try_divide(F.col("sum_ready"), F.col("n_ready")).cast("double"), F.lit(-1.0)).alias("mean_ms"),
         F.coalesce(F.col("max_ready").cast("double"), F.lit(-1.0)).alias("max_ms"),
-        F.coalesce((F.col("glo") + F.col("ghi")) / 2, F.lit(-1.0)).alias("median_grant_ms"))
+        F.coalesce("grant_mid", F.lit(-1.0)).alias("median_grant_ms"))
 
 
 def egress_ratio(runs: DataFrame, setting: str, arm: str, measure: str, control, treatment) -> DataFrame:
@@ -245,10 +253,7 @@ def overhead_thirds(events: DataFrame, by: list[str]) -> DataFrame:
              .when((F.col("t_ms") >= edges[2]) & (F.col("t_ms") < edges[3]), 3))
     ev = (events.where(F.col("event").isin("grant", "accept")).join(span, by)
           .withColumn("third", third).where("third is not null"))
-    grants = ev.groupBy(*by, "third").agg(F.count_if(is_event("grant")).alias("grants"))
-    tasks = (ev.where(is_event("accept")).select(*by, "third", "task_id").dropDuplicates()
-             .groupBy(*by, "third").agg(F.count(F.lit(1)).alias("tasks")))
-    j = grants.join(tasks, [*by, "third"], "left").withColumn("tasks", F.coalesce("tasks", F.lit(0)))
+    j = grants_and_tasks(ev, [*by, "third"])
     return j.select(*by, F.col("third").cast("long").alias("third"), "grants", "tasks",
                     F.when(F.col("tasks") > 0, F.col("grants") / F.col("tasks")).otherwise(F.lit(0.0)).alias("overhead"))
 

@@ -138,8 +138,7 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vector_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    v = vectors(spark, sf).select("label", "pair", "odd", F.posexplode("embedding").alias("pos", "value")) \
-        .withColumn("pos", F.col("pos").cast("long"))
+    v = vectors(spark, sf).select("label", "pair", "odd", F.col("embedding").alias("value"))
     return v.where("odd = 1").drop("odd"), v.where("odd = 0").drop("odd")
 
 

@@ -117,7 +117,8 @@ SELECT label, pair, count(*) FILTER (in_a) AS na, count(*) FILTER (in_b) AS nb,
 
 @query("compare_exact", ["pr"], VERDICT.format(extra="", cols="", src="(SELECT *, floor(va * 10) AS qa, floor(vb * 10) AS qb FROM pr)", bad="qa <> qb"))
 def compare_exact(spark, sf):
-    a, b = (s.withColumn("value", F.floor(F.col("value").cast("double") * 10)) for s in B.vector_sides(spark, sf))
+    a, b = (s.withColumn("value", F.transform("value", lambda v: F.floor(v.cast("double") * 10)))
+            for s in B.vector_sides(spark, sf))
     return C.compare_exact(a, b, ["label", "pair"])
 
 

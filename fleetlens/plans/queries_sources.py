@@ -86,7 +86,7 @@ def content_dedup(spark, sf):
 
 @query("blob_chunks", ["chunks"], "SELECT address, index, total, md5(part) AS digest, length(part) AS n FROM chunks")
 def blob_chunks(spark, sf):
-    blobs = L.stored_blobs(B.table(spark, sf, "documents"), "text", "doc_id")
+    blobs = L.stored_blobs(B.table(spark, sf, "documents"), "text")
     c = L.split_chunks(blobs, "text", size=1000)
     return c.select("address", "index", "total", F.md5(F.col("part").cast("binary")).alias("digest"), F.length("part").cast("long").alias("n"))
 

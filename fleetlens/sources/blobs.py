@@ -20,10 +20,11 @@ def content_put(df: DataFrame, bytes_col: str, id_col: str) -> DataFrame:
             .agg(F.max("bytes").alias("bytes"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("stored_id")))
 
 
-def stored_blobs(df: DataFrame, bytes_col: str, id_col: str) -> DataFrame:
-    """(address, content) with every distinct content once."""
-    kept = content_put(df, bytes_col, id_col).select("address", F.col("stored_id").alias(id_col))
-    return df.select(id_col, bytes_col).join(kept, id_col).select("address", bytes_col)
+def stored_blobs(df: DataFrame, bytes_col: str) -> DataFrame:
+    """(address, content) with every distinct content once. Equal contents
+    combine on the map side, so a copied blob is shuffled once per task."""
+    return (df.withColumn("address", F.sha2(F.col(bytes_col).cast("binary"), 256))
+            .groupBy("address").agg(F.first(bytes_col).alias(bytes_col)))
 
 
 def split_chunks(df: DataFrame, content: str, key: str = "address", size: int = CHUNK_BYTES) -> DataFrame:

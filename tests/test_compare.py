@@ -16,6 +16,10 @@ def side(spark, values, kind="float"):
     return spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], f"id long, pos long, value {kind}")
 
 
+def packed(spark, values, kind="float"):
+    return spark.createDataFrame([(1, values)], f"id long, value array<{kind}>")
+
+
 def exact(spark, a, b):
     return C.compare_exact(side(spark, a, "long"), side(spark, b, "long"), ["id"]).first()
 
@@ -54,6 +58,19 @@ def test_tolerant_special_values(spark, a, b, ok):
         assert (r.max_ulp, r.max_abs, r.max_rel) == (0xFFFFFFFF, INF, 0.0)
 
 
+@pytest.mark.parametrize("a, b", [([1.0, 2.0, 3.0], [1.0, 2.5, 3.0]), ([1.0, NAN], [1.0, NAN]), ([1.0, NAN], [1.0, 2.0]),
+                                  ([1.0], [1.0, 2.0]), ([1.0, 2.0], [1.0]), ([INF, -0.0], [INF, 0.0])])
+def test_array_payloads_compare_like_long_ones(spark, a, b):
+    want = tol(spark, a, b)
+    got = C.compare_tolerant(packed(spark, a), packed(spark, b), ["id"], 1e-9, 1e-6).first()
+    assert got.asDict() == want.asDict()
+
+
+def test_two_empty_payloads_match(spark):
+    got = C.compare_exact(packed(spark, [], "long"), packed(spark, [], "long"), ["id"]).first()
+    assert (got.verdict, got.elements, got.differing) == ("Match", 0, 0)
+
+
 def render(n, seed, bias=1.0, corrupt=0.0, scale=1.0, pixels=1024):
     rng = np.random.default_rng(seed)
     p = np.arange(pixels)
