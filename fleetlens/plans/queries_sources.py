@@ -135,7 +135,7 @@ def quality_report(spark, sf):
 
 
 @query("quarantine", [], """
-SELECT doc_id, CASE WHEN source = 'src1' THEN 1 ELSE 0 END + CASE WHEN lang = 'de' THEN 1 ELSE 0 END AS broken
+SELECT doc_id, CAST(CASE WHEN source = 'src1' THEN 1 ELSE 0 END + CASE WHEN lang = 'de' THEN 1 ELSE 0 END AS BIGINT) AS broken
 FROM documents WHERE source = 'src1' OR lang = 'de'""")
 def quarantine(spark, sf):
     m = B.messages(spark, sf).select("doc_id", "lease_held", "worker_is_prior")
