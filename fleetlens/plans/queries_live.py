@@ -20,11 +20,22 @@ def stream_table(spark, sf, name):
 
 
 def run_now(spark, df, mode, keys=None):
-    """Drain a stream into the shared folder and read the landed rows."""
+    """Drain a stream into the shared folder and read the landed rows.
+
+    A stream fixes its number of state partitions when it first starts and
+    AQE does not merge them, so on one machine it is set to the cores; a
+    cluster keeps its own setting."""
     base = f"{checkpoint_dir(spark)}/fleetlens-streams/{uuid.uuid4().hex}"
-    q = (S.stream_upsert(df, f"{base}/rows", mode).option("checkpointLocation", f"{base}/state")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    parts, sc = "spark.sql.shuffle.partitions", spark.sparkContext
+    before = spark.conf.get(parts)
+    if sc.master.startswith("local"):
+        spark.conf.set(parts, str(min(int(before), sc.defaultParallelism)))
+    try:
+        q = (S.stream_upsert(df, f"{base}/rows", mode).option("checkpointLocation", f"{base}/state")
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        spark.conf.set(parts, before)
     return S.read_upserted(spark, f"{base}/rows", keys)
 
 
