@@ -11,7 +11,7 @@ def duck():
     return oracle(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.catalog.QUERIES))
 def test_query(spark, duck, name):
     verdict, n, _ = compare(spark, duck, SF, name)
     assert verdict in ("ok", "rows-only")
@@ -19,7 +19,7 @@ def test_query(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.catalog.QUERIES) == set(entry.catalog.ORACLE)
 
 
 def test_entry(spark):
