@@ -86,3 +86,20 @@ FROM facts LEFT JOIN fits USING (page_id) LEFT JOIN scores USING (host)
 
 
 ORACLE["op2_url_filters"] = _url_sql()
+
+ORACLE["op4_ngram_jaccard_join"] = rf"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, coalesce(regexp_extract_all({LOWER.format("text")}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)] END) AS s FROM texts),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM shingles a JOIN shingles b USING (s)
+           WHERE a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM common JOIN sizes p ON x = p.doc_id JOIN sizes q ON y = q.doc_id WHERE 100 * i >= 75 * (p.n + q.n - i)),
+ends AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(x, y) AS (SELECT x, y FROM ends UNION SELECT r.x, b.y FROM reach r JOIN ends b ON r.y = b.x),
+least AS (SELECT x, min(y) AS m FROM reach GROUP BY x)
+SELECT t.doc_id, coalesce(n, 0) AS n_shingles, least(t.doc_id, coalesce(m, t.doc_id)) AS component_id
+FROM texts t LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON t.doc_id = least.x
+"""
