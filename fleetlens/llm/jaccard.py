@@ -42,8 +42,13 @@ ELEMENT_BITS = 48
 BATCH_SETS = 512
 
 PACKED = "bucket int, ids array<bigint>, sigs binary, sizes binary, counts binary, elements binary"
-COUNTED = "kind int, id bigint, sig bigint, n bigint, shared bigint"
+#: A text's facts (bucket null), or of many sets the number of their elements that other sets have too.
+COUNTED = "bucket int, id bigint, sig bigint, n bigint, sigs binary, counts binary"
+PARTS = "bucket int, sigs binary, sizes binary, counts binary, keys binary"
 KEYED = "sig bigint, n bigint, keys binary"
+ARROW = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
+#: Elements that a task holds before it packs them.
+HELD = 1_500_000
 
 
 def least_overlap(n):
@@ -60,32 +65,44 @@ def _signature(s: np.ndarray) -> int:
     return int(mix(mix(s).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s))).view(np.int64)[0])
 
 
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    schema = pa.schema([(c.split()[0], ARROW[c.split()[1]]) for c in schema.split(", ")])
+    return pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
+
+
+def _ranges(buckets: int, value: np.ndarray, bits: int) -> np.ndarray:
+    """The range, of so many, in which each number of so many bits lies."""
+    return ((value >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of equal values."""
+    cuts = np.flatnonzero(np.diff(x)) + 1
+    return (np.r_[0, cuts], np.r_[cuts, len(x)]) if len(x) else (cuts, cuts)
+
+
 def _pack(buckets: int, wanted: bool):
-    """Rows of texts to rows of packed elements by hash range, and (unless wanted) one row of the texts' own facts."""
+    """Texts to packed elements by hash range, and (unless wanted) to one row of the texts' own facts."""
     def flush(ids, sigs, sets, number):
         sig, size = np.array(sigs, np.int64), np.array([len(s) for s in sets], np.uint32)
-        if not wanted:
-            yield number % buckets, ids, sig.tobytes(), size.tobytes(), None, None
+        rows = [] if wanted else [(number % buckets, ids, sig.tobytes(), size.tobytes(), None, None)]
         _, once = np.unique(sig, return_index=True)
         once = once[size[once] > 0]
-        if not len(once):
-            return
-        elements = np.concatenate([sets[i] for i in once]) >> np.uint64(64 - ELEMENT_BITS)
-        owner = np.repeat(np.arange(len(once)), size[once])
-        bucket = ((elements >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(ELEMENT_BITS - 16)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        elements, owner, bucket = elements[order], owner[order], bucket[order]
-        cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)]
-        raw = elements.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            count = np.bincount(owner[a:b], minlength=len(once))
-            there = np.flatnonzero(count)
-            yield (int(bucket[a]), None, sig[once[there]].tobytes(), size[once[there]].tobytes(),
-                   count[there].astype(np.uint32).tobytes(), raw[a:b].tobytes())
+        if len(once):
+            elements = np.concatenate([sets[i] for i in once]) >> np.uint64(64 - ELEMENT_BITS)
+            owner = np.repeat(np.arange(len(once), dtype=np.int32), size[once])
+            bucket = _ranges(buckets, elements, ELEMENT_BITS)
+            order = np.argsort(bucket, kind="stable")
+            elements, owner, bucket = elements[order], owner[order], bucket[order]
+            raw = elements.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            for a, b in zip(*_runs(bucket), strict=True):
+                count = np.bincount(owner[a:b], minlength=len(once))
+                there = np.flatnonzero(count)
+                rows.append((int(bucket[a]), None, sig[once[there]].tobytes(), size[once[there]].tobytes() if wanted else b"",
+                             count[there].astype(np.uint32).tobytes(), raw[a:b].tobytes()))
+        return _batch(PACKED, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("sigs", pa.binary()),
-                            ("sizes", pa.binary()), ("counts", pa.binary()), ("elements", pa.binary())])
         number = TaskContext.get().partitionId()
         ids, sigs, sets, held = [], [], [], 0
         for batch in batches:
@@ -95,15 +112,15 @@ def _pack(buckets: int, wanted: bool):
                 for i, s, w in zip(part.column(0).to_pylist(), found, asked, strict=True):
                     sig = _signature(s) if len(s) else 0
                     if not wanted or sig == w:
-                        ids.append(i), sigs.append(sig), sets.append(s)
+                        ids.append(i)
+                        sigs.append(sig)
+                        sets.append(s)
                         held += len(s)
-                if held > 4_000_000:
-                    for row in flush(ids, sigs, sets, number):
-                        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True))], schema)
+                if held > HELD:
+                    yield flush(ids, sigs, sets, number)
                     ids, sigs, sets, held, number = [], [], [], 0, number + 1
         if ids:
-            for row in flush(ids, sigs, sets, number):
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True))], schema)
+            yield flush(ids, sigs, sets, number)
     return run
 
 
@@ -115,27 +132,28 @@ class _Bucket:
         self.sigs, self.sizes, self.owner, self.elements = [], [], [], []
 
     def add(self, row: dict) -> None:
-        sigs, sizes = np.frombuffer(row["sigs"], np.int64), np.frombuffer(row["sizes"], np.uint32)
-        counts = np.frombuffer(row["counts"], np.uint32)
+        sigs, counts = np.frombuffer(row["sigs"], np.int64), np.frombuffer(row["counts"], np.uint32)
         raw = np.frombuffer(row["elements"], np.uint8).reshape(-1, 6)
         new = np.array([s not in self.seen for s in sigs.tolist()])
+        base = len(self.seen)
         self.seen.update(sigs.tolist())
         raw = raw[np.repeat(new, counts)]
         wide = np.zeros((len(raw), 8), np.uint8)
         wide[:, :6] = raw
         self.elements.append(wide.reshape(-1).view("<u8"))
-        self.owner.append(np.repeat(np.arange(int(new.sum()), dtype=np.int64) + sum(map(len, self.sigs)), counts[new]))
+        self.owner.append(np.repeat(np.arange(base, base + int(new.sum()), dtype=np.int32), counts[new]))
         self.sigs.append(sigs[new])
-        self.sizes.append(sizes[new])
+        if row["sizes"]:
+            self.sizes.append(np.frombuffer(row["sizes"], np.uint32)[new])
 
     def counted(self):
         """(sigs, sizes, owner, element, frequency) sorted by element."""
         elements, owner = np.concatenate(self.elements), np.concatenate(self.owner)
         order = np.argsort(elements)
         elements, owner = elements[order], owner[order]
-        starts = np.r_[0, np.flatnonzero(np.diff(elements)) + 1]
-        number = np.diff(np.r_[starts, len(elements)])
-        return np.concatenate(self.sigs), np.concatenate(self.sizes), owner, elements, np.repeat(number, number)
+        a, b = _runs(elements)
+        sizes = np.concatenate(self.sizes) if self.sizes else None
+        return np.concatenate(self.sigs), sizes, owner, elements, np.repeat(b - a, b - a)
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]):
@@ -155,49 +173,89 @@ def _buckets(batches: Iterator[pa.RecordBatch]):
         yield held, None
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Facts of texts (kind 0), and how many elements of a set occur in other sets (kind 1)."""
-    def out(kind, ids, sig, n, shared):
-        rows = len(sig)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(rows, kind, np.int32)), pa.array(ids, pa.int64()) if ids else pa.nulls(rows, pa.int64()),
-                                           pa.array(sig), pa.array(n.astype(np.int64)), pa.array(shared)], ["kind", "id", "sig", "n", "shared"])
-    for bucket, row in _buckets(batches):
-        if row is not None:
-            n = np.frombuffer(row["sizes"], np.uint32)
-            yield out(0, row["ids"], np.frombuffer(row["sigs"], np.int64), n, np.zeros(len(n), np.int64))
-        else:
-            sigs, sizes, owner, _, number = bucket.counted()
-            shared = np.bincount(owner[number > 1], minlength=len(sigs)).astype(np.int64)
-            there = shared > 0
-            yield out(1, None, sigs[there], sizes[there], shared[there])
-
-
-def _key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of every set the elements in this bucket that other sets have too, as frequency and hash in one number."""
-    for bucket, _ in _buckets(batches):
-        sigs, sizes, owner, elements, number = bucket.counted()
-        keep = number > 1
-        keys = (np.minimum(number[keep], 65535).astype(np.uint64) << np.uint64(ELEMENT_BITS)) | elements[keep]
-        owner = owner[keep]
-        order = np.argsort(owner, kind="stable")
-        keys, owner = keys[order], owner[order]
-        cuts = np.r_[0, np.flatnonzero(np.diff(owner)) + 1, len(owner)] if len(owner) else np.zeros(1, np.int64)
-        which = owner[cuts[:-1]] if len(owner) else np.zeros(0, np.int64)
-        data = [keys[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(sigs[which]), pa.array(sizes[which].astype(np.int64)),
-                                          pa.array(data, pa.binary())], ["sig", "n", "keys"])
+def _count(buckets: int):
+    """Facts of texts, and in how many of its elements here a set meets others, packed by ranges of the signature."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, row in _buckets(batches):
+            if row is not None:
+                n, sig = np.frombuffer(row["sizes"], np.uint32), np.frombuffer(row["sigs"], np.int64)
+                none, no_data = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [none, pa.array(row["ids"], pa.int64()), pa.array(sig), pa.array(n.astype(np.int64)),
+                     no_data, no_data], ["bucket", "id", "sig", "n", "sigs", "counts"])
+                continue
+            sigs, _, owner, _, number = bucket.counted()
+            shared = np.bincount(owner[number > 1], minlength=len(sigs)).astype(np.uint32)
+            group = _ranges(buckets, sigs.view(np.uint64), 64)
+            order = np.argsort(group, kind="stable")
+            order = order[shared[order] > 0]
+            yield _batch(COUNTED, [(int(group[order[a]]), None, None, None, sigs[order[a:b]].tobytes(), shared[order[a:b]].tobytes())
+                                   for a, b in zip(*_runs(group[order]), strict=True)])
+    return run
+
+
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up the counts of each range of signatures; the rows of a range come one after another."""
+    def out(rows):
+        sig, place = np.unique(np.concatenate([np.frombuffer(r["sigs"], np.int64) for r in rows]), return_inverse=True)
+        count = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows])
+        return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.bincount(place, count).astype(np.int64))], ["sig", "shared"])
+    rows = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if rows and rows[-1]["bucket"] != row["bucket"]:
+                yield out(rows)
+                rows = []
+            rows.append(row)
+    if rows:
+        yield out(rows)
+
+
+def _key(buckets: int):
+    """Of every set the elements here that other sets have too, as frequency and hash in one number, packed as before."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, _ in _buckets(batches):
+            sigs, sizes, owner, elements, number = bucket.counted()
+            keep = number > 1
+            keys = (np.minimum(number[keep], 65535).astype(np.uint64) << np.uint64(ELEMENT_BITS)) | elements[keep]
+            owner = owner[keep]
+            group = _ranges(buckets, sigs.view(np.uint64), 64)[owner]
+            order = np.lexsort((owner, group))
+            keys, owner, group = keys[order], owner[order], group[order]
+            rows = []
+            for a, b in zip(*_runs(group), strict=True):
+                start, end = _runs(owner[a:b])
+                there = owner[a:b][start]
+                rows.append((int(group[a]), sigs[there].tobytes(), sizes[there].tobytes(),
+                             (end - start).astype(np.uint32).tobytes(), keys[a:b].tobytes()))
+            yield _batch(PARTS, rows)
+    return run
 
 
 def _order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Joins the parts of a set and sorts them; sets that can have no partner go."""
+    """Joins the parts of every set of a range of signatures and sorts them; sets that can have no partner go."""
+    def out(rows):
+        read = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows])
+        sigs, sizes, counts, keys = read("sigs", np.int64), read("sizes", np.uint32), read("counts", np.uint32), read("keys", np.uint64)
+        each = np.repeat(sigs, counts)
+        order = np.lexsort((keys, each))
+        keys, each = keys[order], each[order]
+        n_of = dict(zip(sigs.tolist(), sizes.tolist(), strict=True))
+        found = []
+        for a, b in zip(*_runs(each), strict=True):
+            sig = int(each[a])
+            if b - a >= least_overlap(n_of[sig]):
+                found.append((sig, n_of[sig], keys[a:b].tobytes()))
+        return _batch(KEYED, found)
+    rows = []
     for batch in batches:
-        sig, n, data = [], [], []
         for row in batch.to_pylist():
-            keys = np.sort(np.frombuffer(b"".join(row["parts"]), np.uint64))
-            if len(keys) >= least_overlap(row["n"]):
-                sig.append(row["sig"]), n.append(row["n"]), data.append(keys.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(n, pa.int64()), pa.array(data, pa.binary())],
-                                         ["sig", "n", "keys"])
+            if rows and rows[-1]["bucket"] != row["bucket"]:
+                yield out(rows)
+                rows = []
+            rows.append(row)
+    if rows:
+        yield out(rows)
 
 
 def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,10 +381,10 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .sortWithinPartitions("probe", "part", "kind").mapInArrow(_verify, "a bigint, b bigint"))
 
 
-def _through_buckets(rows: DataFrame, wanted: bool, then, schema: str) -> DataFrame:
+def _grouped(rows: DataFrame, then, schema: str) -> DataFrame:
+    """``then`` over the rows of each bucket, which come one after another."""
     parts = shuffle_partitions(rows.sparkSession)
-    packed = rows.mapInArrow(_pack(4 * parts, wanted), PACKED)
-    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(then, schema)
+    return rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(then, schema)
 
 
 def join_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -338,18 +396,20 @@ def join_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     empty table gives an empty table; other columns are ignored. Texts of any length are taken whole.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    counted = saved(_through_buckets(rows, False, _count, COUNTED), "counted")
-    texts = counted.where("kind = 0").select("id", "sig", "n")
-    able = (counted.where("kind = 1").groupBy("sig").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"))
-            .where(f"{DEN} * shared >= {NUM} * n"))
-    chosen = saved(texts.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep")).join(able, "sig").select("rep", "sig"), "able")
+    buckets = shuffle_partitions(docs.sparkSession)
+    counted = saved(_grouped(rows.mapInArrow(_pack(buckets, False), PACKED), _count(buckets), COUNTED), "counted")
+    texts = counted.where("bucket is null").select("id", "sig", "n")
+    shared = _grouped(counted.where("bucket is not null"), _sum, "sig bigint, shared bigint")
+    first = texts.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
+    chosen = saved(first.join(shared, "sig").where(f"{DEN} * shared >= {NUM} * n").select("rep", "sig"), "able")
     again = rows.join(small(chosen), F.col("id").eqNullSafe(F.col("rep"))).select("id", "text", "sig")
-    parts = _through_buckets(again, True, _key, KEYED)
-    sets = saved(parts.groupBy("sig", "n").agg(F.collect_list("keys").alias("parts")).mapInArrow(_order, KEYED), "sets")
+    parts = _grouped(again.mapInArrow(_pack(buckets, True), PACKED), _key(buckets), PARTS)
+    sets = saved(_grouped(parts, _order, KEYED), "sets")
 
-    leads = sets.mapInArrow(_leads, "j int, least bigint, sig bigint, n bigint, rate double")
-    leader = leads.groupBy("j", "least").agg(F.max_by(F.struct("sig", "n"), F.struct("rate", "sig")).alias("top"), F.count("*").alias("many"))
-    near = (leads.join(leader.where("many > 1"), ["j", "least"]).where("sig <> top.sig")
+    leads = saved(sets.mapInArrow(_leads, "j int, least bigint, sig bigint, n bigint, rate double"), "leads")
+    leader = saved(leads.groupBy("j", "least").agg(F.max_by(F.struct("sig", "n"), F.struct("rate", "sig")).alias("top"), F.count("*").alias("many"))
+                   .where("many > 1"), "leaders")
+    near = (leads.join(leader, ["j", "least"]).where("sig <> top.sig")
             .where(f"{DEN} * least(n, top.n) >= {NUM} * greatest(n, top.n)")
             .select(F.col("top.sig").alias("probe"), F.col("sig").alias("cand")).distinct())
     links = saved(verify(saved(near, "near"), sets), "links")
