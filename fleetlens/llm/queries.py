@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import curriculum, jaccard, tokens, urls
+from fleetlens.llm import curriculum, decontaminate, jaccard, tokens, urls
 from fleetlens.llm.common import table
 from fleetlens.llm.sql import ORACLE  # noqa: F401
 from fleetlens.session import tune
@@ -29,6 +29,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id").drop("text_key")
+
+
 @query
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")

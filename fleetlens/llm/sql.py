@@ -103,3 +103,28 @@ least AS (SELECT x, min(y) AS m FROM reach GROUP BY x)
 SELECT t.doc_id, coalesce(n, 0) AS n_shingles, least(t.doc_id, coalesce(m, t.doc_id)) AS component_id
 FROM texts t LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON t.doc_id = least.x
 """
+
+ORACLE["op1_benchmark_decontamination"] = rf"""
+WITH words AS (
+  SELECT doc_id, coalesce(regexp_extract_all({LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+item_words AS (
+  SELECT item_id, regexp_extract_all({LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[pos:pos+n-1], ' ') AS s
+  FROM (SELECT item_id, n, w, unnest(range(1, len(w) - n + 2)) AS pos
+        FROM (SELECT *, least(len(w), 13) AS n FROM item_words WHERE len(w) > 0))),
+places AS (
+  SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS pos, w
+  FROM words, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n),
+found AS (
+  SELECT doc_id, p.n, pos, item_id FROM places p JOIN windows v ON v.n = p.n AND v.s = array_to_string(w[pos:pos+p.n-1], ' ')),
+hit AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit
+  FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS place FROM (SELECT DISTINCT doc_id, n, pos FROM found)) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS names
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
