@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import curriculum, decontaminate, jaccard, tokens, urls
+from fleetlens.llm import curriculum, decontaminate, jaccard, sketch, tokens, urls
 from fleetlens.llm.common import table
 from fleetlens.llm.sql import ORACLE  # noqa: F401
 from fleetlens.session import tune
@@ -45,6 +45,11 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_texts(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.fingerprints(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokens.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
