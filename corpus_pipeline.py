@@ -3,12 +3,52 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fleetlens.llm.common import saved, table
+from fleetlens.llm import curriculum, decontaminate, jaccard, quality, tokens
+from fleetlens.llm.common import saved, small, table
+from fleetlens.llm.queries import tokenizer_path
 from fleetlens.session import tune
 
-STAGES: list = []
-#: Model training and the tokenizer are beyond SQL.
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    rated = quality.classify(docs, table(spark, sf_dir, "labels"))
+    return rated.where("_good").select(docs.columns)
+
+
+def keep_one_of_alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that whose id is the group's. Documents without words all stay."""
+    found = jaccard.join_texts(docs)
+    gone = saved(found.where("n_shingles > 0 and not (id <=> component_id)").select(F.col("id").alias("_gone")).distinct(), "gone")
+    return docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by benchmark items."""
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    gone = saved(found.where("contaminated").select(F.col("id").alias("_gone"), "text_key").distinct(), "gone")
+    return docs.join(small(gone), F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.xxhash64("text") == F.col("text_key")), "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources in training order; documents are repeated or left out to meet the sources' targets."""
+    return curriculum.mix(docs).select(docs.columns)
+
+
+def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files, read back: a row per document."""
+    return tokens.read_tokens(spark, tokens.write_tokens(docs, tokenizer_path()), with_ids=False).drop("ids")
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("n-gram Jaccard join", keep_one_of_alike),
+    ("benchmark decontamination", drop_contaminated),
+    ("mixing sources to target weights", mix_sources),
+    ("token-ID / binary output", to_tokens),
+]
+#: Model training and the tokenizer are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
@@ -18,4 +58,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), "stage")
-    return STAGES[-1][1](spark, docs, sf_dir) if STAGES else docs
+    return STAGES[-1][1](spark, docs, sf_dir)

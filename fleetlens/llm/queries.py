@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import curriculum, decontaminate, jaccard, sketch, tokens, urls
+from fleetlens.llm import (
+    curriculum, decontaminate, jaccard, language, lines, quality, sketch, tokens, toxicity, urls)
 from fleetlens.llm.common import table
 from fleetlens.llm.sql import ORACLE  # noqa: F401
 from fleetlens.session import tune
@@ -40,6 +41,17 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages and all documents: a row has a page_id or a doc_id."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs)
+    own, other = F.col("id"), F.lit(None).cast("bigint")
+    pages = language.page_languages(table(spark, sf_dir, "pages"), model).withColumns({"doc_id": other, "page_id": own})
+    texts = language.document_languages(docs, model).withColumns({"doc_id": own, "page_id": other})
+    return pages.unionByName(texts).drop("id")
+
+
 @query
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_texts(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
@@ -50,12 +62,33 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprints(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rated.select("doc_id", F.col("_held_out").alias("held_out"), F.col("_score").alias("score"),
+                        F.col("_good").cast("int").alias("predicted"))
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rated.select("doc_id", F.col("_score").alias("score"), F.col("_severity").alias("severity"),
+                        F.col("_grade").alias("grade"), F.col("_toxic").alias("toxic"))
+
+
 @query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokens.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
     return tokens.read_tokens(spark, path, with_ids=False).drop("ids")
 
 
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.col("_lines").alias("n_lines"), F.size("_removed").alias("n_removed"), F.col("_removed").alias("removed"),
+        F.col("_kept_text").alias("text"))
+
+
 @query
 def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.assign(table(spark, sf_dir, "documents")).select(

@@ -28,8 +28,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, number of words per text); A-Z in lower case, words between ASCII blanks."""
+def word_hashes(texts: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, number of words per text); words between ASCII blanks, A-Z in lower case if ``fold``."""
     texts = texts.cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
     size = int(offsets[-1] - offsets[0])
@@ -37,7 +37,8 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
     data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
     offsets = offsets - offsets[0]
-    data = data + (((data >= 65) & (data <= 90)).astype(np.uint8) << 5)
+    if fold:
+        data = data + (((data >= 65) & (data <= 90)).astype(np.uint8) << 5)
     solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
     first = solid.copy()
     first[1:] &= ~solid[:-1]
