@@ -25,11 +25,12 @@ from fleetlens.llm.shingles import BASE, mix
 TRAIN_ROWS = 8000
 #: Words with this share of toxic documents, and so many at least, are marked; so many marked words make a grade.
 MARKED_SHARE, MARKED_DOCS, GRADE_WORDS = 0.9, 4, (0, 3, 6)
-#: Documents that a feature needs, steps, and strength of the absolute and the square penalty.
-LEAST_DOCS, STEPS, SPARSE, RIDGE = 3, 250, 1e-4, 1e-4
+#: Documents that a feature needs, the share of documents that it may be in, steps and their size, and strength of the
+#: absolute and the square penalty.
+LEAST_DOCS, MOST_SHARE, STEPS, STEP, SPARSE, RIDGE = 3, 0.2, 200, 8.0, 1e-4, 1e-5
 #: Bytes of the start of a word that are a feature too.
 START = 5
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -94,24 +95,25 @@ def fit(labels: np.ndarray, used: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
         return weight.astype(np.float32), np.arange(levels) + 10.0
     grade = grades(labels, used)
     flat = np.concatenate(used)
-    common = np.bincount(flat, minlength=subwords.BUCKETS) >= LEAST_DOCS
-    used = [u[common[u]] for u in used]
+    number = np.bincount(flat, minlength=subwords.BUCKETS)
+    telling = (number >= LEAST_DOCS) & (number <= MOST_SHARE * len(used))
+    used = [u[telling[u]] for u in used]
     flat, owner = np.concatenate(used), np.repeat(np.arange(len(used)), [len(u) for u in used])
     above = np.stack([grade > k for k in range(levels)], 1).astype(float)
     # Start from the thresholds of the grades' shares; keep a least distance between them.
     t = np.log((len(grade) - above.sum(0) + 1) / (above.sum(0) + 1))
-    last, ahead, pace, step = weight, weight.copy(), 1.0, 4.0
+    ahead, pace = weight.copy(), 1.0
     for _ in range(STEPS):
         s = np.bincount(owner, ahead[flat], len(used))
         gap = 1 / (1 + np.exp(-(s[:, None] - t))) - above
         grad = np.bincount(flat, (gap.mean(1) / len(used))[owner], subwords.BUCKETS) + RIDGE * ahead
-        new = ahead - step * grad
-        new = np.sign(new) * np.maximum(np.abs(new) - step * SPARSE, 0)
+        new = ahead - STEP * grad
+        new = np.sign(new) * np.maximum(np.abs(new) - STEP * SPARSE, 0)
         t = np.maximum.accumulate(t + 2.0 * gap.mean(0) + np.arange(levels) * 1e-6)
         pace, before = (1 + np.sqrt(1 + 4 * pace * pace)) / 2, pace
-        ahead = new + (before - 1) / pace * (new - last)
-        last = new
-    return last.astype(np.float32), t
+        ahead = new + (before - 1) / pace * (new - weight)
+        weight = new
+    return weight.astype(np.float32), t
 
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
