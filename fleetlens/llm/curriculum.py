@@ -56,7 +56,7 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 def demand_time(share: Column, slope: Column) -> Column:
     """The time by which a source has given ``share`` (0..1) of its words: the inverse of t + slope * (t*t - t)."""
-    return 2 * share / ((1 - slope) + F.sqrt((1 - slope) * (1 - slope) + 4 * slope * share))
+    return F.when(share <= 0, 0.0).otherwise(2 * share / ((1 - slope) + F.sqrt((1 - slope) * (1 - slope) + 4 * slope * share)))
 
 
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

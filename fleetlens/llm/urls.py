@@ -63,8 +63,8 @@ def host_ranks(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> Data
         .select("host", "s.forward", "s.mass").where("mass > 0"), "seeds")
     rank = start
     for n in range(rounds if hops.limit(1).count() else 0):
-        sent = (rank.join(hops, (rank.host == hops["at"]) & (rank.forward == hops.forward))
-                .select(F.col("to").alias("host"), hops.forward, F.expr(f"mass * {FOLLOW} div (100 * degree)").alias("mass")))
+        sent = (rank.withColumnRenamed("host", "at").join(hops, ["at", "forward"])
+                .select(F.col("to").alias("host"), "forward", F.expr(f"mass * {FOLLOW} div (100 * degree)").alias("mass")))
         rank = start.unionAll(sent).groupBy("host", "forward").agg(F.sum("mass").alias("mass"))
         if n % CUT_EVERY == CUT_EVERY - 1:
             rank = saved(rank, "rank")
