@@ -72,7 +72,7 @@ def _shr(v: Column, bits: Column) -> Column:
 
 
 def pcg_state(v: Column) -> Column:
-    return (v * F.lit(PCG_MUL) + F.lit(PCG_ADD)).bitwiseAND(F.lit(U32))
+    return (v.bitwiseAND(F.lit(U32)) * F.lit(PCG_MUL) + F.lit(PCG_ADD)).bitwiseAND(F.lit(U32))
 
 
 def pcg_word(state: Column) -> Column:
@@ -85,7 +85,7 @@ def pcg_fold(word: Column) -> Column:
 
 
 def pcg_hash(v) -> Column:
-    """One hash round of an unsigned 32-bit value held in a bigint."""
+    """One hash round of a bigint's low 32 bits."""
     return pcg_fold(pcg_word(pcg_state(_c(v).cast("long"))))
 
 

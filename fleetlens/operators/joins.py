@@ -59,11 +59,13 @@ def locality_pick(queue: DataFrame, holdings: DataFrame, workers: DataFrame) ->
 
 def grant_accept_asof(events: DataFrame) -> DataFrame:
     """Accepts timed from the worker's latest grant: one ordered pass, no
-    range join. Accepts without an earlier grant keep a null."""
+    range join. An accept uses its grant up: one without a grant of its own since
+    the worker's last accept keeps a null."""
     ev = events.where(F.col("event").isin("grant", "accept"))
-    grant_at = F.when(F.col("event") == "grant", F.struct("t_ms", "task_id", "unit_count"))
     ev = ev.select("event_id", "worker_id", "t_ms", "event", "task_id", "unit_count")
-    got = running(ev, ["worker_id"], ["t_ms", "event_id"], {"g": ("last", grant_at)})
+    before = F.struct("t_ms", "task_id", "unit_count", (F.col("event") == "grant").alias("open"))
+    got = running(ev, ["worker_id"], ["t_ms", "event_id"], {"b": ("last", before)}, inclusive=False)
+    got = got.withColumn("g", F.when(F.col("b.open"), F.col("b")))
     return got.where(F.col("event") == "accept").select(
         "event_id", "worker_id", "task_id", "t_ms", F.col("g.t_ms").alias("granted_at_ms"),
         F.col("g.task_id").alias("granted_task_id"), (F.col("t_ms") - F.col("g.t_ms")).alias("actual_ms"))
@@ -106,9 +108,11 @@ def reference_check(subs: DataFrame, expected: DataFrame, keys: list[str],
         F.count_if(F.col("accepted") & known & ~same).alias("accepted_wrong"))
 
 
-def spot_resolve(issued: DataFrame, results: DataFrame) -> DataFrame:
-    """Known-answer tasks resolved; a failure costs severity 4 doubled, cut to 4."""
-    j = issued.select("task_id", "expected_checksum").join(results, "task_id")
+def spot_resolve(issued: DataFrame, results: DataFrame, order: list[str]) -> DataFrame:
+    """Known-answer tasks resolved by the first result in ``order``, which uses the
+    check up; a failure costs severity 4 doubled, cut to 4."""
+    first = results.groupBy("task_id").agg(F.min_by(F.struct("worker_id", "checksum"), F.struct(*order)).alias("r"))
+    j = issued.select("task_id", "expected_checksum").join(first, "task_id").select("task_id", "expected_checksum", "r.*")
     ok = F.col("checksum") == F.col("expected_checksum")
     return j.select("task_id", "worker_id", ok.alias("correct"),
                     F.when(ok, F.lit(0.0)).otherwise(F.least(F.lit(4.0) * 2, F.lit(4.0))).alias("penalty"))

@@ -89,15 +89,16 @@ def spot_sample(grants: DataFrame, scores: DataFrame, pool: DataFrame) -> DataFr
     """Grants replaced by a known range. ``scores`` (worker_id, score) may miss
     workers, who then score the prior. ``pool`` (slot, start_unit, unit_count,
     checksum) is numbered from 0 and bounded (known_pool keeps 256)."""
-    h = F.col("task_id") * F.lit(SPOT_MULTIPLIER)
+    # The product wraps at 64 bits without a sign.
+    h = F.expr(f"cast(task_id as decimal(20, 0)) * {SPOT_MULTIPLIER} % {1 << 64}")
     # No score draws at more than the unproven rate: nine in ten grants leave before the join.
-    drawn = grants.withColumn("roll", (h % 10000) / F.lit(10000.0)).where(F.col("roll") < max(RATE_UNPROVEN, RATE_TRUSTED))
+    drawn = grants.withColumn("roll", (h % 10000).cast("long") / F.lit(10000.0)).where(F.col("roll") < max(RATE_UNPROVEN, RATE_TRUSTED))
     g = drawn.join(scores, "worker_id", "left").withColumn("score", F.coalesce("score", F.lit(0.5)))
     rate = F.when(F.col("score") >= PROVEN_AT, F.lit(RATE_TRUSTED)).otherwise(F.lit(RATE_UNPROVEN))
     # The pool is bounded, so it rides along as one array in one broadcast row.
     packed = pool.agg(F.array_sort(F.collect_list(F.struct("slot", *[c for c in pool.columns if c != "slot"]))).alias("pool"))
     chosen = g.where(F.col("roll") < rate).join(F.broadcast(packed)).where(F.size("pool") > 0)
-    at = (F.shiftright(h, 16) % F.size("pool") + 1).cast("int")
+    at = (F.floor(h / 65536).cast("long") % F.size("pool") + 1).cast("int")
     return chosen.withColumn("pick", F.element_at("pool", at)).select(*g.columns, "pick.*")
 
 

@@ -1,8 +1,9 @@
 """Replica quorum. Submissions carry ``seq``, their dense arrival number per
-task. A verdict is taken per round of at most ``cap`` answers: an undecided
-round is cleared and the next starts empty, so rounds are the consecutive
-blocks of ``cap`` arrivals and can be judged side by side. The first accepted
-round settles the task; what arrives after it is late."""
+task. The verdict is taken anew at every arrival, over the answers of the round
+so far, and the first accepting one settles the task; what arrives after it is
+late and gets neither credit nor charge. An undecided round of ``cap`` answers
+is cleared and the next starts empty, so rounds are consecutive blocks of
+``cap`` arrivals and can be judged side by side."""
 
 from __future__ import annotations
 
@@ -19,37 +20,62 @@ def with_rounds(subs: DataFrame, cap: int = MAX_REPLICAS) -> DataFrame:
     return subs.withColumn("round", F.floor((F.col("seq") - 1) / F.lit(cap)))
 
 
-def _action(best: Column, n: Column, required, cap: int) -> Column:
+def _clusters(subs: DataFrame, required, cap: int, value: str, agree) -> DataFrame:
+    """Per (task, round): ``rows`` in arrival order, and ``clusters`` as they stood
+    when the round was decided, or at its last row.
+
+    An answer joins the first cluster in which it agrees with every member, later
+    against earlier. ``required`` is a number, or the column with the agreement
+    that the arriving worker's own record asks for. A round has at most ``cap``
+    rows, so it is folded as one small array inside the JVM."""
     need = required if isinstance(required, Column) else F.lit(required)
-    return (F.when(best >= need, "Accept")
-            .when(n < cap, "NeedMoreReplicas")
-            .when(best * 2 > n, "Accept")
-            .otherwise("Inconclusive"))
+    r = with_rounds(subs, cap).groupBy("task_id", "round").agg(F.array_sort(F.collect_list(
+        F.struct("seq", "worker_id", F.col(value).alias("v"), need.cast("long").alias("need")))).alias("rows"))
+    elem = r.schema["rows"].dataType.simpleString()
+
+    def place(clusters, x):
+        fits = F.transform(clusters, lambda c: F.forall(c, lambda m: agree(x["v"], m["v"])))
+        at = F.array_position(fits, True)
+        joined = F.transform(clusters, lambda c, i: F.when(i + 1 == at, F.concat(c, F.array(x))).otherwise(c))
+        return F.when(at > 0, joined).otherwise(F.concat(clusters, F.array(F.array(x))))
+
+    def arrive(state, x):
+        placed = place(state["clusters"], x)
+        enough = F.array_max(F.transform(placed, lambda c: F.size(c))) >= x["need"]
+        return F.when(state["done"], state).otherwise(F.struct(placed.alias("clusters"), enough.alias("done")))
+
+    start = F.struct(F.array().cast(f"array<{elem}>").alias("clusters"), F.lit(False).alias("done"))
+    g = r.withColumn("state", F.aggregate("rows", start, arrive))
+    g = g.select("task_id", "round", F.size("rows").alias("received"), F.col("state.clusters").alias("clusters"),
+                 F.col("state.done").alias("done"))
+    sizes = F.transform("clusters", lambda c: F.size(c))
+    g = g.withColumn("best_size", F.array_max(sizes)).withColumn("n", F.aggregate(sizes, F.lit(0), lambda t, c: t + c))
+    g = g.withColumn("best", F.element_at("clusters", F.array_position(sizes, F.col("best_size")).cast("int")))
+    action = (F.when(F.col("done"), "Accept").when(F.col("n") < cap, "NeedMoreReplicas")
+              .when(F.col("best_size") * 2 > F.col("n"), "Accept").otherwise("Inconclusive"))
+    return g.withColumn("action", action)
+
 
+def decide_exact(subs: DataFrame, required=2, cap: int = MAX_REPLICAS, policy: str = "fixed2x") -> DataFrame:
+    """Verdict per (task, round) when equal checksums are the only agreement.
 
-def decide_exact(subs: DataFrame, required: int = 2, cap: int = MAX_REPLICAS, policy: str = "fixed2x") -> DataFrame:
-    """Verdict per (task, round) when equal checksums are the only agreement:
-    counts per answer, the largest wins, ties go to the answer seen first."""
-    r = with_rounds(subs, cap)
+    ``n`` counts the answers up to the deciding one, ``received`` all of the round;
+    ``required`` may be a column, see :func:`_clusters`. Policy "none" takes the
+    first answer."""
     if policy == "none":
-        r = r.where("seq = 1")
-    per = r.groupBy("task_id", "round", "answer").agg(
-        F.count(F.lit(1)).alias("size"), F.min("seq").alias("first_seq"))
-    g = per.groupBy("task_id", "round").agg(
-        F.sum("size").alias("n"), F.count(F.lit(1)).alias("clusters"),
-        F.max_by(F.struct("answer", "size"), F.struct("size", -F.col("first_seq"))).alias("best"))
-    action = F.lit("Accept") if policy == "none" else _action(F.col("best.size"), F.col("n"), required, cap)
-    g = g.withColumn("action", action)
+        subs, required = subs.where("seq = 1"), 1
+    g = _clusters(subs, required, cap, "answer", lambda a, b: a.eqNullSafe(b))
     won = F.col("action") == "Accept"
+    dissent = won & (F.col("n") > F.col("best_size"))
     return g.select(
-        "task_id", "round", "n", "clusters", "action",
-        F.when(won, F.col("best.answer")).alias("answer"),
-        F.when(won, F.col("best.size")).otherwise(F.lit(0)).alias("agreeing"),
-        F.when(won, F.col("n") - F.col("best.size")).otherwise(F.lit(0)).alias("dissenting"),
+        "task_id", "round", F.col("n").cast("long").alias("n"), F.col("received").cast("long").alias("received"),
+        F.size("clusters").cast("long").alias("clusters"), "action",
+        F.when(won, F.col("best")[0]["v"]).alias("answer"),
+        F.when(won, F.col("best_size")).otherwise(F.lit(0)).cast("long").alias("agreeing"),
+        F.when(won, F.col("n") - F.col("best_size")).otherwise(F.lit(0)).cast("long").alias("dissenting"),
         # a checksum has no distance: any exact dissent is the largest one
-        F.when(won & (F.col("n") > F.col("best.size")), F.lit(U32)).otherwise(F.lit(0)).cast("long")
-        .alias("dissent_max_ulp"),
-        F.when(won & (F.col("n") > F.col("best.size")), F.lit(1.0)).otherwise(F.lit(0.0)).alias("dissent_max_rel"))
+        F.when(dissent, F.lit(U32)).otherwise(F.lit(0)).cast("long").alias("dissent_max_ulp"),
+        F.when(dissent, F.lit(1.0)).otherwise(F.lit(0.0)).alias("dissent_max_rel"))
 
 
 def _agree(a: Column, b: Column, is_array: bool, abs_eps: float, rel_eps: float) -> Column:
@@ -77,41 +103,19 @@ def _distance(a: Column, b: Column, is_array: bool) -> tuple[Column, Column]:
     return F.array_max(F.zip_with(a, b, ulp)), F.array_max(F.zip_with(a, b, rel))
 
 
-def decide_tolerant(subs: DataFrame, required: int, cap: int, abs_eps: float, rel_eps: float,
+def decide_tolerant(subs: DataFrame, required, cap: int, abs_eps: float, rel_eps: float,
                     value: str = "value") -> DataFrame:
-    """Verdict per (task, round) for float answers, scalars or vectors.
-
-    Greedy first-fit clusters in arrival order; an answer joins the first
-    cluster in which it agrees with every member, later against earlier. A
-    round has at most ``cap`` rows, so it is folded as one small array inside
-    the JVM."""
+    """Verdict per (task, round) for float answers, scalars or vectors; see :func:`decide_exact`."""
     is_array = isinstance(subs.schema[value].dataType, T.ArrayType)
-    r = with_rounds(subs, cap).groupBy("task_id", "round").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "worker_id", F.col(value).alias("v")))).alias("rows"))
-    elem = r.schema["rows"].dataType.simpleString()
-    none = F.array().cast(f"array<{elem}>")
-
-    def place(clusters, x):
-        fits = F.transform(clusters, lambda c: F.forall(
-            c, lambda m: _agree(x["v"], m["v"], is_array, abs_eps, rel_eps)))
-        at = F.array_position(fits, True)
-        joined = F.transform(clusters, lambda c, i: F.when(i + 1 == at, F.concat(c, F.array(x))).otherwise(c))
-        return F.when(at > 0, joined).otherwise(F.concat(clusters, F.array(F.array(x))))
-
-    g = r.withColumn("clusters", F.aggregate("rows", none, place))
-    sizes = F.transform("clusters", lambda c: F.size(c))
-    g = (g.withColumn("best_size", F.array_max(sizes))
-         .withColumn("best_at", F.array_position(sizes, F.array_max(sizes)).cast("int")))
-    g = g.withColumn("n", F.size("rows")).withColumn("action", _action(F.col("best_size"), F.col("n"), required, cap))
-    g = g.withColumn("best", F.element_at("clusters", F.col("best_at")))
+    g = _clusters(subs, required, cap, value, lambda a, b: _agree(a, b, is_array, abs_eps, rel_eps))
     losers = F.flatten(F.filter("clusters", lambda c: c != F.col("best")))
     won = F.col("action") == "Accept"
     winner = F.col("best")[0]["v"]
     ulps = F.transform(losers, lambda x: _distance(x["v"], winner, is_array)[0])
     rels = F.transform(losers, lambda x: _distance(x["v"], winner, is_array)[1])
     return g.select(
-        "task_id", "round", F.col("n").cast("long").alias("n"), F.size("clusters").cast("long").alias("clusters"),
-        "action",
+        "task_id", "round", F.col("n").cast("long").alias("n"), F.col("received").cast("long").alias("received"),
+        F.size("clusters").cast("long").alias("clusters"), "action",
         F.when(won, F.col("best")[0]["seq"]).otherwise(F.lit(-1)).cast("long").alias("winner_seq"),
         F.when(won, F.col("best_size")).otherwise(F.lit(0)).cast("long").alias("agreeing"),
         F.when(won, F.col("n") - F.col("best_size")).otherwise(F.lit(0)).cast("long").alias("dissenting"),
@@ -122,21 +126,21 @@ def decide_tolerant(subs: DataFrame, required: int, cap: int, abs_eps: float, re
 
 def settle(decided: DataFrame) -> DataFrame:
     """One verdict per task: the first accepted round, else the latest round."""
-    rest = [c for c in decided.columns if c != "task_id"]
+    rest = [c for c in decided.columns if c not in ("task_id", "received")]
     row = F.struct(*rest)
     g = decided.groupBy("task_id").agg(
         F.min_by(row, F.when(F.col("action") == "Accept", F.col("round"))).alias("won"),
-        F.max_by(row, "round").alias("last"), F.sum("n").alias("submissions"))
+        F.max_by(row, "round").alias("last"), F.sum("received").alias("submissions"))
     v = F.coalesce("won", "last")
     return g.select("task_id", "submissions", *[v[c].alias(c) for c in rest])
 
 
 def quorum_credits(subs: DataFrame, verdicts: DataFrame, cap: int = MAX_REPLICAS) -> DataFrame:
-    """Who an exact verdict credits and charges: one row per submission of an
-    accepted round, in the form reputation_history reads."""
+    """Who an exact verdict credits and charges, in the form reputation_history
+    reads: one row per submission up to the one that decided; later ones are late."""
     v = verdicts.where("action = 'Accept'").select(
-        "task_id", "round", F.col("answer").alias("won"))
-    j = with_rounds(subs, cap).join(v, ["task_id", "round"])
+        "task_id", "round", F.col("n").alias("judged"), F.col("answer").alias("won"))
+    j = with_rounds(subs, cap).join(v, ["task_id", "round"]).where(F.col("seq") <= F.col("round") * cap + F.col("judged"))
     ok = F.col("answer").eqNullSafe(F.col("won"))
     # Exact dissent: largest ulp, relative difference 1, hence the top severity.
     return j.select("task_id", "worker_id", "seq", ok.alias("accepted"),

@@ -18,6 +18,11 @@ def query(name: str, needs: list[str] | None = None, oracle: str | None = None):
     """Register a query under ``name``; ``oracle`` is SQL over the fragments in ``needs``."""
     def add(fn: Query) -> Query:
         def run(spark: SparkSession, sf: str) -> DataFrame:
+            if name.startswith("stream_"):
+                # A stream fixes its number of state partitions when it first starts, and AQE does not merge
+                # them: a session of its own has as many as there are cores.
+                spark = spark.newSession()
+                spark.conf.set("spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism)
             tune(spark)
             return fn(spark, sf)
         QUERIES[name] = run

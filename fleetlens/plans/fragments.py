@@ -27,7 +27,8 @@ SELECT o_custkey AS job_id, o_orderkey AS task_id, {UNITS} AS unit_count,
     AS replica_of,
   epoch_us(o_orderdate) // 1000 + 2592000000 AS lease_expires_at_ms
 FROM orders"""),
-    "tk": (["allr"], "SELECT * FROM allr WHERE task_id % 13 <> 0"),
+    "tk": (["allr"], "SELECT * FROM allr"),
+    "tg": (["allr"], "SELECT * FROM allr WHERE task_id % 13 <> 0"),
     "jb": ([], f"""
 SELECT o_custkey AS job_id, CAST(sum({UNITS}) AS BIGINT) AS total_units,
   CAST(CASE WHEN o_custkey % 3 = 0 THEN sum({UNITS}) - 100 ELSE sum({UNITS}) END AS BIGINT) AS next_unit

@@ -33,38 +33,47 @@ def range_search(spark, sf):
     return R.range_search(B.search_spec(spark, sf))
 
 
+# Submitted answers: the recomputed ones, each of the three fields wrong in some lines.
+ANSWERS = """
+answers AS (SELECT l_orderkey AS search_id, l_linestatus = 'F' AS accepted, found_count + CAST(l_linenumber = 1 AS BIGINT) AS found_count,
+  min_match + CAST(l_linenumber = 2 AS BIGINT) AS min_match, match_xor + CAST(l_linenumber = 3 AS BIGINT) AS match_xor
+FROM lineitem JOIN found ON l_orderkey = search_id)"""
+
+
 @query("reference_check", [], f"""
-WITH {SEARCH}
-SELECT count(*) FILTER (search_id IS NOT NULL) AS checked, count(*) FILTER (search_id IS NOT NULL AND found_count = l_linenumber) AS matched,
-  count(*) FILTER (search_id IS NOT NULL AND found_count <> l_linenumber) AS mismatched,
-  count(*) FILTER (search_id IS NULL) AS unsupported, count(*) FILTER (l_linestatus = 'F') AS accepted_checked,
-  count(*) FILTER (l_linestatus = 'F' AND search_id IS NOT NULL AND found_count <> l_linenumber) AS accepted_wrong
-FROM lineitem LEFT JOIN found ON l_orderkey = search_id""")
+WITH {SEARCH}, {ANSWERS}, w AS (SELECT s.*, f.search_id IS NOT NULL AS known,
+  s.found_count = f.found_count AND s.min_match = f.min_match AND s.match_xor = f.match_xor AS same
+  FROM answers s LEFT JOIN (SELECT * FROM found WHERE search_id % 11 <> 0) f ON s.search_id = f.search_id)
+SELECT count(*) FILTER (known) AS checked, count(*) FILTER (known AND same) AS matched, count(*) FILTER (known AND NOT same) AS mismatched,
+  count(*) FILTER (NOT known) AS unsupported, count(*) FILTER (accepted) AS accepted_checked,
+  count(*) FILTER (accepted AND known AND NOT same) AS accepted_wrong FROM w""")
 def reference_check(spark, sf):
-    subs = B.table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("search_id"), F.col("l_linenumber").cast("long").alias("found_count"),
+    found = R.range_search(B.search_spec(spark, sf))
+    wrong = lambda c, n: (F.col(c) + (F.col("l_linenumber") == n).cast("long")).alias(c)
+    subs = B.table(spark, sf, "lineitem").join(found, F.col("l_orderkey") == F.col("search_id")).select(
+        "search_id", wrong("found_count", 1), wrong("min_match", 2), wrong("match_xor", 3),
         (F.col("l_linestatus") == "F").alias("accepted"))
-    return J.reference_check(subs, R.range_search(B.search_spec(spark, sf)), ["search_id"], ("found_count",))
+    return J.reference_check(subs, found.where("search_id % 11 <> 0"), ["search_id"])
 
 
-@query("coverage_audit", ["tk"], """
+@query("coverage_audit", ["tg"], """
 SELECT job_id, count(*) AS ranges, arg_max(start_unit + unit_count, start_unit) AS covered,
   count(*) FILTER (start_unit <> expected) AS gaps FROM (
   SELECT *, coalesce(lag(start_unit + unit_count) OVER (PARTITION BY job_id ORDER BY start_unit, task_id), 0) AS expected
-  FROM tk WHERE replica_of IS NULL) GROUP BY job_id""")
+  FROM tg WHERE replica_of IS NULL) GROUP BY job_id""")
 def coverage_audit(spark, sf):
-    return R.coverage_audit(B.tasks(spark, sf))
+    return R.coverage_audit(B.tasks_with_gaps(spark, sf))
 
 
-@query("coverage_loss", ["tk", "jb"], """
+@query("coverage_loss", ["tg", "jb"], """
 WITH a AS (SELECT job_id, max(start_unit + unit_count) AS covered, count(*) FILTER (start_unit <> expected) AS gaps FROM (
   SELECT *, coalesce(lag(start_unit + unit_count) OVER (PARTITION BY job_id ORDER BY start_unit, task_id), 0) AS expected
-  FROM tk WHERE replica_of IS NULL) GROUP BY job_id)
+  FROM tg WHERE replica_of IS NULL) GROUP BY job_id)
 SELECT job_id, total_units, coalesce(covered, 0) AS units_covered, total_units - coalesce(covered, 0) AS units_lost,
   coalesce(gaps, 0) AS gaps FROM jb LEFT JOIN a USING (job_id)""")
 def coverage_loss(spark, sf):
     from fleetlens.operators.summary import coverage_loss as loss
-    return loss(R.coverage_audit(B.tasks(spark, sf)), B.jobs(spark, sf))
+    return loss(R.coverage_audit(B.tasks_with_gaps(spark, sf)), B.jobs(spark, sf))
 
 
 @query("carve_ranges", ["allr", "jb"], """
@@ -85,14 +94,14 @@ def carve_ranges(spark, sf):
     return R.carve_ranges(rq, jobs, ["t_ms", "task_id"]).select("job_id", "task_id", "start_unit", "granted")
 
 
-@query("range_lookup", ["allr", "tk"], """
+@query("range_lookup", ["allr", "tg"], """
 SELECT u.job_id, u.unit_id, u.unit, t.task_id AS range_id, t.start_unit, t.start_unit + t.unit_count AS end_unit
 FROM (SELECT job_id, task_id AS unit_id, start_unit + unit_count // 2 AS unit FROM allr) u
-JOIN tk t ON u.job_id = t.job_id AND u.unit >= t.start_unit AND u.unit < t.start_unit + t.unit_count""")
+JOIN tg t ON u.job_id = t.job_id AND u.unit >= t.start_unit AND u.unit < t.start_unit + t.unit_count""")
 def range_lookup(spark, sf):
     units = B.all_ranges(spark, sf).select(
         "job_id", F.col("task_id").alias("unit_id"), (F.col("start_unit") + F.floor(F.col("unit_count") / 2)).alias("unit"))
-    ranges = B.tasks(spark, sf).select("job_id", F.col("task_id").alias("range_id"), "start_unit", "unit_count")
+    ranges = B.tasks_with_gaps(spark, sf).select("job_id", F.col("task_id").alias("range_id"), "start_unit", "unit_count")
     return J.range_lookup(units, ranges, ["job_id"])
 
 
@@ -180,15 +189,19 @@ def ulp_histogram(spark, sf):
     return C.ulp_histogram(p, ["label"])
 
 
+# Each arrival is counted against the same answers before it; the first with a second one settles its round.
 QUORUM = """
-r AS (SELECT *, (seq - 1) // 4 AS round FROM sb),
-p AS (SELECT task_id, round, answer, count(*) AS size, min(seq) AS first_seq FROM r GROUP BY ALL),
-g AS (SELECT task_id, round, CAST(sum(size) AS BIGINT) AS n, count(*) AS clusters,
-  max(size) AS best, list(answer ORDER BY size DESC, first_seq)[1] AS top FROM p GROUP BY ALL),
-a AS (SELECT *, CASE WHEN best >= 2 THEN 'Accept' WHEN n < 4 THEN 'NeedMoreReplicas' WHEN best * 2 > n THEN 'Accept'
-  ELSE 'Inconclusive' END AS action FROM g),
+r AS (SELECT *, (seq - 1) // 4 AS round, (seq - 1) % 4 + 1 AS slot FROM sb),
+c AS (SELECT a.task_id, a.round, a.slot, a.answer, count(*) AS same FROM r a JOIN r b
+  ON a.task_id = b.task_id AND a.round = b.round AND b.slot <= a.slot AND a.answer = b.answer GROUP BY ALL),
+d AS (SELECT task_id, round, min(slot) FILTER (same >= 2) AS settled, count(*) AS received FROM c GROUP BY ALL),
+e AS (SELECT *, coalesce(settled, received) AS n, CASE WHEN settled IS NOT NULL THEN 'Accept' WHEN received < 4 THEN 'NeedMoreReplicas'
+  ELSE 'Inconclusive' END AS action FROM d),
+g AS (SELECT e.task_id, e.round, e.n, e.action, e.received, count(DISTINCT c.answer) AS clusters,
+  max(c.same) AS best, max(c.answer) FILTER (c.slot = e.settled) AS top
+  FROM e JOIN c ON e.task_id = c.task_id AND e.round = c.round AND c.slot <= e.n GROUP BY ALL),
 v AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY CASE WHEN action = 'Accept' THEN 0 ELSE 1 END,
-  CASE WHEN action = 'Accept' THEN round ELSE -round END) AS pick, sum(n) OVER (PARTITION BY task_id) AS submissions FROM a)"""
+  CASE WHEN action = 'Accept' THEN round ELSE -round END) AS pick, sum(received) OVER (PARTITION BY task_id) AS submissions FROM g)"""
 
 
 @query("quorum_exact", ["sb"], f"""
@@ -204,7 +217,7 @@ def quorum_exact(spark, sf):
 @query("quorum_credits", ["sb"], f"""
 WITH {QUORUM} SELECT r.task_id, r.worker_id, r.seq, r.answer = v.top AS accepted,
   CASE WHEN r.answer = v.top THEN 0.0 ELSE 4.0 END::DOUBLE AS severity
-FROM r JOIN v ON r.task_id = v.task_id AND r.round = v.round WHERE v.pick = 1 AND v.action = 'Accept'""")
+FROM r JOIN v ON r.task_id = v.task_id AND r.round = v.round WHERE v.pick = 1 AND v.action = 'Accept' AND r.slot <= v.n""")
 def quorum_credits(spark, sf):
     subs = B.submissions(spark, sf)
     return Q.quorum_credits(subs, Q.settle(Q.decide_exact(subs)))
@@ -225,16 +238,18 @@ c4 AS (SELECT *, CASE WHEN n < 4 THEN 0
   WHEN {_ag(4, 1)} AND (c2 <> 1 OR {_ag(4, 2)}) AND (c3 <> 1 OR {_ag(4, 3)}) THEN 1
   WHEN (c2 = 2 OR c3 = 2) AND (c2 <> 2 OR {_ag(4, 2)}) AND (c3 <> 2 OR {_ag(4, 3)}) THEN 2
   WHEN c3 = 3 AND {_ag(4, 3)} THEN 3 ELSE greatest(1, c2, c3) + 1 END AS c4 FROM c3),
+k AS (SELECT *, CASE WHEN c2 = 1 THEN 2 WHEN n >= 3 AND c3 <= 2 THEN 3 WHEN n >= 4 AND c4 <= 3 THEN 4 ELSE n END AS k FROM c4),
+u AS (SELECT * EXCLUDE (n, c3, c4, k), k AS n, n AS received, CASE WHEN k >= 3 THEN c3 ELSE 0 END AS c3, CASE WHEN k >= 4 THEN c4 ELSE 0 END AS c4 FROM k),
 z AS (SELECT *, greatest(1, c2, c3, c4) AS clusters,
   [list_count(list_filter([1, c2, c3, c4], lambda x: x = 1)), list_count(list_filter([1, c2, c3, c4], lambda x: x = 2)),
-   list_count(list_filter([1, c2, c3, c4], lambda x: x = 3)), list_count(list_filter([1, c2, c3, c4], lambda x: x = 4))] AS sz FROM c4),
+   list_count(list_filter([1, c2, c3, c4], lambda x: x = 3)), list_count(list_filter([1, c2, c3, c4], lambda x: x = 4))] AS sz FROM u),
 b AS (SELECT *, list_max(sz) AS best, list_position(sz, list_max(sz)) AS top FROM z),
 a AS (SELECT *, list_position([1, c2, c3, c4], top) AS ws, CASE WHEN best >= 2 THEN 'Accept' WHEN n < 4 THEN 'NeedMoreReplicas'
   WHEN best * 2 > n THEN 'Accept' ELSE 'Inconclusive' END AS action FROM b),
 o AS (SELECT *, [v1, v2, v3, v4][ws] AS wv FROM a),
 x AS (SELECT *, greatest(CASE WHEN top <> 1 THEN abs(v1 - wv) / wv ELSE 0 END, CASE WHEN n >= 2 AND c2 <> top THEN abs(v2 - wv) / wv ELSE 0 END,
   CASE WHEN n >= 3 AND c3 <> top THEN abs(v3 - wv) / wv ELSE 0 END, CASE WHEN n >= 4 AND c4 <> top THEN abs(v4 - wv) / wv ELSE 0 END) AS dr FROM o)
-SELECT task_id, round, n, clusters::BIGINT AS clusters, action, CASE WHEN action = 'Accept' THEN s0 + ws - 1 ELSE -1 END AS winner_seq,
+SELECT task_id, round, n, received, clusters::BIGINT AS clusters, action, CASE WHEN action = 'Accept' THEN s0 + ws - 1 ELSE -1 END AS winner_seq,
   CASE WHEN action = 'Accept' THEN best ELSE 0 END AS agreeing, CASE WHEN action = 'Accept' THEN n - best ELSE 0 END AS dissenting,
   CASE WHEN action = 'Accept' THEN dr ELSE 0 END AS dissent_max_rel FROM x""")
 def quorum_tolerant(spark, sf):

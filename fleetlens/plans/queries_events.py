@@ -198,10 +198,11 @@ def rate_delta(spark, sf):
 
 
 @query("grant_accept_asof", ["ev"], """
-SELECT a.event_id, a.worker_id, a.task_id, a.t_ms, g.t_ms AS granted_at_ms, g.task_id AS granted_task_id,
-  a.t_ms - g.t_ms AS actual_ms
-FROM (SELECT * FROM ev WHERE event = 'accept') a ASOF LEFT JOIN (SELECT * FROM ev WHERE event = 'grant') g
-  ON a.worker_id = g.worker_id AND a.t_ms >= g.t_ms""")
+WITH e AS (SELECT *, lag(event) OVER w AS pe, lag(t_ms) OVER w AS pt, lag(task_id) OVER w AS pk FROM ev
+  WHERE event IN ('grant', 'accept') WINDOW w AS (PARTITION BY worker_id ORDER BY t_ms, event_id))
+SELECT event_id, worker_id, task_id, t_ms, CASE WHEN pe = 'grant' THEN pt END AS granted_at_ms,
+  CASE WHEN pe = 'grant' THEN pk END AS granted_task_id, CASE WHEN pe = 'grant' THEN t_ms - pt END AS actual_ms
+FROM e WHERE event = 'accept'""")
 def grant_accept_asof(spark, sf):
     return J.grant_accept_asof(B.event_log(spark, sf, "grant", "accept"))
 

@@ -149,18 +149,15 @@ def locality_pick(spark, sf):
     return J.locality_pick(q, h, h.select("worker_id").dropDuplicates())
 
 
-@query("spot_resolve", [], """
-SELECT o_orderkey AS task_id, l_suppkey AS worker_id, l_linenumber, l_partkey, (o_custkey % 7 + 1) = l_linenumber AS correct,
-  CASE WHEN (o_custkey % 7 + 1) = l_linenumber THEN 0.0 ELSE 4.0 END::DOUBLE AS penalty
-FROM orders JOIN lineitem ON l_orderkey = o_orderkey""")
+@query("spot_resolve", ["sb"], """
+SELECT o_orderkey AS task_id, worker_id, ascii(answer) % 7 = o_custkey % 7 AS correct,
+  CASE WHEN ascii(answer) % 7 = o_custkey % 7 THEN 0.0 ELSE 4.0 END::DOUBLE AS penalty
+FROM orders JOIN sb ON task_id = o_orderkey WHERE seq = 1""")
 def spot_resolve(spark, sf):
     issued = B.table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("task_id"), (F.col("o_custkey") % 7 + 1).alias("expected_checksum"))
-    li = B.table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("task_id"), F.struct(F.col("l_suppkey").alias("s"), "l_linenumber", "l_partkey").alias("worker_id"),
-        F.col("l_linenumber").cast("long").alias("checksum"))
-    r = J.spot_resolve(issued, li)
-    return r.select("task_id", F.col("worker_id.s").alias("worker_id"), "worker_id.l_linenumber", "worker_id.l_partkey", "correct", "penalty")
+        F.col("o_orderkey").alias("task_id"), (F.col("o_custkey") % 7).alias("expected_checksum"))
+    results = B.submissions(spark, sf).withColumn("checksum", (F.ascii("answer") % 7).cast("long"))
+    return J.spot_resolve(issued, results, ["seq"])
 
 
 @query("family_cancel", ["tk"], """

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,8 +35,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    current = sc.getCheckpointDir()
-    return current if current else tempfile.mkdtemp(prefix="fleetlens-checkpoint-")
+    return sc.getCheckpointDir() or _own_folder()
+
+
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="fleetlens-checkpoint-")
+
+
+@functools.cache
+def _archive() -> str:
+    """This package as a zip file."""
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="fleetlens-package-"), "fleetlens.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in sorted(os.walk(here)):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, name)
+                z.write(full, os.path.relpath(full, os.path.dirname(here)))
+    return path
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, once per application: functions sent to them refer to it by name."""
+    sc = spark.sparkContext
+    if not any(f.endswith("/fleetlens.zip") for f in sc.listFiles):
+        sc.addPyFile(_archive())
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -46,7 +73,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Runtime settings the operators count on."""
+    """Runtime settings the operators count on, and this package for Python workers."""
+    ship_package(spark)
     for k, v in {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",

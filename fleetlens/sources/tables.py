@@ -75,6 +75,8 @@ def write_result_table(df: DataFrame, path: str, name: str, label: str = "SIMULA
             if len(pdf):
                 yield pdf if opened else pd.DataFrame({"value": [*head, *pdf["value"]]})
                 opened = True
+        if not opened:  # an empty table keeps its label
+            yield pd.DataFrame({"value": head})
     lines = df.select(F.to_csv(F.struct(*df.columns)).alias("value"))
     lines.mapInPandas(with_head, "value string").write.text(path)
 
@@ -108,8 +110,8 @@ def parse_probe_reports(reports: DataFrame) -> DataFrame:
     A report is one section per kernel, ``kernel=NAME key=value ...`` followed
     by lines of hex; eight digits are one little-endian word.
     """
-    sections = reports.select(
-        "report", F.explode(F.slice(F.split(F.concat(F.lit("\n"), "text"), r"\nkernel="), 2, 1 << 30)).alias("s"))
+    found = F.split(F.concat(F.lit("\n"), "text"), r"\nkernel=")
+    sections = reports.select("report", F.explode(F.slice(found, F.lit(2), F.size(found))).alias("s"))
     parts = sections.select(
         "report",
         F.regexp_extract("s", r"^(\S+)", 1).alias("kernel"),

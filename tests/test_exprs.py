@@ -151,3 +151,38 @@ def test_text_rules(spark):
     assert one(spark, E.finite_or_null(lit(math.inf))) is None
     assert one(spark, E.score_sanitise(lit(1e300))) == 1e15
     assert one(spark, E.score_sanitise(lit(math.nan))) is None
+
+
+def test_hashes_of_large_numbers_wrap(spark):
+    from fleetlens.functions import exprs as X
+    from fleetlens.operators import quality as Y
+
+    def pcg(v):
+        s = ((v & 0xFFFFFFFF) * X.PCG_MUL + X.PCG_ADD) & 0xFFFFFFFF
+        w = (((s >> ((s >> 28) + 4)) ^ s) * X.PCG_OUT) & 0xFFFFFFFF
+        return (w >> 22) ^ w
+    ids = [1, 6_000_000_000, 20_000_000_000, (1 << 62) + 12345]
+    df = spark.createDataFrame([(i, 1) for i in ids], "task_id long, worker_id long")
+    assert {r[0]: r[1] for r in df.select("task_id", X.pcg_hash("task_id")).collect()} == {i: pcg(i) for i in ids}
+    rows = spark.createDataFrame([(i, 1) for i in [*ids, *range(6_000_000_000, 6_000_000_400)]], "task_id long, worker_id long")
+    pool = spark.createDataFrame([(k, k * 10) for k in range(7)], "slot long, start_unit long")
+    scores = spark.createDataFrame([], "worker_id long, score double")
+    got = {r.task_id: r.slot for r in Y.spot_sample(rows, scores, pool).collect()}
+    want = {}
+    for (i,) in rows.select("task_id").collect():
+        h = i * 2654435761 % (1 << 64)
+        if h % 10000 / 10000.0 < 0.10:
+            want[i] = (h >> 16) % 7
+    assert got == want and len(got) > 10
+
+
+def test_a_grant_and_a_check_are_used_once(spark):
+    from fleetlens.operators import joins as J
+
+    ev = spark.createDataFrame([(1, 1, 100, "grant"), (2, 1, 200, "accept"), (3, 1, 900, "accept"), (4, 1, 950, "grant"), (5, 1, 960, "grant"), (6, 1, 970, "accept")],
+                               "event_id long, worker_id long, t_ms long, event string").selectExpr("*", "7L as task_id", "1L as unit_count")
+    got = {r.event_id: r.actual_ms for r in J.grant_accept_asof(ev).collect()}
+    assert got == {2: 100, 3: None, 6: 10}
+    issued = spark.createDataFrame([(1, 5)], "task_id long, expected_checksum long")
+    results = spark.createDataFrame([(1, 21, 6, 2), (1, 20, 5, 1), (1, 22, 6, 3)], "task_id long, worker_id long, checksum long, seq long")
+    assert [(r.worker_id, r.correct) for r in J.spot_resolve(issued, results, ["seq"]).collect()] == [(20, True)]

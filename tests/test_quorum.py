@@ -22,7 +22,8 @@ def exact(spark, answers, required=2, cap=4, policy="fixed2x"):
     ("ABAB", {"required": 3}, "Inconclusive", 0, 0),
     ("ABAC", {"required": 3}, "Inconclusive", 0, 0),
     ("ABAA", {"required": 9}, "Accept", 3, 1),
-    ("AABB", {}, "Accept", 2, 2),
+    ("AABB", {}, "Accept", 2, 0),  # settled by the second answer; the others are late
+    ("BAAB", {}, "Accept", 2, 1),  # the first answer to be given twice wins, not the first answer
 ])
 def test_exact(spark, answers, kw, action, agreeing, dissenting):
     r = exact(spark, answers, **kw)
@@ -41,6 +42,20 @@ def test_a_cleared_round_starts_empty(spark):
     assert exact(spark, "ABCD" + "A").action == "NeedMoreReplicas"
 
 
+def test_required_agreement_of_the_arriving_worker(spark):
+    rows = [(1, 1, 1, "A", 2), (1, 2, 2, "A", 3), (1, 3, 3, "B", 2)]
+    df = spark.createDataFrame(rows, "task_id long, worker_id long, seq long, answer string, need long")
+    # Worker 2 needs three that agree, but worker 3 only two, and two agree by then.
+    r = Q.decide_exact(df, F.col("need")).first()
+    assert (r.action, r.answer, r.n, r.agreeing, r.dissenting) == ("Accept", "A", 3, 2, 1)
+
+
+def test_late_answers_are_neither_credited_nor_charged(spark):
+    df = spark.createDataFrame([(1, 10 + i, i + 1, a) for i, a in enumerate("AABB")], "task_id long, worker_id long, seq long, answer string")
+    got = Q.quorum_credits(df, Q.settle(Q.decide_exact(df))).collect()
+    assert sorted((r.worker_id, r.severity) for r in got) == [(10, 0.0), (11, 0.0)]
+
+
 def test_quorum_credits_charge_the_dissenter(spark):
     df = spark.createDataFrame([(1, w, i + 1, a) for i, (w, a) in enumerate([(11, "A"), (12, "B"), (13, "A")])],
                                "task_id long, worker_id long, seq long, answer string")
