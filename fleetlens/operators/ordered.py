@@ -40,11 +40,16 @@ def estimated_bytes(df: DataFrame) -> int:
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
+def multiplies(df: DataFrame) -> bool:
+    """Whether the plan may give more rows than its leaves have."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return any(f"{node} " in plan for node in ("Generate", "Expand", "Join"))
+
+
 def is_hot(df: DataFrame, keys: list[str]) -> bool:
-    """Whether some group is too large for one task: more than
-    ``spark.fleetlens.hotRows`` rows and more than twice an average partition.
+    """Whether some group is too large for one task: more than ``spark.fleetlens.hotRows`` rows.
 
-    Inputs that read little are not counted. Otherwise rows are
+    Inputs that read little and are not multiplied by a join or an explode are not counted. Otherwise rows are
     counted per hash bucket of the key, which bounds the largest group from
     above: one scan of the key columns, combined on the map side to a fixed
     number of buckets whatever the number of keys. A wrong guess costs time,
@@ -53,15 +58,14 @@ def is_hot(df: DataFrame, keys: list[str]) -> bool:
     limit = hot_rows(spark)
     if limit <= 0:
         return True
-    if estimated_bytes(df) <= BYTES_PER_ROW * limit:
+    if not multiplies(df) and estimated_bytes(df) <= BYTES_PER_ROW * limit:
         return False
     if not keys:
         return df.count() > limit
     parts = shuffle_partitions(spark)
     bucket = F.pmod(F.xxhash64(*keys), F.lit(max(BUCKETS, 8 * parts)))
-    top, total = (df.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
-                  .agg(F.max("n"), F.sum("n")).first())
-    return (top or 0) > max(limit, 2 * (total or 0) / parts)
+    top = df.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return (top or 0) > limit
 
 
 def in_order(order: list[str]) -> list[Column]:

@@ -26,23 +26,30 @@ def is_event(name: str) -> Column:
 
 def run_summary(events: DataFrame, by: list[str]) -> DataFrame:
     """One row per run; runs without a grant or an accept are left out.
-    Percentiles are the element at min(n-1, int(q*n)) of the sorted durations."""
-    grant, accept = is_event("grant"), is_event("accept")
-    base = events.groupBy(*by).agg(
+    Percentiles are the element at min(n-1, int(q*n)) of the sorted durations.
+
+    One pass: events are added up per run and duration (combined on the map side),
+    and both the totals and the ranks come from those rows."""
+    grant, accept, cancel = is_event("grant"), is_event("accept"), is_event("cancel")
+    per = events.groupBy(*by, F.when(accept, F.col("duration_ms")).alias("duration_ms")).agg(
         F.count_if(accept).alias("tasks"),
         F.sum(F.when(accept, F.col("unit_count"))).alias("units"),
         F.min(F.when(grant, F.col("t_ms"))).alias("t0"),
         F.max(F.when(accept, F.col("t_ms"))).alias("t1"),
-        F.max(F.when(accept, F.col("duration_ms"))).alias("max_ms"),
         F.count_if(is_event("expire")).alias("expiries"),
-        F.count_if(is_event("cancel")).alias("cancels"),
+        F.count_if(cancel).alias("cancels"),
         F.count_if(grant & (F.col("speculative") != 0)).alias("speculative_grants"),
-        F.coalesce(F.sum(F.when(is_event("cancel"), F.col("unit_count"))), F.lit(0)).alias("wasted_units"),
-    ).where("t0 is not null and t1 is not null")
-    q = nearest_ranks(events.where(accept), by, "duration_ms", {
-        "lo": lower_mid, "hi": upper_mid, "p95_ms": rank_of(0.95), "p99_ms": rank_of(0.99)}).drop("n")
+        F.sum(F.when(cancel, F.col("unit_count"))).alias("wasted_units"))
+    cum = running(per, by, ["duration_ms"], {"__cum": ("sum", F.col("tasks")), "__size": ("total", F.col("tasks"))})
+    rank = lambda fn: F.min(F.when(F.col("__cum") > fn(F.col("__size")), F.col("duration_ms")))
+    q = cum.groupBy(*by).agg(
+        *[F.sum(c).alias(c) for c in ("tasks", "units", "expiries", "cancels", "speculative_grants")],
+        F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.max("duration_ms").alias("max_ms"),
+        F.coalesce(F.sum("wasted_units"), F.lit(0)).alias("wasted_units"),
+        rank(lower_mid).alias("lo"), rank(upper_mid).alias("hi"), rank(rank_of(0.95)).alias("p95_ms"),
+        rank(rank_of(0.99)).alias("p99_ms")).where("t0 is not null and t1 is not null")
     wall = F.greatest(F.lit(1).cast("long"), F.col("t1") - F.col("t0"))
-    return base.join(q, by).select(
+    return q.select(
         *by, "tasks", "units", wall.alias("wall_ms"),
         (F.lit(1000.0) * F.col("units") / wall).alias("units_per_sec"),
         ((F.col("lo") + F.col("hi")) / 2).alias("p50_ms"), "p95_ms", "p99_ms", "max_ms",

@@ -31,13 +31,13 @@ SELECT run, tasks, CAST(units AS BIGINT) AS units, wall_ms, 1000.0::DOUBLE * uni
 
 @query("run_summary", ["ev"], RUN_SUMMARY)
 def run_summary(spark, sf):
-    return S.run_summary(B.event_log(spark, sf), ["run"])
+    return S.run_summary(B.event_log(spark, sf, "grant", "accept", "expire", "cancel"), ["run"])
 
 
 @query("result_table", ["ev"], f"SELECT *, 'SIMULATED' AS provenance FROM ({RUN_SUMMARY})")
 def result_table(spark, sf):
     """The summary written as a labelled result table and read back."""
-    got = S.run_summary(B.event_log(spark, sf), ["run"])
+    got = S.run_summary(B.event_log(spark, sf, "grant", "accept", "expire", "cancel"), ["run"])
     path = f"{checkpoint_dir(spark)}/fleetlens-results/{uuid.uuid4().hex}"
     write_result_table(got, path, "run_summary", "SIMULATED", "test tables")
     return read_result_table(spark, path, got.schema).drop("source_file", "rev")

@@ -157,3 +157,17 @@ def test_carve(spark, hot, group, total):
                 take = min(take, group - cur % group)
             assert have[r[2]] == (cur, take)
             cur += take
+
+
+def test_rows_made_by_an_explode_are_counted(spark):
+    from pyspark.sql import functions as F
+
+    from fleetlens.operators.ordered import is_hot
+
+    spark.conf.set("spark.fleetlens.hotRows", "1000")
+    try:
+        few = spark.range(10).select(F.lit(1).alias("k"), F.explode(F.sequence(F.lit(1), F.lit(500))).alias("v"))
+        assert is_hot(few, ["k"])
+        assert not is_hot(spark.range(10).select((F.col("id") % 2).alias("k")), ["k"])
+    finally:
+        spark.conf.unset("spark.fleetlens.hotRows")
