@@ -15,10 +15,10 @@ from fleetlens.llm.common import let
 from fleetlens.session import shuffle_partitions
 
 #: Words of a paragraph's pieces: a longer paragraph counts as several digests.
-PIECE_WORDS = 24
+PIECE_WORDS = 32
 #: Cells of the fingerprint that is returned, digests of a stratum on average, and cells of a stratum's sketches: each is
-#: tried if the one before does not peel. Digests that none peels are compared as sets.
-FINGERPRINT_CELLS, STRATUM, CELLS = 12, 12, (24, 48, 96)
+#: tried if the one before does not peel. Digests that none peels are compared as sets. Up to 63 cells fit a bit mask.
+FINGERPRINT_CELLS, STRATUM, CELLS = 12, 12, (24, 42, 60)
 #: Rounds of peeling; each takes all single cells at once.
 ROUNDS = 8
 #: Ranges of ids per shuffle partition.
@@ -35,18 +35,21 @@ def _check(key: Column) -> Column:
     return F.xxhash64(key, F.lit(1))
 
 
-def _cell(key: Column, third: int, cells: int) -> Column:
-    return (F.pmod(F.xxhash64(key, F.lit(2 + third), F.lit(cells)), F.lit(cells // 3)) + third * (cells // 3)).cast("int")
+def _bit(key: Column, third: int, cells: int) -> Column:
+    cell = F.pmod(F.xxhash64(key, F.lit(2 + third), F.lit(cells)), F.lit(cells // 3)) + third * (cells // 3)
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), cell.cast("int"))
 
 
 def _placed(key: Column, sign: Column, cells: int) -> Column:
-    return F.struct(key.alias("k"), sign.cast("int").alias("s"), _check(key).alias("h"), _cell(key, 0, cells).alias("a"),
-                    _cell(key, 1, cells).alias("b"), _cell(key, 2, cells).alias("c"))
+    """A digest with its sign, its check value and the bits of its cells."""
+    at = _bit(key, 0, cells).bitwiseOR(_bit(key, 1, cells)).bitwiseOR(_bit(key, 2, cells))
+    return F.struct(key.alias("k"), sign.cast("int").alias("s"), _check(key).alias("h"), at.alias("at"))
 
 
 def _with(cell: Column, index: Column, entries: Column, sign: int) -> Column:
     """A cell with the entries that lie in it added or (sign -1) taken out."""
-    own = F.filter(entries, lambda e: (e["a"] == index) | (e["b"] == index) | (e["c"] == index))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), index)
+    own = let(bit, lambda b: F.filter(entries, lambda e: e["at"].bitwiseAND(b) != 0))
     return F.aggregate(own, cell, lambda z, e: F.struct((z["n"] + sign * e["s"]).alias("n"), z["x"].bitwiseXOR(e["k"]).alias("x"),
                                                         z["h"].bitwiseXOR(e["h"]).alias("h")))
 
