@@ -218,30 +218,30 @@ def sizing_convergence(spark, sf):
     return S.sizing_convergence(B.event_log(spark, sf, "accept"))
 
 
-@query("final_corrections", ["ev"], f"""
-WITH {CONVERGENCE}, f AS (SELECT list_sort(list(v)) AS s FROM (
-  SELECT arg_max(ratio, task_index) AS v FROM cv GROUP BY worker_id))
-SELECT len(s) AS workers, s[1] AS min_correction, (s[(len(s) - 1) // 2 + 1] + s[len(s) // 2 + 1]) / 2 AS median_correction,
-  s[len(s)] AS max_correction FROM f""")
-def final_corrections(spark, sf):
-    cv = S.sizing_convergence(B.event_log(spark, sf, "accept"))
-    return S.final_corrections(cv.withColumn("correction", F.col("ratio")))
-
-
-@query("correction_history", ["ev"], """
-WITH RECURSIVE a AS (SELECT worker_id, t_ms, event_id, predicted_ms,
+CORRECTIONS = """WITH RECURSIVE a AS (SELECT worker_id, t_ms, event_id, predicted_ms,
     CASE WHEN event = 'expire' THEN 60000.0::DOUBLE ELSE duration_ms END AS actual_ms,
     row_number() OVER (PARTITION BY worker_id ORDER BY t_ms, event_id) AS i FROM ev WHERE event IN ('accept', 'expire')),
  f AS (SELECT worker_id, i, 0.7::DOUBLE * 1.0 + 0.3::DOUBLE * least(greatest(actual_ms / predicted_ms, 0.1), 1000.0) AS c
    FROM a WHERE i = 1
   UNION ALL SELECT a.worker_id, a.i, 0.7::DOUBLE * f.c + 0.3::DOUBLE * least(greatest(a.actual_ms / a.predicted_ms, 0.1), 1000.0)
-   FROM f JOIN a ON a.worker_id = f.worker_id AND a.i = f.i + 1)
+   FROM f JOIN a ON a.worker_id = f.worker_id AND a.i = f.i + 1)"""
+
+
+@query("correction_history", ["ev"], f"""{CORRECTIONS}
 SELECT a.worker_id, a.t_ms, a.event_id, a.predicted_ms, a.actual_ms, f.c AS correction_after
 FROM a JOIN f USING (worker_id, i)""")
 def correction_history(spark, sf):
     return S.correction_history(B.event_log(spark, sf, "accept", "expire"), lease_ms=60_000)
 
 
+@query("final_corrections", ["ev"], f"""{CORRECTIONS}, l AS (SELECT list_sort(list(v)) AS s FROM (SELECT arg_max(c, i) AS v FROM f GROUP BY worker_id))
+SELECT len(s) AS workers, s[1] AS min_correction, (s[(len(s) - 1) // 2 + 1] + s[len(s) // 2 + 1]) / 2 AS median_correction,
+  s[len(s)] AS max_correction FROM l""")
+def final_corrections(spark, sf):
+    h = S.correction_history(B.event_log(spark, sf, "accept", "expire"), lease_ms=60_000)
+    return S.final_corrections(h.withColumnRenamed("correction_after", "correction"))
+
+
 @query("overhead_thirds", ["ev"], """
 WITH s AS (SELECT run, min(t_ms) FILTER (event = 'grant') AS t0,
     greatest(1, max(t_ms) FILTER (event = 'accept') - min(t_ms) FILTER (event = 'grant')) AS span FROM ev GROUP BY run),

@@ -56,21 +56,6 @@ def overdue_leases(spark, sf):
     return Y.overdue_leases(B.tasks(spark, sf), B.NOW_MS).select("task_id", "holder", "lease_expires_at_ms", "unit_count")
 
 
-@query("blacklist_filter", ["ev"], """
-SELECT event_id, worker_id, t_ms, worker_id % 7 = 0 OR worker_id % 3 <> 0 AND worker_id < 140 AS on_probation FROM ev
-WHERE event = 'grant' AND NOT (worker_id % 3 <> 0 AND worker_id < 140 AND t_ms < 1704067200000 + (worker_id % 20) * 86400000)""")
-def blacklist_filter(spark, sf):
-    ev = B.event_log(spark, sf)
-    # standing of workers below 140; the others are unknown and pass
-    rep = ev.select("worker_id").dropDuplicates().where("worker_id < 140").select(
-        "worker_id", F.when(F.col("worker_id") % 3 == 0, 0).otherwise(
-            1704067200000 + (F.col("worker_id") % 20) * 86400000).alias("blacklisted_until_ms"),
-        (F.col("worker_id") % 7 == 0).alias("on_probation"))
-    req = B.event_log(spark, sf, "grant").select("event_id", "worker_id", "t_ms")
-    out = Y.blacklist_filter(req, rep)
-    return out.withColumn("on_probation", F.col("on_probation") | (F.col("worker_id") % 7 == 0))
-
-
 @query("spot_sample", ["tk", "pool", "cur"], """
 WITH p AS (SELECT *, row_number() OVER (ORDER BY arrival) - 1 AS slot FROM pool),
  g AS (SELECT task_id, holder AS worker_id, coalesce(alpha / (alpha + beta), 0.5) AS score, (task_id * 2654435761) AS h
@@ -217,8 +202,7 @@ def reputation_scores(spark, sf):
 TEST_REPUTATION = P.ReputationConfig(blacklist_below=0.45, trusted_at=0.55, cooldown_ms=86_400_000)
 
 
-@query("reputation_history", ["rep"], """
-WITH RECURSIVE s AS (SELECT worker_id, t_ms, verdict_id, accepted, alpha / (alpha + beta) AS score,
+HISTORY = """WITH RECURSIVE s AS (SELECT worker_id, t_ms, verdict_id, accepted, alpha / (alpha + beta) AS score,
     row_number() OVER (PARTITION BY worker_id ORDER BY t_ms, verdict_id) AS i FROM rep),
  f AS (SELECT worker_id, 0::BIGINT AS i, 0::BIGINT AS t_ms, 0::BIGINT AS verdict_id, 0.0::DOUBLE AS score, false AS ban_started,
     0::BIGINT AS active, 0::BIGINT AS banned_until, false AS on_probation FROM (SELECT DISTINCT worker_id FROM s)
@@ -228,8 +212,24 @@ WITH RECURSIVE s AS (SELECT worker_id, t_ms, verdict_id, accepted, alpha / (alph
     CASE WHEN accepted AND score >= 0.55 THEN false ELSE on_probation OR ended END
   FROM (SELECT s.*, f.active, f.banned_until, f.on_probation, f.active > 0 AND f.active <= s.t_ms AS ended,
       NOT s.accepted AND s.score < 0.45 AND (f.active = 0 OR f.active <= s.t_ms) AS started
-    FROM f JOIN s ON s.worker_id = f.worker_id AND s.i = f.i + 1))
+    FROM f JOIN s ON s.worker_id = f.worker_id AND s.i = f.i + 1))"""
+
+
+@query("reputation_history", ["rep"], f"""{HISTORY}
 SELECT worker_id, t_ms, verdict_id, score, ban_started, banned_until, on_probation FROM f WHERE i > 0""")
 def reputation_history(spark, sf):
     h = P.reputation_history(B.verdicts(spark, sf), TEST_REPUTATION)
     return h.select("worker_id", "t_ms", "verdict_id", "score", "ban_started", "banned_until", "on_probation")
+
+
+@query("blacklist_filter", ["rep"], f"""{HISTORY},
+ last AS (SELECT worker_id, arg_max(banned_until, i) AS until, arg_max(on_probation, i) AS probation FROM f WHERE i > 0 GROUP BY worker_id)
+SELECT verdict_id AS event_id, rep.worker_id, t_ms, probation OR until <> 0 AS on_probation FROM rep JOIN last USING (worker_id)
+WHERE NOT (until <> 0 AND t_ms < until)""")
+def blacklist_filter(spark, sf):
+    """Requests at the times of the verdicts against the workers' final standing."""
+    v = B.verdicts(spark, sf)
+    last = P.reputation_history(v, TEST_REPUTATION).groupBy("worker_id").agg(
+        F.max_by(F.struct("banned_until", "on_probation"), F.struct("t_ms", "verdict_id")).alias("s"))
+    standing = last.select("worker_id", F.col("s.banned_until").alias("blacklisted_until_ms"), "s.on_probation")
+    return Y.blacklist_filter(v.select(F.col("verdict_id").alias("event_id"), "worker_id", "t_ms"), standing)
