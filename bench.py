@@ -19,7 +19,8 @@ from check_queries import entry, session  # noqa: E402
 
 HEADLINE = ["run_summary", "worker_throughput", "grant_accept_asof", "correction_history", "coverage_audit", "range_search",
             "reference_check", "quorum_exact", "quorum_tolerant", "reputation_history", "compare_tolerant",
-            "blob_reassembly", "range_lookup", "peers_holding", "mosaic", "compact_changelog", "lifecycle", "timeline"]
+            "blob_reassembly", "range_lookup", "peers_holding", "mosaic", "compact_changelog", "lifecycle", "timeline",
+            "compare_statistical", "carve_ranges", "speculation_candidates", "stream_lifecycle", "stream_timeline"]
 
 
 def main() -> None:
