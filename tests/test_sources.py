@@ -145,3 +145,21 @@ def test_digest_mismatch_and_size_limit(spark):
     statuses = {r.status for r in L.reassemble(bad, m).collect()}
     assert "digest mismatch" in statuses
     assert {r.status for r in L.reassemble(c, m, max_bytes=20000).collect()} == {"bad expected size", "verified"}
+
+
+def test_package_is_shipped_once(spark):
+    from fleetlens.session import tune
+
+    tune(spark)
+    tune(spark)
+    assert sum(f.endswith("/fleetlens.zip") for f in spark.sparkContext.listFiles) == 1
+
+
+def test_an_empty_result_table_keeps_its_label(spark, tmp_path):
+    from fleetlens.sources.tables import read_result_table, write_result_table
+
+    path = str(tmp_path / "empty")
+    df = spark.range(4).where("id < 0").selectExpr("id", "1.5D as v")
+    write_result_table(df, path, "nothing", "REAL")
+    assert "# PROVENANCE: REAL" in [r.value for r in spark.read.text(path).collect()]
+    assert read_result_table(spark, path, df.schema).count() == 0
