@@ -48,7 +48,7 @@ PARTS = "bucket int, sigs binary, sizes binary, counts binary, keys binary"
 KEYED = "sig bigint, n bigint, keys binary"
 ARROW = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
 #: Elements that a task holds before it packs them.
-HELD = 1_500_000
+HELD = 1_000_000
 
 
 def least_overlap(n):

@@ -53,7 +53,7 @@ def word_hashes(texts: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndar
     return hashes, np.diff(np.searchsorted(starts, offsets))
 
 
-def pieces(batch: pa.RecordBatch, column: int, most_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: int, most_bytes: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most_bytes`` of text each, one row at least."""
     texts = batch.column(column)
     size = np.array(pc.coalesce(pc.binary_length(texts), 0), np.int64)
