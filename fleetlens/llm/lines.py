@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import BROADCAST_ROWS, let, saved
+from fleetlens.llm.common import let, saved
 
 LEAST_WORDS = 50
 WINDOWS = "id bigint, text_key bigint, print bigint, content bigint, start int, stop int"
@@ -84,11 +84,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
              .select("id", "text_key", F.explode(F.sequence("start", "stop")).alias("line")).distinct())
     removed = saved(later.groupBy(F.col("id").alias("_id"), F.col("text_key").alias("_key"))
                     .agg(F.array_sort(F.collect_list("line")).alias("_removed")), "removed")
-    # A row has the lines of one document; count them before a broadcast.
-    few = removed.agg(F.sum(F.size("_removed")).alias("n")).first()["n"] or 0
-    side = F.broadcast(removed) if few <= BROADCAST_ROWS else removed
     text, gone = F.col(text_col), F.coalesce("_removed", F.array().cast("array<int>"))
-    joined = docs.join(side, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_key")), "left")
+    # Both sides are shuffled at every size: there are as many of these rows as documents with repeats.
+    joined = docs.join(removed.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_key")), "left")
     kept = let(F.split(text, "\n", -1), lambda ls: F.array_join(F.transform(
         F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), gone), lambda i: F.element_at(ls, i + 1)), "\n"))
     return (joined.withColumn("_lines", F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1))))
