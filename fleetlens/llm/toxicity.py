@@ -25,7 +25,7 @@ from fleetlens.llm.shingles import BASE, mix
 TRAIN_ROWS = 8000
 #: Words with this share of toxic documents, and so many at least, are marked; so many marked words make a grade.
 MARKED_SHARE, MARKED_DOCS, GRADE_WORDS = 0.9, 4, (0, 3, 6)
-#: Documents that a feature needs, the share of documents that it may be in, steps and their size, and strength of the
+#: Documents that a feature needs, the share of clean documents that it may be in, steps and their size, and strength of the
 #: absolute and the square penalty.
 LEAST_DOCS, MOST_SHARE, STEPS, STEP, SPARSE, RIDGE = 3, 0.2, 200, 8.0, 1e-4, 1e-5
 #: Bytes of the start of a word that are a feature too.
@@ -96,7 +96,8 @@ def fit(labels: np.ndarray, used: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
     grade = grades(labels, used)
     flat = np.concatenate(used)
     number = np.bincount(flat, minlength=subwords.BUCKETS)
-    telling = (number >= LEAST_DOCS) & (number <= MOST_SHARE * len(used))
+    clean = np.bincount(flat, np.repeat(labels == 0, [len(u) for u in used]), subwords.BUCKETS)
+    telling = (number >= LEAST_DOCS) & (clean <= MOST_SHARE * max((labels == 0).sum(), 1))
     used = [u[telling[u]] for u in used]
     flat, owner = np.concatenate(used), np.repeat(np.arange(len(used)), [len(u) for u in used])
     above = np.stack([grade > k for k in range(levels)], 1).astype(float)
