@@ -18,10 +18,26 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that whose id is the group's. Documents without words all stay."""
-    found = jaccard.join_texts(docs)
-    gone = saved(found.where("n_shingles > 0 and not (id <=> component_id)").select(F.col("id").alias("_gone")).distinct(), "gone")
-    return docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One row of each group of near duplicates: that with the least id, rows without an id last. Documents without words all stay.
+
+    Rows go by the hash of id and text, so repeated rows, null ids and an id on several texts are told apart. Of rows
+    that repeat id and text one stays, the same however rows arrive.
+    """
+    key = F.xxhash64("doc_id", "text")
+    found = jaccard.join_texts(docs.select(key.alias("_key"), "text"), "_key")
+    facts = docs.select(key.alias("_key"), "doc_id").groupBy("_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    named = saved(found.where("n_shingles > 0").select(F.col("id").alias("_key"), "component_id").distinct().join(facts, "_key"), "alike")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", "_key")).alias("first"))
+    chosen = saved(first.select("first._key"), "chosen")
+    gone = saved(named.join(chosen, "_key", "left_anti").select(F.col("_key").alias("_gone")), "gone")
+    kept = docs.join(small(gone), key == F.col("_gone"), "left_anti")
+    repeated = saved(named.where("copies > 1").join(chosen, "_key", "left_semi").select(F.col("_key").alias("_repeated")), "repeated")
+    if not repeated.limit(1).count():
+        return kept
+    again = key == F.col("_repeated")
+    one = (kept.join(small(repeated), again, "left_semi").groupBy(key.alias("_key"))
+           .agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")).select("row.*"))
+    return kept.join(small(repeated), again, "left_anti").unionByName(one)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

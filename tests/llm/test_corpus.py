@@ -491,3 +491,50 @@ def test_pipeline_stage_by_stage(spark):
     assert {r.doc_id for r in rows[4]} <= {r.doc_id for r in rows[3]}
     out = corpus_pipeline.to_tokens(spark, steps[-1], SMALL).collect()
     assert len(out) == len(rows[4])
+
+
+def repeated_rows():
+    """Copies in repeated rows, with null ids, and with an id that a unique document has too."""
+    rng = random.Random(12)
+    same, named, shared, other, lone = [words(rng, 40) for _ in range(5)]
+    rows = [(10, same, "a")] * 3 + [(None, named, "a"), (None, named, "a"), (11, named, "b")]
+    rows += [(1, shared, "a"), (5, shared, "a"), (5, other, "b"), (5, lone, None), (None, "", "a"), (None, None, "a"), (12, "", "b"), (12, "", "b")]
+    nameless = words(rng, 40)
+    return rows + [(None, nameless, "b"), (None, nameless, "b"), (None, words(rng, 40), "b")]
+
+
+def test_pipeline_keeps_one_of_repeated_rows(spark):
+    import corpus_pipeline
+
+    rows = repeated_rows()
+    docs = documents(spark, rows)
+    got = corpus_pipeline.keep_one_of_alike(spark, docs, SMALL)
+    assert got.columns == docs.columns
+    wordless = [r for r in rows if not r[1]]
+    same, named, shared, other, lone = rows[0], (11, *rows[3][1:2], "b"), rows[6], rows[8], rows[9]
+    want = wordless + [same, named, shared, other, lone, rows[-3], rows[-1]]
+    assert Counter((r.doc_id, r.text, r.source) for r in got.collect()) == Counter(want)
+    sides = spark.createDataFrame([(1, "some words here", "b"), (1, "some words here", "a")], "doc_id bigint, text string, source string")
+    assert [r.source for r in corpus_pipeline.keep_one_of_alike(spark, sides, SMALL).collect()] == \
+        [r.source for r in corpus_pipeline.keep_one_of_alike(spark, sides.orderBy("source"), SMALL).collect()]
+
+
+def test_pipeline_stages_on_repeated_rows(spark):
+    """Every other stage judges each row by its own text, whatever its id."""
+    import corpus_pipeline
+
+    bench = [r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect() if len(r.text.split()) > 20][0]
+    rows = repeated_rows() + [(5, bench, "a"), (None, bench, "a"), (5, bench, "a")]
+    docs = documents(spark, rows).drop("source").withColumn("source", F.lit("a"))
+    bag = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    want = Counter(r[:2] for r in rows)
+    good = bag(corpus_pipeline.keep_good(spark, docs, SMALL))
+    judged = {}
+    for (doc, text), n in want.items():
+        assert good[(doc, text)] in (0, n)
+        assert judged.setdefault(text, good[(doc, text)] > 0) == (good[(doc, text)] > 0)
+    assert bag(corpus_pipeline.drop_contaminated(spark, docs, SMALL)) == Counter(r[:2] for r in rows if r[1] != bench)
+    mixed = corpus_pipeline.mix_sources(spark, docs, SMALL).cache()
+    plan = curriculum.assign(docs).collect()
+    assert mixed.count() == sum(len(r.positions) for r in plan) and set(bag(mixed)) <= set(want)
+    assert Counter(r.doc_id for r in corpus_pipeline.to_tokens(spark, mixed, SMALL).collect()) == Counter(r.doc_id for r in mixed.collect())
