@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import curriculum, decontaminate, jaccard, quality, tokens
-from fleetlens.llm.common import saved, small, table
+from fleetlens.llm.common import fresh_path, saved, small, table
 from fleetlens.llm.queries import tokenizer_path
 from fleetlens.session import tune
 
+#: Metadata key of ``doc_id``: where the mix's training positions lie.
+PLAN = "fleetlens.plan"
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
@@ -48,13 +50,26 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources in training order; documents are repeated or left out to meet the sources' targets."""
-    return curriculum.mix(docs).select(docs.columns)
+    """The mix of sources in training order; documents are repeated or left out to meet the sources' targets.
+
+    Tables are written and read again in no certain order, so the positions lie in a table of their own, whose path is
+    in the metadata of ``doc_id``.
+    """
+    path = fresh_path(spark, "plan")
+    curriculum.assign(docs).select("id", "source", "text_key", "positions").write.parquet(path)
+    metadata = docs.schema["doc_id"].metadata | {PLAN: path}
+    mixed = curriculum.mix(docs, plan=spark.read.parquet(path))
+    return mixed.select(*[F.col("doc_id").alias(c, metadata=metadata) if c == "doc_id" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files, read back: a row per document."""
-    return tokens.read_tokens(spark, tokens.write_tokens(docs, tokenizer_path()), with_ids=False).drop("ids")
+    """Token files in the order of the mix, read back: a row per document. Documents of no mix are in id order."""
+    plan = docs.schema["doc_id"].metadata.get(PLAN)
+    if plan is None:
+        path = tokens.write_tokens(docs, tokenizer_path())
+    else:
+        path = tokens.write_tokens(curriculum.placed(docs, spark.read.parquet(plan)), tokenizer_path(), order_col="_position")
+    return tokens.read_tokens(spark, path, with_ids=False).drop("ids")
 
 
 STAGES = [

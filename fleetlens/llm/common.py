@@ -25,13 +25,18 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new folder's path under ``spark.checkpoint.dir``."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/fleetlens-{label}-{uuid.uuid4().hex}"
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once under ``spark.checkpoint.dir`` and go on from the copy.
 
     The copy outlives lost executors and ends the lineage; it goes with the folder.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/fleetlens-{label}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -93,13 +93,15 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
                          "target", F.transform(passes, lambda m: demand_time(share(m), F.col("slope"))).alias("positions"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+        plan: DataFrame | None = None) -> DataFrame:
     """The mixed corpus: rows of ``docs``, repeated or left out as ``assign`` says, range-sorted by training position.
 
-    The columns are those of ``docs`` and ``_position``. Cases are as in ``assign``.
+    The columns are those of ``docs`` and ``_position``. ``plan``: what ``assign`` gave for the same rows, if it is
+    there already. Cases are as in ``assign``.
     """
     keys = ["_mix_id", "_mix_source", "_mix_text"]
-    placed = (assign(docs, id_col, text_col, source_col)
+    placed = ((assign(docs, id_col, text_col, source_col) if plan is None else plan)
               .groupBy(F.col("id").alias(keys[0]), F.col("source").alias(keys[1]), F.col("text_key").alias(keys[2]))
               .agg(F.collect_list("positions").alias("_mix_passes")))
     kept = list(docs.columns)
@@ -112,3 +114,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return (joined.select(*[F.col(f"d.`{c}`") for c in kept],
                           F.explode(F.element_at("_mix_passes", F.col("_mix_nth"))).alias("_position"))
             .orderBy("_position", id_col))
+
+
+def placed(mixed: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of a mix that lost its positions, with ``_position`` from the plan (id, text_key, positions) it was made by.
+
+    Rows of equal id and text are interchangeable: the n-th takes the n-th of their positions. A row that the plan does
+    not have gets null. Nulls and repeated rows are as in ``assign``; other columns are kept.
+    """
+    # Explicit keys without nulls, so that the window's shuffle serves the join too.
+    keys = ["_mix_nameless", "_mix_id", "_mix_text"]
+    known = lambda i: (F.isnull(i), F.coalesce(F.col(i).cast("string"), F.lit("")))
+    lists = (plan.where("size(positions) > 0")
+             .select(*[c.alias(k) for k, c in zip(keys, (*known("id"), F.col("text_key")), strict=True)], "positions")
+             .groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("_mix_positions")))
+    nth = Window.partitionBy(*keys).orderBy(F.lit(1))
+    rows = (mixed.withColumns(dict(zip(keys, (*known(id_col), F.xxhash64(F.col(text_col))), strict=True)))
+            .withColumn("_mix_nth", F.row_number().over(nth)))
+    # get() counts from 0 and gives null beyond the end.
+    return rows.join(lists, keys, "left").select(
+        *[F.col(f"`{c}`") for c in mixed.columns], F.get("_mix_positions", F.col("_mix_nth") - 1).alias("_position"))

@@ -94,3 +94,9 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.assign(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "size", "source_size", "target",
         (F.col("size") * F.size("positions")).alias("taken"))
+
+
+@query
+def op10_curriculum_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix itself: a row for every pass over a document, range-sorted by training position."""
+    return curriculum.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", F.col("_position").alias("position"))

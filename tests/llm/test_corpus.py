@@ -538,3 +538,26 @@ def test_pipeline_stages_on_repeated_rows(spark):
     plan = curriculum.assign(docs).collect()
     assert mixed.count() == sum(len(r.positions) for r in plan) and set(bag(mixed)) <= set(want)
     assert Counter(r.doc_id for r in corpus_pipeline.to_tokens(spark, mixed, SMALL).collect()) == Counter(r.doc_id for r in mixed.collect())
+
+
+def test_pipeline_writes_tokens_in_the_order_of_the_mix(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = documents(spark, repeated_rows() + [(100 + i, words(random.Random(i), 1 + i % 25), "abc"[i % 3]) for i in range(300)], clash=False)
+    mixed = corpus_pipeline.mix_sources(spark, docs, SMALL)
+    mixed.repartition(5, "text").write.parquet(str(tmp_path / "mixed"))
+    got = corpus_pipeline.to_tokens(spark, spark.read.parquet(str(tmp_path / "mixed")), SMALL).orderBy("start").collect()
+    want = [(r._position, r.doc_id is not None, r.doc_id or 0) for r in curriculum.mix(docs).collect()]
+    assert [r.doc_id for r in got] == [i if named else None for _, named, i in sorted(want)]
+    assert [r.doc_id for r in got] != sorted([r.doc_id for r in got], key=lambda i: (i is not None, i or 0))
+
+
+def test_order_follows_the_schedules(spark, monkeypatch):
+    ranks = lambda: [r.doc_id for r in queries.QUERIES["op10_curriculum_order"](spark, SMALL).collect()]
+    rows = queries.QUERIES["op10_curriculum_order"](spark, SMALL).collect()
+    assert [r.position for r in rows] == sorted(r.position for r in rows)
+    plan = curriculum.assign(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()
+    assert Counter((r.doc_id, r.position) for r in rows) == Counter((r.id, p) for r in plan for p in r.positions)
+    before = ranks()
+    monkeypatch.setattr(curriculum, "SLOPES", (0.5, 0.0, -0.5))
+    assert ranks() != before and sorted(ranks()) == sorted(before)
