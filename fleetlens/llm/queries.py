@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import (
-    curriculum, decontaminate, jaccard, language, lines, quality, sketch, tokens, toxicity, urls)
+    curriculum, decontaminate, infill, jaccard, language, lexical, lines, quality, simhash, sketch, tokens, toxicity, urls)
 from fleetlens.llm.common import table
 from fleetlens.llm.sql import ORACLE  # noqa: F401
 from fleetlens.session import tune
@@ -100,3 +100,21 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_curriculum_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix itself: a row for every pass over a document, range-sorted by training position."""
     return curriculum.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", F.col("_position").alias("position"))
+
+
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build_index(table(spark, sf_dir, "documents"))
+    return lexical.search(index, table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    examples = infill.restore(infill.fill_in_middle(table(spark, sf_dir, "documents")))
+    return examples.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+@query
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
