@@ -31,7 +31,7 @@ WEIGHT, IMPACT, SATURATION, LENGTH_PERCENT = 1000, 1_000_000_000, 8, 90
 #: Rows of a band, and their bits.
 BAND, BAND_BITS = 64, 6
 #: Points after which a shard is closed.
-SHARD_POINTS = 1_000_000
+SHARD_POINTS = 500_000
 #: Ranges that are halved in one step, and terms of the queries that are searched in one pass over the index.
 STEP, PASS_TERMS = 128, 1_000_000
 TOP = 10
@@ -272,8 +272,8 @@ def _index(docs: int, terms: int, most: int):
 
 
 def build_index(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text",
-                points: int = SHARD_POINTS) -> DataFrame:
-    """Index all terms of all whole texts and return the table of shards, written under ``path``.
+                points: int = SHARD_POINTS) -> str:
+    """Index all terms of all whole texts and return the folder that the table of shards is written to.
 
     Texts are not shuffled: a task packs the documents it reads into shards of about ``points`` points, so memory is
     bounded by that and the longest document. Rows without terms (null texts too) are in no shard. Repeated rows and equal
@@ -286,11 +286,18 @@ def build_index(docs: DataFrame, path: str | None = None, id_col: str = "doc_id"
              .agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("terms"), F.lit(0)).alias("terms")).first())
     path = path or fresh_path(spark, "index")
     source.mapInArrow(_index(total.docs, total.terms, points), SHARDS).write.option("compression", "zstd").parquet(path)
-    return read_index(spark, path)
+    return path
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SHARDS).parquet(path)
+def _shards(spark: SparkSession, path: str) -> DataFrame:
+    """The shards of an index, read and handed to Python one at a time, as each is large for a row.
+
+    The batch sizes are settings, so they are set in a session of this reader's own.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    own.conf.set("spark.sql.parquet.columnarReaderBatchSize", "1")
+    return own.read.schema(SHARDS).parquet(path)
 
 
 # Search
@@ -347,35 +354,39 @@ def _passes(items: DataFrame) -> Iterator[list[tuple[object, np.ndarray]]]:
         yield held
 
 
-def search(index: DataFrame, items: DataFrame, k: int = TOP, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, rank, doc_id, score): each item's k best documents with a score above 0, all if fewer.
+def search(spark: SparkSession, path: str, items: DataFrame, k: int = TOP, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item_id, rank, doc_id, score): each item's k best documents of an index with a score above 0, all if fewer.
 
     Equal scores go by ascending doc_id, null ids last. Every row of ``items`` is a query of its own, so repeated rows give
     repeated results and a null ``item_id`` is kept; a text that is null or without terms finds nothing. An empty index or
     table of items gives an empty table. Other columns are ignored.
 
     Queries are searched in passes of about ``PASS_TERMS`` terms over the whole index, so one pass's terms and weights are
-    all that a task holds. A task keeps k documents per query over all its shards, and those k bound its later shards.
+    all that a task holds besides one shard. A task keeps k documents per query over all its shards, and those k bound its
+    later shards; they are written, and the best k of all tasks are ranked.
     """
-    spark = index.sparkSession
     source = items.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text"))
     kind = source.schema["item_id"]
     asked = saved(source.mapInArrow(_item_terms, T.StructType([kind]).add("terms", "binary")), "items")
-    n_docs = index.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
-    schema = T.StructType([kind]).add("rank", "integer").add("doc_id", "long").add("score", "long")
+    shards = _shards(spark, path)
+    n_docs = shards.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
     out = None
     for block in _passes(asked):
         terms = np.unique(np.concatenate([t for _, t in block]))
         df = np.zeros(len(terms), np.int64)
-        for row in index.select("terms", "counts").mapInArrow(_frequencies(terms), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
+        found = shards.select("terms", "counts").mapInArrow(_frequencies(terms), "term long, df long")
+        for row in found.groupBy("term").agg(F.sum("df").alias("df")).collect():
             df[row.term] = row.df
         weight = np.array([math.floor(WEIGHT * math.log((2 * n_docs + 2) / (2 * int(d) + 1))) for d in df], np.int64)
         queries = [(i, t, weight[np.searchsorted(terms, t)]) for i, (_, t) in enumerate(block)]
+        target = fresh_path(spark, "found")
+        (shards.withColumn("counts", F.lit(b"")).mapInArrow(_search(queries, k), "item long, doc_id long, score long")
+         .write.parquet(target))
         best = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
-        found = (index.withColumn("counts", F.lit(b""))
-                 .mapInArrow(_search(queries, k), "item long, doc_id long, score long")
-                 .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
+        ranked = (spark.read.schema("item long, doc_id long, score long").parquet(target)
+                  .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
         names = spark.createDataFrame([(i, item) for i, (item, _) in enumerate(block)], T.StructType().add("item", "long").add(kind))
-        found = found.join(F.broadcast(names), "item").select("item_id", "rank", "doc_id", "score")
-        out = found if out is None else out.unionAll(found)
+        ranked = ranked.join(F.broadcast(names), "item").select("item_id", "rank", "doc_id", "score")
+        out = ranked if out is None else out.unionAll(ranked)
+    schema = T.StructType([kind]).add("rank", "integer").add("doc_id", "long").add("score", "long")
     return spark.createDataFrame([], schema) if out is None else out

@@ -105,7 +105,7 @@ def op10_curriculum_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = lexical.build_index(table(spark, sf_dir, "documents"))
-    return lexical.search(index, table(spark, sf_dir, "benchmark"))
+    return lexical.search(spark, index, table(spark, sf_dir, "benchmark"))
 
 
 @query
