@@ -118,6 +118,16 @@ def submissions(spark: SparkSession, sf: str) -> DataFrame:
         F.concat("l_linestatus", "l_returnflag").alias("answer"), "seq", F.col("l_quantity").alias("value"))
 
 
+def timed_submissions(spark: SparkSession, sf: str) -> DataFrame:
+    """Submissions with their arrival time and a number that breaks ties over all tasks; an order has fewer than 64 lines."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linestatus", "l_returnflag", *SUB_ORDER)
+    n = number_rows(li, ["l_orderkey"], SUB_ORDER, "seq")
+    return n.select(
+        F.col("l_orderkey").alias("task_id"), F.col("l_suppkey").alias("worker_id"),
+        F.concat("l_linestatus", "l_returnflag").alias("answer"), "seq", millis("l_shipdate").alias("t_ms"),
+        (F.col("l_orderkey") * 64 + F.col("seq")).alias("sub_id"))
+
+
 def partials(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem").select("l_orderkey", *SUB_ORDER)
     n = number_rows(li, ["l_orderkey"], SUB_ORDER, "arrival")

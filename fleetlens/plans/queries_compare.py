@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 from fleetlens.operators import compare as C
 from fleetlens.operators import joins as J
 from fleetlens.operators import kernels as K
+from fleetlens.operators import feedback, ranges as R, tiles as T
 from fleetlens.operators import quorum as Q
-from fleetlens.operators import ranges as R
-from fleetlens.operators import tiles as T
+from fleetlens.operators.reputation import ReputationConfig
 from fleetlens.plans import bindings as B
 from fleetlens.plans.catalog import query
 from fleetlens.plans.queries_exprs import PCG_WORD, _x
@@ -223,6 +223,18 @@ def quorum_credits(spark, sf):
     return Q.quorum_credits(subs, Q.settle(Q.decide_exact(subs)))
 
 
+TEST_REPUTATION = ReputationConfig(cooldown_ms=5 * B.DAY_MS)
+
+
+@query("quorum_adaptive")
+def quorum_adaptive(spark, sf):
+    """Every arrival with the agreement that its worker's record asked for, and its task's verdict."""
+    subs = feedback.adaptive_requirements(B.timed_submissions(spark, sf), TEST_REPUTATION)
+    verdicts = Q.settle(Q.decide_exact(subs, F.col("need")))
+    return subs.select("sub_id", "task_id", "worker_id", "need").join(
+        verdicts.select("task_id", "round", "n", "action", "agreeing", "dissenting"), "task_id")
+
+
 def _ag(i: int, j: int) -> str:
     return f"(abs(v{i} - v{j}) <= 0.3::DOUBLE * abs(v{j}))"
 

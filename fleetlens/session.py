@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,6 +73,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once as a table under ``spark.checkpoint.dir`` and continue from the copy.
+
+    Unlike a checkpoint it is computed once, and the optimiser knows its size."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/fleetlens-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def tune(spark: SparkSession) -> None:
     """Runtime settings the operators count on, and this package for Python workers."""
     ship_package(spark)
