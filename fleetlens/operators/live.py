@@ -54,6 +54,49 @@ def lease_expiries(events: DataFrame, lease_ms: int, now_ms: int, ends=("accept"
         "task_id", "worker_id", "unit_count", F.col("t_ms").alias("granted_at_ms"), deadline.alias("expired_at_ms"))
 
 
+def renewed_leases(events: DataFrame, lease_ms: int, now_ms: int) -> DataFrame:
+    """Leases that ran out by ``now_ms``, where renewals by the holder move the deadline.
+
+    ``events`` (task_id, t_ms, event_id, event, worker_id, unit_count) with the events grant, renew, accept and cancel; all
+    but a renewal end the lease before. A lease runs out at the first of its grant and renewals that the next one follows
+    no sooner than ``lease_ms`` later, unless it was ended before that."""
+    ev = events.where(F.col("event").isin("grant", "renew", "accept", "cancel")).select(
+        "task_id", "t_ms", "event_id", "event", "worker_id", "unit_count")
+    settles = F.when(F.col("event") != "renew", F.struct("event_id", "event", "worker_id", "unit_count", "t_ms"))
+    ev = running(ev, ["task_id"], ["t_ms", "event_id"], {"lease": ("last", settles)})
+    ev = running(ev, ["task_id"], ["-t_ms", "-event_id"], {"ended_ms": ("last", F.when(F.col("event") != "renew", F.col("t_ms")))},
+                 inclusive=False)
+    own = ev.where((F.col("lease.event") == "grant") & ((F.col("event") == "grant") | (F.col("worker_id") == F.col("lease.worker_id"))))
+    own = own.withColumn("lease_id", F.col("lease.event_id"))
+    key = ["task_id", "lease_id"]
+    own = running(own, key, ["-t_ms", "-event_id"], {"next_ms": ("last", F.col("t_ms"))}, inclusive=False)
+    own = running(own, key, ["t_ms", "event_id"], {"nth": ("count", F.lit(1))})
+    quiet = F.col("next_ms").isNull() | (F.col("next_ms") - F.col("t_ms") >= lease_ms)
+    first = own.groupBy(*key).agg(F.min_by(F.struct("*"), F.when(quiet, F.col("nth"))).alias("r")).select("r.*")
+    deadline = F.col("t_ms") + F.lit(lease_ms)
+    out = (F.col("ended_ms").isNull() & (deadline <= now_ms)) | (F.col("ended_ms") >= deadline)
+    return first.where(out).select(
+        "task_id", F.col("lease.worker_id").alias("worker_id"), F.col("lease.unit_count").alias("unit_count"),
+        F.col("lease.t_ms").alias("granted_at_ms"), (F.col("nth") - 1).alias("renewals"), deadline.alias("expired_at_ms"))
+
+
+def released_work(events: DataFrame, timeout_ms: int) -> DataFrame:
+    """Tasks that a worker held when it was lost: (worker_id, task_id, granted_at_ms, lost_at_ms).
+
+    ``events`` (worker_id, t_ms, event_id, event, task_id). A worker is lost ``timeout_ms`` after the last event before a
+    silence of that length, or before the end. It holds a task from the grant until it is accepted, cancelled or expired."""
+    order = ["-t_ms", "-event_id"]
+    ev = events.select("worker_id", "task_id", "t_ms", "event_id", "event")
+    ev = running(ev, ["worker_id"], order, {"next_ms": ("last", F.col("t_ms"))}, inclusive=False)
+    quiet = F.col("next_ms").isNull() | (F.col("next_ms") - F.col("t_ms") >= timeout_ms)
+    ev = running(ev, ["worker_id"], order, {"lost_at_ms": ("last", F.when(quiet, F.col("t_ms") + timeout_ms))})
+    own = ev.where(F.col("event").isin("grant", "accept", "cancel", "expire"))
+    own = running(own, ["worker_id", "task_id"], order, {"then_ms": ("last", F.col("t_ms"))}, inclusive=False)
+    held = F.col("then_ms").isNull() | (F.col("then_ms") >= F.col("lost_at_ms"))
+    return own.where((F.col("event") == "grant") & held).select(
+        "worker_id", "task_id", F.col("t_ms").alias("granted_at_ms"), "lost_at_ms")
+
+
 def worker_sessions(events: DataFrame, gap_us: int) -> DataFrame:
     """Spells of activity per worker; silence of ``gap_us`` ends one and the
     worker counts as lost. Columns: worker_id, ts, event_id."""

@@ -186,13 +186,13 @@ def verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return as_verdicts(event_log(spark, sf))
 
 
-def as_verdicts(ev: DataFrame) -> DataFrame:
+def as_verdicts(ev: DataFrame, *keep: str) -> DataFrame:
     """Judged results per worker: severities in quarters, so sums are exact."""
     k = F.col("k") % 4
     sev = F.when(k == 0, 0.25).when(k == 1, 0.5).when(k == 2, 1.0).otherwise(4.0)
     return ev.select("worker_id", "t_ms", F.col("event_id").alias("verdict_id"),
                      F.col("event").isin("grant", "accept", "worker_join").alias("accepted"),
-                     sev.alias("severity"), (F.col("speculative") == 1).alias("spot"))
+                     sev.alias("severity"), (F.col("speculative") == 1).alias("spot"), *keep)
 
 
 def range_verdicts(spark: SparkSession, sf: str) -> DataFrame:

@@ -12,6 +12,8 @@ from fleetlens.plans.catalog import query
 from fleetlens.plans.queries_exprs import TRANSITION_ROWS
 from fleetlens.session import checkpoint_dir
 from fleetlens.streaming import stateful as S
+from fleetlens.streaming.keyed import FAR_MS, end_of_stream
+from fleetlens.streaming.upsert import UpsertTable
 
 
 def stream_table(spark, sf, name):
@@ -19,17 +21,32 @@ def stream_table(spark, sf, name):
     return spark.readStream.schema(B.TABLES[name]).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
+def fresh_folder(spark):
+    return f"{checkpoint_dir(spark)}/fleetlens-streams/{uuid.uuid4().hex}"
+
+
 def run_now(spark, df, mode, keys=None):
-    """Drain a stream into the shared folder and read the landed rows."""
-    base = f"{checkpoint_dir(spark)}/fleetlens-streams/{uuid.uuid4().hex}"
+    """Drain a stream into the shared folder and read the landed rows; with ``keys`` the latest row of each."""
+    base = fresh_folder(spark)
+    if keys:
+        kept = UpsertTable(spark, f"{base}/rows", keys)
+        (df.writeStream.outputMode(mode).foreachBatch(kept.land).option("checkpointLocation", f"{base}/state")
+         .trigger(availableNow=True).start().awaitTermination())
+        return kept.read(df.schema)
     q = (S.stream_upsert(df, f"{base}/rows", mode).option("checkpointLocation", f"{base}/state")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return S.read_upserted(spark, f"{base}/rows", keys)
+    return S.read_upserted(spark, f"{base}/rows")
+
+
+def _stream_events(spark, sf, whole=False):
+    """The event stream; with ``whole`` a last row moves the watermark past all others."""
+    ev = B.as_event_log(stream_table(spark, sf, "events"))
+    return ev.unionByName(end_of_stream(spark, fresh_folder(spark), ev)) if whole else ev
 
 
-def _stream_events(spark, sf):
-    return B.as_event_log(stream_table(spark, sf, "events"))
+def on_time(got):
+    return got.where("NOT late").drop("late")
 
 
 # Test events become task events of the worker they name.
@@ -38,7 +55,7 @@ TASK_EVENT = "[" + ", ".join(f"'{e}'" for e in EVENTS) + "][(k + event_id) % 10
 
 def _task_events(ev):
     name = F.element_at(F.array(*[F.lit(e) for e in EVENTS]), ((F.col("k") + F.col("event_id")) % 10 + 1).cast("int"))
-    return ev.select(F.col("worker_id").alias("task_id"), "t_ms", "event_id", name.alias("task_event"))
+    return ev.select(F.col("worker_id").alias("task_id"), "t_ms", "event_id", name.alias("task_event"), "ts")
 
 
 LIFE = f"""
@@ -52,7 +69,7 @@ WITH RECURSIVE tr(s, e, t) AS (VALUES {TRANSITION_ROWS}),
 
 @query("lifecycle", ["ev"], f"{LIFE} SELECT task_id, t_ms, event_id, task_event, state, legal FROM f WHERE i > 0")
 def lifecycle(spark, sf):
-    return L.lifecycle(_task_events(B.event_log(spark, sf)), ["t_ms", "event_id"])
+    return L.lifecycle(_task_events(B.event_log(spark, sf)).drop("ts"), ["t_ms", "event_id"])
 
 
 @query("stream_lifecycle", ["ev"], f"""
@@ -60,8 +77,102 @@ def lifecycle(spark, sf):
 FROM f WHERE i > 0 GROUP BY task_id""")
 def stream_lifecycle(spark, sf):
     order = ["t_ms", "event_id"]
-    got = run_now(spark, S.stream_lifecycle(_task_events(_stream_events(spark, sf)), order), "append")
-    return L.lifecycle_totals(got, order)
+    got = run_now(spark, S.stream_lifecycle(_task_events(_stream_events(spark, sf, whole=True)), order, "ts"), "append")
+    return L.lifecycle_totals(on_time(got), order)
+
+
+SLICE_MS, JITTER_MS, DELAY_MS = 4 * B.DAY_MS, B.DAY_MS // 2, B.DAY_MS
+START_MS = 1_704_067_200_000  # 2024-01-01, the first day of the events
+SLICE = f"(t_ms - {START_MS} + event_id * 7919 % {JITTER_MS}) {{div}} {SLICE_MS} + CASE WHEN event_id % 50 = 7 THEN 1 ELSE 0 END"
+
+
+@query("stream_in_order", ["ev"], f"""
+WITH RECURSIVE tr(s, e, t) AS (VALUES {TRANSITION_ROWS}),
+ sl AS (SELECT *, {SLICE.format(div="//")} AS slice FROM ev),
+ marks AS (SELECT slice, max(max(t_ms)) OVER (ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {DELAY_MS} AS mark FROM sl GROUP BY slice),
+ judged AS (SELECT sl.*, coalesce(t_ms <= mark, false) AS late FROM sl JOIN marks USING (slice)),
+ x AS (SELECT worker_id AS task_id, {TASK_EVENT} AS task_event, row_number() OVER (PARTITION BY worker_id ORDER BY t_ms, event_id) AS i
+   FROM judged WHERE NOT late),
+ f AS (SELECT DISTINCT task_id, 0::BIGINT AS i, 'Queued' AS state, true AS legal FROM x
+   UNION ALL SELECT x.task_id, x.i, coalesce(tr.t, f.state), tr.t IS NOT NULL
+   FROM f JOIN x ON x.task_id = f.task_id AND x.i = f.i + 1 LEFT JOIN tr ON tr.s = f.state AND tr.e = x.task_event)
+SELECT worker_id AS task_id, count(*) FILTER (late) AS late, any_value(state) AS state, coalesce(any_value(applied), 0) AS applied,
+  coalesce(any_value(illegal), 0) AS illegal
+FROM judged LEFT JOIN (SELECT task_id AS task, arg_max(state, i) AS state, count(*) FILTER (legal) AS applied, count(*) FILTER (NOT legal) AS illegal
+  FROM f WHERE i > 0 GROUP BY task_id) ON task = worker_id GROUP BY worker_id""")
+def stream_in_order(spark, sf):
+    """The lifecycle of events that come in eight triggers, out of order by half a day and one in fifty by four days."""
+    folder = fresh_folder(spark)
+    ev = _task_events(B.event_log(spark, sf)).withColumn("slice", F.expr(SLICE.format(div="div")))
+    slices = sorted(r.slice for r in ev.select("slice").distinct().collect())
+    for n in slices:
+        ev.where(F.col("slice") == n).drop("slice").coalesce(1).write.mode("append").parquet(folder)
+    end_of_stream(spark, folder, ev.drop("slice"))
+    rows = spark.readStream.schema(ev.drop("slice").schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    order = ["t_ms", "event_id"]
+    got = run_now(spark, S.stream_lifecycle(rows, order, "ts", "1 day"), "append")
+    late = got.groupBy("task_id").agg(F.count_if("late").alias("late"))
+    return late.join(L.lifecycle_totals(on_time(got), order), "task_id", "left").fillna(0, ["applied", "illegal"])
+
+
+HOLD_MS = B.DAY_MS // 2
+LEASED = """
+x AS (SELECT worker_id AS task_id, k % 2 AS worker_id, unit_count, t_ms, event_id, CASE event WHEN 'worker_join' THEN 'renew' ELSE event END AS event,
+  row_number() OVER (PARTITION BY worker_id ORDER BY t_ms, event_id) AS i FROM ev WHERE event <> 'expire')"""
+RENEWED = f"""
+WITH RECURSIVE {LEASED.strip()},
+f AS (SELECT DISTINCT task_id, 0::BIGINT AS i, 0::BIGINT AS holder, 0::BIGINT AS units, 0::BIGINT AS granted, 0::BIGINT AS renewals,
+    NULL::BIGINT AS deadline FROM x
+  UNION ALL SELECT x.task_id, x.i,
+    CASE WHEN x.event = 'grant' THEN x.worker_id ELSE f.holder END, CASE WHEN x.event = 'grant' THEN x.unit_count ELSE f.units END,
+    CASE WHEN x.event = 'grant' THEN x.t_ms ELSE f.granted END,
+    CASE WHEN x.event = 'grant' THEN 0 WHEN x.event = 'renew' AND x.worker_id = f.holder THEN f.renewals + 1 ELSE f.renewals END,
+    CASE WHEN x.event = 'grant' THEN x.t_ms + {HOLD_MS} WHEN x.event <> 'renew' OR f.deadline <= x.t_ms THEN NULL
+         WHEN x.worker_id = f.holder AND f.deadline IS NOT NULL THEN x.t_ms + {HOLD_MS} ELSE f.deadline END
+  FROM f JOIN x ON x.task_id = f.task_id AND x.i = f.i + 1)
+SELECT f.task_id, f.holder AS worker_id, units AS unit_count, granted AS granted_at_ms, renewals, deadline AS expired_at_ms
+FROM f LEFT JOIN x ON x.task_id = f.task_id AND x.i = f.i + 1 WHERE deadline IS NOT NULL AND (x.t_ms IS NULL OR deadline <= x.t_ms)"""
+
+
+def _lease_events(ev):
+    """Each worker's log as a task's: two holders, joins as renewals."""
+    return ev.where("event IS NULL OR event <> 'expire'").select(
+        F.col("worker_id").alias("task_id"), (F.col("k") % 2).alias("worker_id"), "unit_count", "t_ms", "event_id",
+        F.when(F.col("event") == "worker_join", "renew").otherwise(F.col("event")).alias("event"), "ts")
+
+
+@query("lease_renewals", ["ev"], RENEWED)
+def lease_renewals(spark, sf):
+    return L.renewed_leases(_lease_events(B.event_log(spark, sf)), HOLD_MS, FAR_MS)
+
+
+@query("stream_lease_renewals", ["ev"], RENEWED)
+def stream_lease_renewals(spark, sf):
+    return on_time(run_now(spark, S.stream_leases(_lease_events(_stream_events(spark, sf, whole=True)), HOLD_MS), "append")).drop("t_ms")
+
+
+RELEASED = f"""
+WITH g AS (SELECT worker_id, k % 5 AS task_id, t_ms, event_id, event, lead(t_ms) OVER (PARTITION BY worker_id ORDER BY t_ms, event_id) AS next_ms FROM ev),
+l AS (SELECT *, min(CASE WHEN next_ms IS NULL OR next_ms - t_ms >= {HOLD_MS} THEN t_ms + {HOLD_MS} END)
+  OVER (PARTITION BY worker_id ORDER BY t_ms, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lost_at_ms FROM g),
+t AS (SELECT *, lead(t_ms) OVER (PARTITION BY worker_id, task_id ORDER BY t_ms, event_id) AS then_ms FROM l
+  WHERE event IN ('grant', 'accept', 'cancel', 'expire'))
+SELECT worker_id, task_id, t_ms AS granted_at_ms, lost_at_ms FROM t WHERE event = 'grant' AND (then_ms IS NULL OR then_ms >= lost_at_ms)"""
+
+
+def _held(ev):
+    return ev.select("worker_id", (F.col("k") % 5).alias("task_id"), "t_ms", "event_id", "event", "ts")
+
+
+@query("released_work", ["ev"], RELEASED)
+def released_work(spark, sf):
+    return L.released_work(_held(B.event_log(spark, sf)), HOLD_MS)
+
+
+@query("stream_released", ["ev"], RELEASED)
+def stream_released(spark, sf):
+    got = run_now(spark, S.stream_released(_held(_stream_events(spark, sf, whole=True)), HOLD_MS), "append")
+    return on_time(got).drop("t_ms")
 
 
 LEASE = 6 * 3_600_000
@@ -132,8 +243,8 @@ WITH RECURSIVE s AS (SELECT worker_id, t_ms, verdict_id, accepted, alpha / (alph
 SELECT worker_id, verdict_id, score, ban_started, on_probation FROM f WHERE i > 0""")
 def stream_reputation(spark, sf):
     from fleetlens.plans.queries_state import TEST_REPUTATION
-    v = B.as_verdicts(_stream_events(spark, sf))
-    got = run_now(spark, S.stream_reputation(v, TEST_REPUTATION), "append")
+    v = B.as_verdicts(_stream_events(spark, sf, whole=True), "ts")
+    got = on_time(run_now(spark, S.stream_reputation(v, TEST_REPUTATION, "ts"), "append"))
     return got.select("worker_id", "verdict_id", "score", "ban_started", "on_probation")
 
 
@@ -144,9 +255,10 @@ WITH RECURSIVE a AS (SELECT worker_id, event_id, least(greatest(duration_ms / pr
   UNION ALL SELECT a.worker_id, a.i, a.event_id, 0.7::DOUBLE * f.c + 0.3::DOUBLE * a.r FROM f JOIN a ON a.worker_id = f.worker_id AND a.i = f.i + 1)
 SELECT worker_id, event_id, c AS correction_after FROM f""")
 def stream_correction(spark, sf):
-    c = _stream_events(spark, sf).where("event = 'accept'").select(
-        "worker_id", "t_ms", "event_id", "predicted_ms", F.col("duration_ms").alias("actual_ms"))
-    return run_now(spark, S.stream_correction(c), "append").select("worker_id", "event_id", "correction_after")
+    c = _stream_events(spark, sf, whole=True).where("event IS NULL OR event = 'accept'").select(
+        "worker_id", "t_ms", "event_id", "predicted_ms", F.col("duration_ms").alias("actual_ms"), "ts")
+    got = run_now(spark, S.stream_correction(c, event_time="ts"), "append")
+    return on_time(got).select("worker_id", "event_id", "correction_after")
 
 
 @query("stream_partial", ["ev"], """

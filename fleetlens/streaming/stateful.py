@@ -3,8 +3,10 @@
 Where a live rule only needs the best or the sum of what was seen, it is a
 streaming aggregation: partial results combine before the shuffle and a hot key
 costs one row per task. Rules that depend on the order of a key's rows use
-``applyInPandasWithState`` with the folds of ``operators.ordered``. A key's new
-rows of one trigger are sorted together, so bound a trigger at the source
+``applyInPandasWithState`` with the folds of ``operators.ordered``. With an
+``event_time`` a key's rows wait for the watermark and are folded in its order,
+late ones come out marked (``streaming.keyed``). Without, a key's new rows of one
+trigger are sorted together, so bound a trigger at the source
 (``maxFilesPerTrigger`` / ``maxOffsetsPerTrigger``).
 """
 
@@ -22,13 +24,21 @@ from fleetlens.operators import live
 from fleetlens.operators.ordered import Ewma, Scan, StateMachine
 from fleetlens.operators.reputation import ReputationConfig
 from fleetlens.sources.state import compact
+from fleetlens.streaming import keyed
 
 WATERMARK = "10 minutes"
+#: How long a key that has ended is remembered.
+RETAIN_MS = 60 * 86_400_000
 
 
-def scan_stream(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], fold: Scan) -> DataFrame:
+def scan_stream(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], fold: Scan,
+                event_time: str | None = None, watermark: str = WATERMARK) -> DataFrame:
     """The streaming form of :func:`operators.ordered.scan`: each row with the
     fold's outputs, state carried across triggers."""
+    if event_time:
+        keep = [c for c in df.columns if c not in (*keys, event_time, "t_ms")]
+        rule = keyed.Folded(fold, df.schema, inputs, keep)
+        return keyed.in_order(df, keys, order, rule, event_time, watermark, RETAIN_MS)
     fields = df.schema.fields + T._parse_datatype_string(
         ", ".join(f"{n} {t}" for n, t in fold.outputs.items())).fields
     state_schema = T.StructType([T.StructField("s", T.ArrayType(T.DoubleType()))])
@@ -44,9 +54,10 @@ def scan_stream(df: DataFrame, keys: list[str], order: list[str], inputs: list[s
         handle, T.StructType(fields), state_schema, "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_lifecycle(events: DataFrame, order: list[str]) -> DataFrame:
-    coded = events.select("task_id", *order, "task_event", live.code_of(F.col("task_event"), EVENTS).alias("code"))
-    got = scan_stream(coded, ["task_id"], order, ["code"], StateMachine("code", live.transition_table()))
+def stream_lifecycle(events: DataFrame, order: list[str], event_time: str | None = None, watermark: str = WATERMARK) -> DataFrame:
+    coded = events.select("task_id", *order, *([event_time] if event_time else []), "task_event",
+                          live.code_of(F.col("task_event"), EVENTS).alias("code"))
+    got = scan_stream(coded, ["task_id"], order, ["code"], StateMachine("code", live.transition_table()), event_time, watermark)
     return got.withColumn("state", live.name_of(F.col("state_code"), STATES)).drop("code", "state_code")
 
 
@@ -88,15 +99,25 @@ class Standing(Scan):
         return outs, [float(a[-1]), float(b[-1]), until, probation, last]
 
 
-def stream_reputation(verdicts: DataFrame, cfg: ReputationConfig = ReputationConfig()) -> DataFrame:
+def stream_reputation(verdicts: DataFrame, cfg: ReputationConfig = ReputationConfig(), event_time: str | None = None) -> DataFrame:
     return scan_stream(verdicts, ["worker_id"], ["t_ms", "verdict_id"],
-                       ["accepted", "severity", "spot", "t_ms"], Standing(cfg))
+                       ["accepted", "severity", "spot", "t_ms"], Standing(cfg), event_time)
 
 
-def stream_correction(completions: DataFrame, alpha: float = 0.3) -> DataFrame:
+def stream_correction(completions: DataFrame, alpha: float = 0.3, event_time: str | None = None) -> DataFrame:
     """Columns: worker_id, t_ms, event_id, predicted_ms, actual_ms."""
     fold = Ewma("predicted_ms", "actual_ms", alpha, MIN_CORRECTION, MAX_CORRECTION)
-    return scan_stream(completions, ["worker_id"], ["t_ms", "event_id"], ["predicted_ms", "actual_ms"], fold)
+    return scan_stream(completions, ["worker_id"], ["t_ms", "event_id"], ["predicted_ms", "actual_ms"], fold, event_time)
+
+
+def stream_leases(events: DataFrame, lease_ms: int, event_time: str = "ts", watermark: str = WATERMARK) -> DataFrame:
+    """Leases that ran out, with renewals: the streaming form of :func:`operators.live.renewed_leases`."""
+    return keyed.in_order(events, ["task_id"], ["event_id"], keyed.Lease(lease_ms), event_time, watermark)
+
+
+def stream_released(events: DataFrame, timeout_ms: int, event_time: str = "ts", watermark: str = WATERMARK) -> DataFrame:
+    """Tasks that lost workers give back: the streaming form of :func:`operators.live.released_work`."""
+    return keyed.in_order(events, ["worker_id"], ["event_id"], keyed.HeldWork(timeout_ms), event_time, watermark)
 
 
 EXPIRY_SCHEMA = "task_id long, worker_id long, unit_count long, granted_at_ms long, expired_at_ms long"
