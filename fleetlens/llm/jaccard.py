@@ -124,6 +124,13 @@ def _pack(buckets: int, wanted: bool):
     return run
 
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one at a time: those of packed tables are large, so a batch is not turned into Python values at once."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 class _Bucket:
     """The elements of one hash range, every different set once."""
 
@@ -148,27 +155,29 @@ class _Bucket:
 
     def counted(self):
         """(sigs, sizes, owner, element, frequency) sorted by element."""
-        elements, owner = np.concatenate(self.elements), np.concatenate(self.owner)
+        elements, self.elements = np.concatenate(self.elements), []
         order = np.argsort(elements)
-        elements, owner = elements[order], owner[order]
+        elements = elements[order]
+        owner, self.owner = np.concatenate(self.owner), []
+        owner = owner[order]
+        del order
         a, b = _runs(elements)
         sizes = np.concatenate(self.sizes) if self.sizes else None
-        return np.concatenate(self.sigs), sizes, owner, elements, np.repeat(b - a, b - a)
+        return np.concatenate(self.sigs), sizes, owner, elements, np.repeat((b - a).astype(np.int32), b - a)
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]):
     """Facts of texts as (None, row), and every bucket of a partition sorted by bucket as (bucket, None)."""
     at, held = None, _Bucket()
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["counts"] is None:
-                yield None, row
-                continue
-            if row["bucket"] != at and held.sigs:
-                yield held, None
-                held = _Bucket()
-            at = row["bucket"]
-            held.add(row)
+    for row in _each(batches):
+        if row["counts"] is None:
+            yield None, row
+            continue
+        if row["bucket"] != at and held.sigs:
+            yield held, None
+            held = _Bucket()
+        at = row["bucket"]
+        held.add(row)
     if held.sigs:
         yield held, None
 
@@ -201,12 +210,11 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows])
         return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.bincount(place, count).astype(np.int64))], ["sig", "shared"])
     rows = []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if rows and rows[-1]["bucket"] != row["bucket"]:
-                yield out(rows)
-                rows = []
-            rows.append(row)
+    for row in _each(batches):
+        if rows and rows[-1]["bucket"] != row["bucket"]:
+            yield out(rows)
+            rows = []
+        rows.append(row)
     if rows:
         yield out(rows)
 
@@ -248,12 +256,11 @@ def _order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found.append((sig, n_of[sig], keys[a:b].tobytes()))
         return _batch(KEYED, found)
     rows = []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if rows and rows[-1]["bucket"] != row["bucket"]:
-                yield out(rows)
-                rows = []
-            rows.append(row)
+    for row in _each(batches):
+        if rows and rows[-1]["bucket"] != row["bucket"]:
+            yield out(rows)
+            rows = []
+        rows.append(row)
     if rows:
         yield out(rows)
 
