@@ -94,11 +94,12 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        plan: DataFrame | None = None) -> DataFrame:
+        plan: DataFrame | None = None, in_order: bool = True) -> DataFrame:
     """The mixed corpus: rows of ``docs``, repeated or left out as ``assign`` says, range-sorted by training position.
 
     The columns are those of ``docs`` and ``_position``. ``plan``: what ``assign`` gave for the same rows, if it is
-    there already. Cases are as in ``assign``.
+    there already. Without ``in_order`` the rows are not sorted, as for a table whose order is lost when it is written.
+    Cases are as in ``assign``.
     """
     keys = ["_mix_id", "_mix_source", "_mix_text"]
     placed = ((assign(docs, id_col, text_col, source_col) if plan is None else plan)
@@ -111,14 +112,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             .withColumn("_mix_nth", F.row_number().over(nth)).alias("d"))
     same = [F.col(f"d.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys]
     joined = rows.join(placed.alias("p"), same[0] & same[1] & same[2])
-    return (joined.select(*[F.col(f"d.`{c}`") for c in kept],
-                          F.explode(F.element_at("_mix_passes", F.col("_mix_nth"))).alias("_position"))
-            .orderBy("_position", id_col))
+    out = joined.select(*[F.col(f"d.`{c}`") for c in kept],
+                        F.explode(F.element_at("_mix_passes", F.col("_mix_nth"))).alias("_position"))
+    return out.orderBy("_position", id_col) if in_order else out
 
 
-def placed(mixed: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def placed(mixed: DataFrame, plan: DataFrame, id_col: str = "doc_id", key_col: str = "text_key") -> DataFrame:
     """Rows of a mix that lost its positions, with ``_position`` from the plan (id, text_key, positions) it was made by.
 
+    ``key_col`` is the hash of a row's text, so rows may carry what was made of the text in its place.
+
     Rows of equal id and text are interchangeable: the n-th takes the n-th of their positions. A row that the plan does
     not have gets null. Nulls and repeated rows are as in ``assign``; other columns are kept.
     """
@@ -129,7 +132,7 @@ def placed(mixed: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col:
              .select(*[c.alias(k) for k, c in zip(keys, (*known("id"), F.col("text_key")), strict=True)], "positions")
              .groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("_mix_positions")))
     nth = Window.partitionBy(*keys).orderBy(F.lit(1))
-    rows = (mixed.withColumns(dict(zip(keys, (*known(id_col), F.xxhash64(F.col(text_col))), strict=True)))
+    rows = (mixed.withColumns(dict(zip(keys, (*known(id_col), F.col(key_col)), strict=True)))
             .withColumn("_mix_nth", F.row_number().over(nth)))
     # get() counts from 0 and gives null beyond the end.
     return rows.join(lists, keys, "left").select(
