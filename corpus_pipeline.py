@@ -50,7 +50,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources in training order; documents are repeated or left out to meet the sources' targets.
+    """The mix of sources; documents are repeated or left out to meet the sources' targets.
 
     Tables are written and read again in no certain order, so the positions lie in a table of their own, whose path is
     in the metadata of ``doc_id``.
@@ -58,17 +58,21 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "plan")
     curriculum.assign(docs).select("id", "source", "text_key", "positions").write.parquet(path)
     metadata = docs.schema["doc_id"].metadata | {PLAN: path}
-    mixed = curriculum.mix(docs, plan=spark.read.parquet(path))
+    mixed = curriculum.mix(docs, plan=spark.read.parquet(path), in_order=False)
     return mixed.select(*[F.col("doc_id").alias(c, metadata=metadata) if c == "doc_id" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files in the order of the mix, read back: a row per document. Documents of no mix are in id order."""
+    """Token files in the order of the mix, read back: a row per document. Documents of no mix are in id order.
+
+    Texts are encoded where they lie, so only packed ids are shuffled, to their positions and into ranges of them.
+    """
     plan = docs.schema["doc_id"].metadata.get(PLAN)
     if plan is None:
         path = tokens.write_tokens(docs, tokenizer_path())
     else:
-        path = tokens.write_tokens(curriculum.placed(docs, spark.read.parquet(plan)), tokenizer_path(), order_col="_position")
+        encoded = tokens.encode_texts(docs, tokenizer_path())
+        path = tokens.write_encoded(curriculum.placed(encoded, spark.read.parquet(plan)), "_position")
     return tokens.read_tokens(spark, path, with_ids=False).drop("ids")
 
 
