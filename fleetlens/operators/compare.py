@@ -160,10 +160,10 @@ def compare_statistical(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFram
     clean = F.col("p").isNull()
     return out.select(
         *keys, "elements", verdict.alias("verdict"),
-        F.when(clean, F.col("outliers")).otherwise(F.lit(0)).alias("outliers"),
+        F.when(clean & ~uneven, F.col("outliers")).otherwise(F.lit(0)).alias("outliers"),
         F.when(uneven, F.lit(None)).when(clean, F.col("worst")).otherwise(F.lit(0.0)).alias("worst"),
         F.when(uneven, F.lit(None)).when(clean, F.col("z_aggregate")).otherwise(F.lit(0.0)).alias("z_aggregate"),
-        F.when(clean, F.lit(-1).cast("long"))
+        F.when(clean | uneven, F.lit(-1).cast("long"))
         .otherwise(F.col("p.pixel") * 3 + F.col("p.bad_channel")).alias("bad_channel"))
 
 

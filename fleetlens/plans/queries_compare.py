@@ -144,7 +144,8 @@ def compare_tolerant(spark, sf):
 @query("compare_statistical", ["vec"], """
 WITH q AS (SELECT label, pair, odd, i AS pixel, CAST(embedding[i*4+1] AS DOUBLE) AS r, CAST(embedding[i*4+2] AS DOUBLE) AS g,
     CAST(embedding[i*4+3] AS DOUBLE) AS b, abs(CAST(embedding[i*4+4] AS DOUBLE)) + 1.0::DOUBLE AS n
-    FROM (SELECT *, unnest(range(0, len(embedding) // 4)) AS i FROM vec)),
+    FROM (SELECT *, unnest(range(0, len(embedding) // 4)) AS i FROM vec) WHERE NOT (odd = 1 AND label = 9 AND pair % 2 = 0 AND i = 15)),
+ sizes AS (SELECT label, pair, count(*) FILTER (odd = 1) AS n_a, count(*) FILTER (odd = 0) AS n_b FROM q GROUP BY ALL),
  c AS (SELECT label, pair, pixel, k, 1.0 / x.n + 1.0 / y.n AS pooled_sq, [x.r, x.g, x.b][k] / x.n AS ma, [y.r, y.g, y.b][k] / y.n AS mb
     FROM (SELECT * FROM q WHERE odd = 1) x JOIN (SELECT * FROM q WHERE odd = 0) y USING (label, pair, pixel), (SELECT unnest([1,2,3]) AS k)),
  d AS (SELECT *, abs((ma - mb) / sqrt(pooled_sq)) AS d FROM c),
@@ -154,11 +155,15 @@ WITH q AS (SELECT label, pair, odd, i AS pixel, CAST(embedding[i*4+1] AS DOUBLE)
     0.001::DOUBLE * greatest(ms[CAST(floor(0.5::DOUBLE * (m - 1)) AS BIGINT) + 1], 1e-9::DOUBLE)) AS scale FROM s),
  z AS (SELECT label, pair, m, list_max(ds) / scale AS worst, len(list_filter(ds, lambda x: x / scale > 6.0)) AS outliers,
     abs(sd / m) / (scale * sqrt(pooled / m) / sqrt(m)) AS za FROM sc)
-SELECT label, pair, m AS elements, CASE WHEN outliers / m::DOUBLE > 0.03 OR za > 12 THEN 'Mismatch' ELSE 'Match' END AS verdict,
-  outliers, round(worst, 6) AS worst, round(za, 6) AS z_aggregate, -1::BIGINT AS bad_channel FROM z""")
+SELECT label, pair, greatest(n_a, n_b) * 3 AS elements,
+  CASE WHEN n_a <> n_b OR outliers / m::DOUBLE > 0.03 OR za > 12 THEN 'Mismatch' ELSE 'Match' END AS verdict,
+  CASE WHEN n_a = n_b THEN outliers ELSE 0 END AS outliers, CASE WHEN n_a = n_b THEN round(worst, 6) END AS worst,
+  CASE WHEN n_a = n_b THEN round(za, 6) END AS z_aggregate, -1::BIGINT AS bad_channel FROM sizes LEFT JOIN z USING (label, pair)""")
 def compare_statistical(spark, sf):
     a, b = B.pixel_sides(spark, sf)
-    got = C.compare_statistical(a, b, ["label", "pair"]).where("worst is not null")
+    # Some tiles lack a pixel on one side, and the last vector of a label may have no partner.
+    a = a.where(~((F.col("label") == 9) & (F.col("pair") % 2 == 0) & (F.col("pixel") == 15)))
+    got = C.compare_statistical(a, b, ["label", "pair"])
     return got.withColumn("worst", F.round("worst", 6)).withColumn("z_aggregate", F.round("z_aggregate", 6))
 
 

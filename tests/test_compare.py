@@ -174,3 +174,12 @@ def test_mosaic(spark):
     assert 180 < img[0, 0].red < 195 and img[17, 3].red == 0
     blank = T.mosaic(spark.createDataFrame(rows, UPLOAD).where("tile = 9"), grid)
     assert blank.agg(F.max("red"), F.min("alpha"), F.count("x")).first()[:] == (0, 255, 320)
+
+
+def test_statistical_sides_of_unequal_size(spark):
+    rows = [(k, p, 1.0, 2.0, 3.0, 4.0) for k in (1, 2, 3) for p in range(16)]
+    cols = "id long, pixel long, r double, g double, b double, samples double"
+    a = spark.createDataFrame([r for r in rows if r[0] < 3], cols)
+    b = spark.createDataFrame([r for r in rows if r[0] != 2 and r[:2] != (1, 15)], cols)
+    got = {r.id: (r.verdict, r.elements, r.outliers, r.worst, r.bad_channel) for r in C.compare_statistical(a, b, ["id"]).collect()}
+    assert got == {k: ("Mismatch", 48, 0, None, -1) for k in (1, 2, 3)}
