@@ -18,8 +18,12 @@ def test_query(spark, duck, name):
     assert n >= 0
 
 
+#: Queries that SQL cannot express, each with the test that takes its place.
+WITHOUT_SQL = {"quorum_adaptive"}  # a fixpoint over all arrivals: tests/test_feedback.py judges them one by one
+
+
 def test_every_query_has_sql():
-    assert set(entry.catalog.QUERIES) == set(entry.catalog.ORACLE)
+    assert set(entry.catalog.QUERIES) == set(entry.catalog.ORACLE) | WITHOUT_SQL
 
 
 def test_entry(spark):
