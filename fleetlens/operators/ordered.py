@@ -212,9 +212,11 @@ def expand(df: DataFrame, low: Column, high: Column, name: str, block: int = EXP
 class Scan:
     """A left fold per key whose pieces compose.
 
-    ``step`` folds rows and returns one output array per column; ``absorb``
-    folds the same rows into a summary that ``chain`` can later apply to any
-    starting state. Numbers only; states and summaries are float lists.
+    ``step`` folds rows of one or more keys and returns one output array per
+    column; ``heads`` marks the rows at which a new key starts over. ``absorb``
+    collects the rows of one key, ``pack`` sums them up as a map that ``chain``
+    can later apply to any starting state. Numbers only; states and summaries
+    are float lists.
     """
 
     outputs: dict[str, str] = {}
@@ -222,7 +224,7 @@ class Scan:
     def start(self) -> list[float]:
         raise NotImplementedError
 
-    def step(self, state: list[float], cols: dict[str, np.ndarray]):
+    def step(self, state: list[float], cols: dict[str, np.ndarray], heads: np.ndarray | None = None):
         raise NotImplementedError
 
     def blank(self):
@@ -238,19 +240,24 @@ class Scan:
         raise NotImplementedError
 
 
+def _changes(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Whether a row's key differs from the row's before it; null keys are equal."""
+    change = np.zeros(len(pdf), dtype=bool)
+    change[:1] = True
+    for k in keys:
+        col, null = pdf[k].to_numpy(), pdf[k].isna().to_numpy()
+        change[1:] |= (col[1:] != col[:-1]) & ~(null[1:] & null[:-1])
+    return change
+
+
+def _key(pdf: pd.DataFrame, keys: list[str], row: int) -> tuple:
+    return tuple(None if pd.isna(v) else _plain(v) for v in (pdf[k].iloc[row] for k in keys))
+
+
 def _runs(pdf: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, int, int]]:
-    n = len(pdf)
-    if n == 0:
-        return
-    change = np.zeros(n, dtype=bool)
-    change[0] = True
-    cols = [pdf[k].to_numpy() for k in keys]
-    for c in cols:
-        change[1:] |= c[1:] != c[:-1]
-    starts = np.flatnonzero(change)
-    ends = np.append(starts[1:], n)
-    for s, e in zip(starts, ends):
-        yield tuple(c[s] for c in cols), int(s), int(e)
+    starts = np.flatnonzero(_changes(pdf, keys))
+    for s, e in zip(starts, np.append(starts[1:], len(pdf))):
+        yield _key(pdf, keys, s), int(s), int(e)
 
 
 def _plain(v):
@@ -269,18 +276,17 @@ def scan(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], fo
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            outs = {n: [] for n in fold.outputs}
-            chunk_col = pdf[CHUNK].to_numpy() if CHUNK in pdf else None
-            for k, s, e in _runs(pdf, keys):
-                if k != key:
-                    key = k
-                    entry = (*[_plain(x) for x in k], _plain(chunk_col[s]) if chunk_col is not None else -1)
-                    state = list(carries.get(entry) or fold.start())
-                got, state = fold.step(state, {c: pdf[c].to_numpy()[s:e] for c in inputs})
-                for n in outs:
-                    outs[n].append(np.asarray(got[n]))
-            res = pdf.drop(columns=[CHUNK]) if chunk_col is not None else pdf
-            yield res.assign(**{n: np.concatenate(v) for n, v in outs.items()})
+            heads = _changes(pdf, keys)
+            if state is None:
+                # Only the first key of a piece may have begun before it.
+                chunk = _plain(pdf[CHUNK].iloc[0]) if CHUNK in pdf else -1
+                state = list(carries.get((*_key(pdf, keys, 0), chunk)) or fold.start())
+                heads[0] = False
+            else:
+                heads[0] = _key(pdf, keys, 0) != key
+            key = _key(pdf, keys, -1)
+            outs, state = fold.step(state, {c: pdf[c].to_numpy() for c in inputs}, heads)
+            yield pdf.drop(columns=[CHUNK], errors="ignore").assign(**{n: outs[n] for n in fold.outputs})
 
     if not (is_hot(df, keys) if hot is None else hot):
         placed = df.repartition(*keys).sortWithinPartitions(*keys, *in_order(order))
@@ -305,7 +311,7 @@ def scan(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], fo
             yield _row(key, chunk, fold.pack(acc))
 
     def _row(k, chunk, packed):
-        return pd.DataFrame({**{c: [v] for c, v in zip(keys, k)}, CHUNK: [chunk],
+        return pd.DataFrame({**{c: pd.Series([v], dtype=object) for c, v in zip(keys, k)}, CHUNK: [chunk],
                              "packed": [[float(x) for x in packed]]})
 
     sum_schema = T.StructType([df.schema[k] for k in keys] + [
@@ -325,10 +331,40 @@ def scan(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], fo
     return pieces.mapInPandas(lambda it: apply_rows(it, carries), out_schema)
 
 
+def _heads(heads: np.ndarray | None, n: int) -> np.ndarray:
+    return np.zeros(n, dtype=bool) if heads is None else heads
+
+
+def _reached(entries: np.ndarray, jump: np.ndarray) -> np.ndarray:
+    """Elements on the chains i, jump[i], jump[jump[i]], ... from ``entries``; len(jump) ends a chain.
+
+    Jumps are doubled: after k rounds the first 2^k elements of every chain are marked."""
+    m = len(jump)
+    jump, seen = np.append(jump, m), np.zeros(m + 1, dtype=bool)
+    seen[entries] = True
+    while (jump < m).any():
+        seen[jump[seen]] = True
+        jump = jump[jump]
+    return seen[:m]
+
+
+def _ends(jump: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(last element, number of jumps) of the chain from every element, by doubling."""
+    m = len(jump)
+    hops = (jump < m).astype(np.int64)
+    last = np.where(jump < m, jump, np.arange(m))
+    while True:
+        further = last[last]
+        if (further == last).all():
+            return last, hops
+        hops, last = hops + hops[last], further
+
+
 class Ewma(Scan):
     """Correction factor: a convex step toward the clamped actual/predicted
     ratio. Start and samples lie inside the clamp, so the factor does too and a
-    piece is the affine map x -> a*x + b."""
+    piece is the affine map x -> a*x + b. Within a piece the steps stay in order,
+    as another order of adding would round differently."""
 
     outputs = {"correction_after": "double"}
 
@@ -345,25 +381,27 @@ class Ewma(Scan):
     def start(self):
         return [1.0]
 
-    def step(self, state, cols):
+    def step(self, state, cols, heads=None):
         ok, ratio = self._samples(cols)
-        x, keep, out = state[0], 1.0 - self.alpha, np.empty(len(ok))
-        for i in range(len(ok)):
-            if ok[i]:
-                x = keep * x + self.alpha * ratio[i]
-            out[i] = x
-        return {"correction_after": out}, [x]
+        heads = _heads(heads, len(ok))
+        # Rows that neither sample nor start a key repeat the factor before them.
+        at = np.flatnonzero(ok | heads)
+        x, keep, first = state[0], 1.0 - self.alpha, self.start()[0]
+        after = [x]
+        for head, sampled, step in zip(heads[at].tolist(), ok[at].tolist(), (self.alpha * ratio[at]).tolist()):
+            x = first if head else x
+            x = keep * x + step if sampled else x
+            after.append(x)
+        return {"correction_after": np.array(after)[np.cumsum(ok | heads)]}, [x]
 
     def blank(self):
         return [1.0, 0.0]
 
     def absorb(self, acc, cols):
         ok, ratio = self._samples(cols)
-        a, b = acc
-        keep = 1.0 - self.alpha
-        for r in ratio[ok]:
-            a, b = a * keep, b * keep + self.alpha * r
-        return [a, b]
+        keep, r = 1.0 - self.alpha, ratio[ok]
+        weight = keep ** np.arange(len(r), -1, -1, dtype=float)
+        return [acc[0] * weight[0], acc[1] * weight[0] + self.alpha * float(weight[1:] @ r)]
 
     def pack(self, acc):
         return acc
@@ -374,35 +412,56 @@ class Ewma(Scan):
 
 class StateMachine(Scan):
     """Table-driven automaton: column ``code`` holds event numbers, ``table[s][e]``
-    the next state or -1 (refused, state kept). A piece is a map of all states."""
+    the next state or -1 (refused, state kept). A piece is a map of all states.
+
+    Rows are laid out in about sqrt(n) blocks that advance side by side, first
+    from every state, then, with the maps of the blocks chained, from the true one."""
 
     outputs = {"state_code": "long", "legal": "boolean"}
 
     def __init__(self, code: str, table: list[list[int]], start_state: int = 0):
-        self.code, self.table, self.first = code, table, start_state
+        self.code, self.first = code, start_state
+        # A last column for events below 0, which are refused.
+        self.table = np.array([[*row, -1] for row in table], dtype=np.int64)
+        self.next = np.where(self.table >= 0, self.table, np.arange(len(table))[:, None])
 
     def start(self):
         return [float(self.first)]
 
-    def step(self, state, cols):
-        s, events = int(state[0]), cols[self.code]
-        states, legal = np.empty(len(events), dtype=np.int64), np.empty(len(events), dtype=bool)
-        for i, e in enumerate(events):
-            nxt = self.table[s][e] if e >= 0 else -1
-            legal[i] = nxt >= 0
-            s = nxt if nxt >= 0 else s
-            states[i] = s
-        return {"state_code": states, "legal": legal}, [float(s)]
+    def _blocks(self, cols, heads):
+        events = np.maximum(cols[self.code].astype(np.int64), -1)
+        n = len(events)
+        width = max(1, int(np.ceil(np.sqrt(n))))
+        pad = -n % width
+        lay = lambda a, fill: np.append(a, np.full(pad, fill, a.dtype)).reshape(-1, width).T
+        return n, lay(events, -1), lay(_heads(heads, n), False)
+
+    def _maps(self, events, heads):
+        at = np.tile(np.arange(len(self.next)), (events.shape[1], 1))
+        for e, h in zip(events, heads):
+            at = self.next[np.where(h[:, None], self.first, at), e[:, None]]
+        return at
+
+    def step(self, state, cols, heads=None):
+        n, events, heads = self._blocks(cols, heads)
+        s, begins = int(state[0]), np.empty(events.shape[1], dtype=np.int64)
+        for b, ends in enumerate(self._maps(events, heads)):
+            begins[b], s = s, int(ends[s])
+        states, legal = np.empty(events.shape, dtype=np.int64), np.empty(events.shape, dtype=bool)
+        at = begins
+        for j, (e, h) in enumerate(zip(events, heads)):
+            at = np.where(h, self.first, at)
+            legal[j] = self.table[at, e] >= 0
+            states[j] = at = self.next[at, e]
+        return {"state_code": states.T.ravel()[:n], "legal": legal.T.ravel()[:n]}, [float(s)]
 
     def blank(self):
-        return np.arange(len(self.table))
+        return np.arange(len(self.next))
 
     def absorb(self, acc, cols):
-        table = np.asarray(self.table)
-        for e in cols[self.code]:
-            if e >= 0:
-                nxt = table[acc, e]
-                acc = np.where(nxt >= 0, nxt, acc)
+        _, events, heads = self._blocks(cols, None)
+        for ends in self._maps(events, heads):
+            acc = ends[acc]
         return acc
 
     def pack(self, acc):
@@ -414,10 +473,10 @@ class StateMachine(Scan):
 
 class Cooldown(Scan):
     """Greedy bans: a strike at time t starts a ban until t + length unless one
-    is running. The state is the end of the current ban. Over a piece the end
-    state is a step function of the start state: a strike at t maps every start
-    <= t that is still untouched to t + length, and every later value it
-    reaches follows the same chain."""
+    is running. The state is the end of the current ban. The strike that starts
+    the next ban is found by binary search, and the chain of bans by doubling
+    such jumps. Over a piece the end state is a step function of the start
+    state: starts up to a strike's time follow that strike's chain to its end."""
 
     outputs = {"ban_started": "boolean", "banned_until": "double"}
 
@@ -427,52 +486,61 @@ class Cooldown(Scan):
     def start(self):
         return [0.0]
 
-    def step(self, state, cols):
-        until, t, s = state[0], cols[self.t].astype(float), cols[self.s]
-        started, ends = np.zeros(len(t), dtype=bool), np.full(len(t), until)
-        if not s.any():
-            return {"ban_started": started, "banned_until": ends}, [until]
-        for i in range(len(t)):
-            if s[i] and until <= t[i]:
-                started[i], until = True, t[i] + self.length
-            ends[i] = until
-        return {"ban_started": started, "banned_until": ends}, [until]
+    def _jumps(self, key, time):
+        """The strike of the same key that starts the next ban, or the number of strikes."""
+        def pair(t):  # compared by key, then by time
+            z = np.empty(len(key), dtype=complex)
+            z.real, z.imag = key, t
+            return z
+        m = len(time)
+        after = np.maximum(np.searchsorted(pair(time), pair(time + self.length)), np.arange(1, m + 1))
+        return np.where((after < m) & (key[np.minimum(after, m - 1)] == key), after, m)
+
+    def step(self, state, cols, heads=None):
+        t, struck = cols[self.t].astype(float), cols[self.s].astype(bool)
+        heads, rows = _heads(heads, len(t)), np.arange(len(t))
+        key = np.cumsum(heads)
+        at = np.flatnonzero(struck)
+        free = t[at] >= np.where(key[at] == 0, state[0], self.start()[0])
+        # A key's bans begin with its first strike after the state it starts from.
+        entries = np.flatnonzero(free)[np.unique(key[at][free], return_index=True)[1]]
+        started = np.zeros(len(t), dtype=bool)
+        if len(entries):
+            started[at[_reached(entries, self._jumps(key[at], t[at]))]] = True
+        source = np.maximum.accumulate(np.where(started | heads, rows, -1))
+        value = np.where(started, t + self.length, self.start()[0])
+        until = np.where(source >= 0, value[source], state[0])
+        return {"ban_started": started, "banned_until": until}, [float(until[-1])]
 
     def blank(self):
-        # Classes of starting values: (highest start in the class, its current end).
         return []
 
     def absorb(self, acc, cols):
-        t, s = cols[self.t].astype(float), cols[self.s].astype(bool)
-        for x in t[s]:
-            if acc and acc[-1][0] >= x:
-                new = []
-            else:
-                new = [[x, x + self.length]]
-            moved = [[top, x + self.length if end <= x else end] for top, end in acc] + new
-            acc = []
-            for top, end in moved:
-                if acc and acc[-1][1] == end:
-                    acc[-1][0] = top
-                else:
-                    acc.append([top, end])
-        return acc
+        return [*acc, cols[self.t].astype(float)[cols[self.s].astype(bool)]]
 
     def pack(self, acc):
-        return [v for pair in acc for v in pair]
+        """Classes of starting values: highest start in the class, its end."""
+        t = np.concatenate(acc) if acc else np.empty(0)
+        if not len(t):
+            return []
+        last, _ = _ends(self._jumps(np.zeros(len(t)), t))
+        tops, first = np.unique(t, return_index=True)
+        ends = t[last[first]] + self.length
+        final = np.append(ends[1:] != ends[:-1], True)
+        return np.stack([tops[final], ends[final]], 1).ravel().tolist()
 
     def chain(self, state, packed):
-        for top, end in zip(packed[::2], packed[1::2]):
-            if state[0] <= top:
-                return [end]
-        return state
+        i = int(np.searchsorted(packed[::2], state[0]))
+        return [packed[2 * i + 1]] if 2 * i < len(packed) else state
 
 
 class Carve(Scan):
     """Cursor over a unit range cut at group boundaries: each request takes
-    min(size, room to the boundary, units left). A piece is a step function of
-    where in its group the cursor stood: every start that is first clipped at
-    the same request continues identically."""
+    min(size, room to the boundary, units left). Group and total belong to the
+    key. The request that next reaches a boundary is found by binary search over
+    running sums, and the chain of them by doubling such jumps. A piece is a
+    step function of where in its group the cursor stood: every start that is
+    first clipped at the same request continues identically."""
 
     outputs = {"start_unit": "long", "granted": "long"}
 
@@ -482,60 +550,68 @@ class Carve(Scan):
     def start(self):
         return [0.0]
 
-    def step(self, state, cols):
-        cur = int(state[0])
-        size, total, group = cols[self.size], cols[self.total], cols[self.group]
-        starts, granted = np.empty(len(size), dtype=np.int64), np.empty(len(size), dtype=np.int64)
-        for i in range(len(size)):
-            take = min(int(size[i]), int(total[i]) - cur)
-            if group[i]:
-                take = min(take, int(group[i]) - cur % int(group[i]))
-            take = max(take, 0)
-            starts[i], granted[i] = cur, take
-            cur += take
-        return {"start_unit": starts, "granted": granted}, [float(cur)]
+    def _asked(self, cols):
+        size, total, group = (cols[c].astype(np.int64) for c in (self.size, self.total, self.group))
+        most = np.maximum(np.where(group > 0, np.minimum(group, total), total), 0)
+        return np.clip(size, 0, most), total, group
+
+    def step(self, state, cols, heads=None):
+        n, total, group = self._asked(cols)
+        heads, rows = _heads(heads, len(n)), np.arange(len(n))
+        key = np.cumsum(heads)
+        begin = np.maximum.accumulate(np.where(heads, rows, 0))
+        origin = np.where(key == 0, int(state[0]), int(self.start()[0]))
+        width = np.maximum(group, 1)
+        offset = np.where(group > 0, origin % width, 0)
+        done = np.cumsum(n)
+        before = (done - n)[begin]
+        cut = np.flatnonzero(group > 0)
+
+        def reach(goal, rows):
+            """The first request of the same key at which the running sum reaches the goal."""
+            j = np.searchsorted(done, goal)
+            return np.where((j < len(n)) & (key[np.minimum(j, len(n) - 1)] == key[rows]), j, len(n))
+        jump = np.full(len(n), len(n))
+        jump[cut] = reach(done[cut] + group[cut], cut)
+        firsts = cut[begin[cut] == cut]
+        clipped = _reached(reach(before[firsts] + group[firsts] - offset[firsts], firsts), jump)
+        passed = np.cumsum(clipped)
+        passed -= (passed - clipped)[begin]
+        last = np.maximum.accumulate(np.where(clipped | heads, rows, 0))
+        inside = origin - offset + passed * group + done - done[last]
+        end = np.where(passed > 0, inside, origin + done - before)
+        limit = np.maximum(total, origin)
+        end = np.minimum(end, limit)
+        start = np.where(begin == rows, origin, np.append(0, end[:-1]))
+        return {"start_unit": start, "granted": end - start}, [float(end[-1])]
 
     def blank(self):
-        # live: offset advance of starts not clipped yet; classes: (lowest start
-        # offset in the class, groups passed, offset) for those that were.
-        return {"sum": 0, "cut": None, "classes": [], "group": 0, "total": 0}
+        return {"n": [], "group": 0, "total": 0}
 
     def absorb(self, acc, cols):
-        size, total, group = cols[self.size], cols[self.total], cols[self.group]
-        for i in range(len(size)):
-            g = acc["group"] = int(group[i])
-            acc["total"] = int(total[i])
-            n = int(size[i])
-            classes = []
-            for low, passed, off in acc["classes"]:
-                room = g - off
-                passed, off = (passed + 1, 0) if n >= room else (passed, off + n)
-                classes.append([low, passed, off])
-            acc["sum"] += n
-            if g and (acc["cut"] is None or acc["cut"] > 0):
-                low = max(0, g - acc["sum"])
-                if acc["cut"] is None or low < acc["cut"]:
-                    classes.append([low, 1, 0])
-                    acc["cut"] = low
-            merged = []
-            for c in classes:
-                if merged and merged[-1][1:] == c[1:]:
-                    merged[-1][0] = c[0]
-                else:
-                    merged.append(c)
-            acc["classes"] = merged
-        return acc
+        n, total, group = self._asked(cols)
+        return {"n": [*acc["n"], n], "group": int(group[-1]), "total": int(total[-1])} if len(n) else acc
 
     def pack(self, acc):
-        flat = [v for c in acc["classes"] for v in c]
-        return [acc["group"], acc["total"], acc["sum"], *flat]
+        """Group, total, units asked, and classes of starting offsets: the lowest
+        offset in the class, groups passed, offset after the piece."""
+        n = np.concatenate(acc["n"]) if acc["n"] else np.empty(0, dtype=np.int64)
+        head, group, done = [acc["group"], acc["total"], int(n.sum())], acc["group"], np.cumsum(n)
+        first = np.flatnonzero((n > 0) & (done - n < group))  # requests that can be the first to be clipped
+        if not len(first):
+            return head
+        last, hops = _ends(np.searchsorted(done, done + group))
+        low, passed, offset = np.maximum(group - done[first], 0), hops[first] + 1, done[-1] - done[last[first]]
+        final = np.append((passed[1:] != passed[:-1]) | (offset[1:] != offset[:-1]), True)
+        return head + np.stack([low[final], passed[final], offset[final]], 1).ravel().tolist()
 
     def chain(self, state, packed):
-        group, total, moved, flat = int(packed[0]), int(packed[1]), int(packed[2]), packed[3:]
+        group, total, moved = (int(v) for v in packed[:3])
         cur = int(state[0])
         if group:
             base, off = cur - cur % group, cur % group
-            for low, passed, o in zip(flat[::3], flat[1::3], flat[2::3]):
-                if off >= low:
-                    return [float(min(base + int(passed) * group + int(o), total))]
+            lows = np.asarray(packed[3::3])
+            i = int(np.searchsorted(-lows, -off))  # lows fall: the first at most the offset
+            if i < len(lows):
+                return [float(min(base + int(packed[4 + 3 * i]) * group + int(packed[5 + 3 * i]), total))]
         return [float(min(cur + moved, total))]
