@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import let, saved
+from fleetlens.llm.common import free_name, let, saved
 
 LEAST_WORDS = 50
 WINDOWS = "id bigint, text_key bigint, print bigint, content bigint, start int, stop int"
@@ -70,8 +70,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Later means a higher id (nulls last), then a higher text hash, then further down the text; a repeat that overlaps
     the first place of its window does not count. One row per input row. A null text has no lines and stays null; an
     empty one has one empty line. Rows repeated with id and text are one document: all keep the same lines. An empty
-    table gives an empty table; columns of ``docs`` keep their names.
+    table gives an empty table; columns of ``docs`` keep their names, but those named as the three new ones are replaced.
     """
+    docs = docs.drop("_lines", "_removed", "_kept_text")
+    its_id, its_key = free_name(docs, "_id"), free_name(docs, "_key")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
     found = saved(rows.where("text is not null").mapInArrow(_windows, WINDOWS), "windows")
     place = ["print", "content"]
@@ -82,13 +84,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_key") == F.col("first.text_key"))
     later = (hits.join(firsts, place).where(~same | (F.col("start") > F.col("first.stop")))
              .select("id", "text_key", F.explode(F.sequence("start", "stop")).alias("line")).distinct())
-    removed = saved(later.groupBy(F.col("id").alias("_id"), F.col("text_key").alias("_key"))
+    removed = saved(later.groupBy(F.col("id").alias(its_id), F.col("text_key").alias(its_key))
                     .agg(F.array_sort(F.collect_list("line")).alias("_removed")), "removed")
     text, gone = F.col(text_col), F.coalesce("_removed", F.array().cast("array<int>"))
     # Both sides are shuffled at every size: there are as many of these rows as documents with repeats.
-    joined = docs.join(removed.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_key")), "left")
+    joined = docs.join(removed.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col(its_id)) & (F.xxhash64(text) == F.col(its_key)), "left")
     kept = let(F.split(text, "\n", -1), lambda ls: F.array_join(F.transform(
         F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), gone), lambda i: F.element_at(ls, i + 1)), "\n"))
     return (joined.withColumn("_lines", F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1))))
             .withColumn("_kept_text", F.when(F.size(gone) == 0, text).otherwise(kept))
-            .withColumn("_removed", gone).drop("_id", "_key"))
+            .withColumn("_removed", gone).drop(its_id, its_key))

@@ -119,8 +119,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts; repeated documents count each time.
     """
     ids = saved(sample_ids(labels, id_col, label_col, TRAIN_ROWS), "labels")
-    sample = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(ids), F.col(id_col) == F.col("_key"))
-    model = (sample.select(F.col(text_col).alias("text"), F.col("_label"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    model = (texts.join(F.broadcast(ids), F.col("id") == F.col("_key")).select("text", "_label")
              .mapInArrow(_extract, "label int, used binary, share binary").repartition(1)
              .mapInArrow(_fit, "table binary, bias double").first())
     return np.frombuffer(model["table"], np.float32), model["bias"]
@@ -149,7 +149,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Scores depend on the text alone, so repeated rows and equal texts get equal scores. Null and empty texts, and all
     texts if nothing could be learned, get the odds of the labels. An empty table gives an empty table. Columns of
-    ``docs`` are kept whatever their names; those of ``labels`` are not looked at but for the id and the label.
+    ``docs`` are kept whatever their names, but for those named as the three new ones, which are replaced; those of
+    ``labels`` are not looked at but for the id and the label.
     """
     score = scorer(train(docs, labels, id_col, text_col, label_col), docs.sparkSession)
     return (docs.withColumn("_score", score(F.col(text_col))).withColumn("_good", F.col("_score") >= threshold)

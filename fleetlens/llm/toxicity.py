@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm import subwords
-from fleetlens.llm.common import saved
+from fleetlens.llm.common import free_name, saved
 from fleetlens.llm.quality import sample_ids
 from fleetlens.llm.shingles import BASE, mix
 
@@ -132,8 +132,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           label_col: str = "toxic") -> tuple[np.ndarray, np.ndarray]:
     """Fit on at most ``TRAIN_ROWS`` labelled documents, in one task; rows with a null id, label or text are left out."""
     ids = saved(sample_ids(labels, id_col, label_col, TRAIN_ROWS), "labels")
-    sample = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(ids), F.col(id_col) == F.col("_key"))
-    model = (sample.select(F.col(text_col).alias("text"), F.col("_label")).mapInArrow(_extract, "label int, used binary")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    model = (texts.join(F.broadcast(ids), F.col("id") == F.col("_key")).select("text", "_label").mapInArrow(_extract, "label int, used binary")
              .repartition(1).mapInArrow(_fit, "weight binary, thresholds array<double>").first())
     return np.frombuffer(model["weight"], np.float32), np.array(model["thresholds"])
 
@@ -143,7 +143,8 @@ def rate(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     """Rows of ``docs`` with ``_severity`` (expected grade), ``_grade`` (the likeliest), ``_score`` (P(grade > 0)), ``_toxic``.
 
     One row per input row; equal texts are rated alike. A null or empty text has no features and is rated by the
-    thresholds alone. An empty table gives an empty table; clashing names in ``labels`` are ignored.
+    thresholds alone. An empty table gives an empty table; clashing names in ``labels`` are ignored. Columns of ``docs``
+    named as one of the four new ones are replaced, all others are kept.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col))
 
@@ -158,9 +159,10 @@ def rate(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
             out[first:first + len(part)] = np.bincount(pair // subwords.BUCKETS, weight[pair % subwords.BUCKETS], len(part))
         return pa.array(out)
 
-    over = [1 / (1 + F.exp(F.lit(float(t)) - F.col("_total"))) for t in shared.value[1]]
-    rated = docs.withColumn("_total", total(F.col(text_col)))
+    name = free_name(docs, "_total")
+    over = [1 / (1 + F.exp(F.lit(float(t)) - F.col(name))) for t in shared.value[1]]
+    rated = docs.withColumn(name, total(F.col(text_col)))
     shares = [1 - over[0], *[a - b for a, b in zip(over[:-1], over[1:], strict=True)], over[-1]]
     return (rated.withColumn("_severity", sum(over[1:], over[0])).withColumn("_score", over[0])
             .withColumn("_grade", (F.array_position(F.array(*shares), F.greatest(*shares)) - 1).cast("int"))
-            .withColumn("_toxic", F.col("_score") >= THRESHOLD).drop("_total"))
+            .withColumn("_toxic", F.col("_score") >= THRESHOLD).drop(name))

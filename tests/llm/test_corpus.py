@@ -561,3 +561,31 @@ def test_order_follows_the_schedules(spark, monkeypatch):
     before = ranks()
     monkeypatch.setattr(curriculum, "SLOPES", (0.5, 0.0, -0.5))
     assert ranks() != before and sorted(ranks()) == sorted(before)
+
+
+MORE_CLASH = ["_key", "_score", "_good", "_gone", "_label", "_total", "_severity", "_id", "_removed", "_repeated", "text_key", "copies",
+              "component_id", "size", "positions", "first", "row"]
+
+
+def test_no_column_name_gets_in_the_way(spark):
+    import corpus_pipeline
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    more = docs.select("*", *[F.lit(-5.0).alias(c) for c in MORE_CLASH])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        plain, named = stage(spark, docs, SMALL), stage(spark, more, SMALL)
+        assert named.columns == more.columns
+        rows = lambda df: sorted((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
+        assert rows(named) == rows(plain)
+        assert named.where(" or ".join(f"`{c}` is null or `{c}` <> -5.0" for c in MORE_CLASH)).count() == 0
+        docs, more = plain, named
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    docs, more = docs.limit(40), more.limit(40)
+    for made in (toxicity.rate(more, labels), quality.classify(more, labels), lines.dedup_lines(more)):
+        assert made.count() == 40 and made.where("_key <> -5.0 or _total <> -5.0 or _id <> -5.0").count() == 0
+
+
+def test_every_stage_takes_an_empty_table(spark):
+    import corpus_pipeline
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SMALL).count() == 0, name
