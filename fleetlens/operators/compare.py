@@ -167,6 +167,68 @@ def compare_statistical(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFram
         .otherwise(F.col("p.pixel") * 3 + F.col("p.bad_channel")).alias("bad_channel"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(x)`` with ``x`` standing for ``value``, evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def statistical_pair(a: Column, b: Column) -> Column:
+    """(match, z_aggregate) of two payloads, arrays of (r, g, b, samples), by the rule of :func:`compare_statistical`.
+
+    One expression over the two arrays, so that payloads can be members of a fold. Payloads of unequal size, with a
+    sample count that is not positive or a radiance that is not finite do not match; their z is 0. Two empty ones match."""
+    def number(v):
+        return F.coalesce(~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))), F.lit(False))
+
+    def sound(p):
+        ok = F.lit(True)
+        for side in ("a", "b"):
+            counts = p[side]["samples"].cast("double")
+            ok = ok & number(counts) & F.coalesce(counts > 0, F.lit(False))
+            for c in ("r", "g", "b"):
+                ok = ok & number(p[side][c].cast("double"))
+        return ok
+
+    def square(p):
+        return F.lit(1.0) / p["a"]["samples"].cast("double") + F.lit(1.0) / p["b"]["samples"].cast("double")
+
+    def channels(p):
+        means = [(p["a"][c].cast("double") / p["a"]["samples"].cast("double"),
+                  p["b"][c].cast("double") / p["b"]["samples"].cast("double")) for c in ("r", "g", "b")]
+        return F.array(*[F.struct((ma - mb).alias("diff"), F.abs((ma - mb) / F.sqrt(square(p))).alias("d"), F.abs(mb).alias("mag"))
+                         for ma, mb in means])
+
+    def ranked(values, q):
+        return F.element_at(values, F.floor(F.lit(q) * (F.size(values) - 1)).cast("int") + 1)
+
+    def total(values, part):
+        return F.aggregate(values, F.lit(0.0), lambda t, v: t + part(v))
+
+    def judged(pairs, ch, ds):
+        mags = F.sort_array(F.transform(ch, lambda c: c["mag"]))
+        m = F.size(ch).cast("double")
+        scale = F.greatest(ranked(ds, SCALE_QUANTILE) / HALF_NORMAL, F.lit(SCALE_FLOOR) * F.greatest(ranked(mags, 0.5), F.lit(1e-9)))
+
+        def verdict(scale):
+            se = scale * F.sqrt(total(pairs, square) / m) / F.sqrt(m)
+            z = F.when(se > 0, F.abs(total(ch, lambda c: c["diff"]) / m) / se).otherwise(F.lit(0.0))
+            outliers = F.size(F.filter(ds, lambda d: d / scale > SIGMA_CUTOFF)) / m
+            return _let(z, lambda z: F.struct(((outliers <= MAX_OUTLIER_FRACTION) & (z <= AGGREGATE_CUTOFF)).alias("match"),
+                                              z.alias("z_aggregate")))
+        return _let(scale, verdict)
+
+    def compared(pairs):
+        return _let(F.flatten(F.transform(pairs, channels)), lambda ch: _let(
+            F.sort_array(F.transform(ch, lambda c: c["d"])), lambda ds: judged(pairs, ch, ds)))
+
+    def known(match):
+        return F.struct(F.lit(match).alias("match"), F.lit(0.0).alias("z_aggregate"))
+    pairs = F.zip_with(a, b, lambda x, y: F.struct(x.alias("a"), y.alias("b")))
+    alike = F.coalesce(F.size(a) == F.size(b), F.lit(False)) & a.isNotNull() & b.isNotNull()
+    return F.when(~alike, known(False)).when(F.size(a) == 0, known(True)).otherwise(
+        _let(pairs, lambda ps: F.when(F.forall(ps, sound), compared(ps)).otherwise(known(False))))
+
+
 def bit_distance(pairs: DataFrame) -> DataFrame:
     """Adds ``ulp`` to (kernel, pos, bits_a, bits_b): distance in representable
     steps, or 0/1 for integer kernels; null for a NaN on either side."""

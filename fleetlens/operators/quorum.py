@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.functions.exprs import MAX_REPLICAS, U32, ulp_distance
+from fleetlens.operators.compare import statistical_pair
 
 KNOWN_POOL = 256
 
@@ -124,6 +125,27 @@ def decide_tolerant(subs: DataFrame, required, cap: int, abs_eps: float, rel_eps
         F.when(won, F.transform("best", lambda x: x["worker_id"])).alias("agreeing_workers"))
 
 
+def decide_statistical(subs: DataFrame, required, cap: int = MAX_REPLICAS, value: str = "payload") -> DataFrame:
+    """Verdict per (task, round) for Monte Carlo payloads, arrays of (r, g, b, samples); see :func:`decide_exact`.
+
+    Two answers agree if the statistical comparison says Match; a comparison that is not possible is no agreement. How far
+    dissent lies from the winner is the largest distance of the means in standard errors; it has no distance in floats."""
+    g = _clusters(subs, required, cap, value, lambda a, b: statistical_pair(a, b)["match"])
+    losers = F.flatten(F.filter("clusters", lambda c: c != F.col("best")))
+    won = F.col("action") == "Accept"
+    winner = F.col("best")[0]["v"]
+    apart = F.array_max(F.transform(losers, lambda x: statistical_pair(x["v"], winner)["z_aggregate"]))
+    return g.select(
+        "task_id", "round", F.col("n").cast("long").alias("n"), F.col("received").cast("long").alias("received"),
+        F.size("clusters").cast("long").alias("clusters"), "action",
+        F.when(won, F.col("best")[0]["seq"]).otherwise(F.lit(-1)).cast("long").alias("winner_seq"),
+        F.when(won, F.col("best_size")).otherwise(F.lit(0)).cast("long").alias("agreeing"),
+        F.when(won, F.col("n") - F.col("best_size")).otherwise(F.lit(0)).cast("long").alias("dissenting"),
+        F.lit(0).cast("long").alias("dissent_max_ulp"),
+        F.when(won, F.coalesce(apart, F.lit(0.0))).otherwise(F.lit(0.0)).alias("dissent_max_rel"),
+        F.when(won, F.transform("best", lambda x: x["worker_id"])).alias("agreeing_workers"))
+
+
 def settle(decided: DataFrame) -> DataFrame:
     """One verdict per task: the first accepted round, else the latest round."""
     rest = [c for c in decided.columns if c not in ("task_id", "received")]

@@ -244,17 +244,16 @@ def _ag(i: int, j: int) -> str:
     return f"(abs(v{i} - v{j}) <= 0.3::DOUBLE * abs(v{j}))"
 
 
-@query("quorum_tolerant", ["sb"], f"""
-WITH r AS (SELECT task_id, (seq - 1) // 4 AS round, seq, value, (seq - 1) % 4 + 1 AS slot FROM sb),
-w AS (SELECT task_id, round, count(*) AS n, min(seq) AS s0, max(value) FILTER (slot = 1) AS v1, max(value) FILTER (slot = 2) AS v2,
-  max(value) FILTER (slot = 3) AS v3, max(value) FILTER (slot = 4) AS v4 FROM r GROUP BY ALL),
-c2 AS (SELECT *, CASE WHEN n < 2 THEN 0 WHEN {_ag(2, 1)} THEN 1 ELSE 2 END AS c2 FROM w),
-c3 AS (SELECT *, CASE WHEN n < 3 THEN 0 WHEN {_ag(3, 1)} AND (c2 <> 1 OR {_ag(3, 2)}) THEN 1
-  WHEN c2 = 2 AND {_ag(3, 2)} THEN 2 ELSE greatest(1, c2) + 1 END AS c3 FROM c2),
+def _cluster_sql(ag) -> str:
+    """Clusters and verdict of rounds ``w`` of up to four answers; ``ag(i, j)`` says whether answer i agrees with j."""
+    return f"""
+c2 AS (SELECT *, CASE WHEN n < 2 THEN 0 WHEN {ag(2, 1)} THEN 1 ELSE 2 END AS c2 FROM w),
+c3 AS (SELECT *, CASE WHEN n < 3 THEN 0 WHEN {ag(3, 1)} AND (c2 <> 1 OR {ag(3, 2)}) THEN 1
+  WHEN c2 = 2 AND {ag(3, 2)} THEN 2 ELSE greatest(1, c2) + 1 END AS c3 FROM c2),
 c4 AS (SELECT *, CASE WHEN n < 4 THEN 0
-  WHEN {_ag(4, 1)} AND (c2 <> 1 OR {_ag(4, 2)}) AND (c3 <> 1 OR {_ag(4, 3)}) THEN 1
-  WHEN (c2 = 2 OR c3 = 2) AND (c2 <> 2 OR {_ag(4, 2)}) AND (c3 <> 2 OR {_ag(4, 3)}) THEN 2
-  WHEN c3 = 3 AND {_ag(4, 3)} THEN 3 ELSE greatest(1, c2, c3) + 1 END AS c4 FROM c3),
+  WHEN {ag(4, 1)} AND (c2 <> 1 OR {ag(4, 2)}) AND (c3 <> 1 OR {ag(4, 3)}) THEN 1
+  WHEN (c2 = 2 OR c3 = 2) AND (c2 <> 2 OR {ag(4, 2)}) AND (c3 <> 2 OR {ag(4, 3)}) THEN 2
+  WHEN c3 = 3 AND {ag(4, 3)} THEN 3 ELSE greatest(1, c2, c3) + 1 END AS c4 FROM c3),
 k AS (SELECT *, CASE WHEN c2 = 1 THEN 2 WHEN n >= 3 AND c3 <= 2 THEN 3 WHEN n >= 4 AND c4 <= 3 THEN 4 ELSE n END AS k FROM c4),
 u AS (SELECT * EXCLUDE (n, c3, c4, k), k AS n, n AS received, CASE WHEN k >= 3 THEN c3 ELSE 0 END AS c3, CASE WHEN k >= 4 THEN c4 ELSE 0 END AS c4 FROM k),
 z AS (SELECT *, greatest(1, c2, c3, c4) AS clusters,
@@ -263,7 +262,14 @@ z AS (SELECT *, greatest(1, c2, c3, c4) AS clusters,
 b AS (SELECT *, list_max(sz) AS best, list_position(sz, list_max(sz)) AS top FROM z),
 a AS (SELECT *, list_position([1, c2, c3, c4], top) AS ws, CASE WHEN best >= 2 THEN 'Accept' WHEN n < 4 THEN 'NeedMoreReplicas'
   WHEN best * 2 > n THEN 'Accept' ELSE 'Inconclusive' END AS action FROM b),
-o AS (SELECT *, [v1, v2, v3, v4][ws] AS wv FROM a),
+"""
+
+
+@query("quorum_tolerant", ["sb"], f"""
+WITH r AS (SELECT task_id, (seq - 1) // 4 AS round, seq, value, (seq - 1) % 4 + 1 AS slot FROM sb),
+w AS (SELECT task_id, round, count(*) AS n, min(seq) AS s0, max(value) FILTER (slot = 1) AS v1, max(value) FILTER (slot = 2) AS v2,
+  max(value) FILTER (slot = 3) AS v3, max(value) FILTER (slot = 4) AS v4 FROM r GROUP BY ALL),
+{_cluster_sql(_ag)}o AS (SELECT *, [v1, v2, v3, v4][ws] AS wv FROM a),
 x AS (SELECT *, greatest(CASE WHEN top <> 1 THEN abs(v1 - wv) / wv ELSE 0 END, CASE WHEN n >= 2 AND c2 <> top THEN abs(v2 - wv) / wv ELSE 0 END,
   CASE WHEN n >= 3 AND c3 <> top THEN abs(v3 - wv) / wv ELSE 0 END, CASE WHEN n >= 4 AND c4 <> top THEN abs(v4 - wv) / wv ELSE 0 END) AS dr FROM o)
 SELECT task_id, round, n, received, clusters::BIGINT AS clusters, action, CASE WHEN action = 'Accept' THEN s0 + ws - 1 ELSE -1 END AS winner_seq,
@@ -274,6 +280,51 @@ def quorum_tolerant(spark, sf):
     return d.drop("agreeing_workers", "dissent_max_ulp")
 
 
+# Every third vector answers with shifted radiance, some lack their last pixel, some have a pixel without samples.
+@query("quorum_statistical", ["vec"], f"""
+WITH p AS (SELECT task_id, (seq - 1) // 4 AS round, (seq - 1) % 4 + 1 AS slot, i, CASE WHEN vec_id % 13 = 0 AND i = 0 THEN 0 ELSE n END AS n, ch FROM (
+  SELECT label * 1000000 + (pair - 1) // 4 AS task_id, (pair - 1) % 4 * 2 + 2 - odd AS seq, vec_id, i,
+    abs(CAST(embedding[i*4+4] AS DOUBLE)) + 1.0::DOUBLE AS n,
+    list_transform([1, 2, 3], lambda k: CAST(embedding[i*4+k] AS DOUBLE) + CASE WHEN vec_id % 3 = 0 THEN 5.0::DOUBLE ELSE 0 END) AS ch
+  FROM (SELECT *, unnest(range(0, len(embedding) // 4 - CASE WHEN vec_id % 11 = 0 THEN 1 ELSE 0 END)) AS i FROM vec))),
+size AS (SELECT task_id, round, slot, count(*) AS pixels, min(n) > 0 AS sound FROM p GROUP BY ALL),
+c AS (SELECT a.task_id, a.round, a.slot AS i, b.slot AS j, k, 1.0::DOUBLE / a.n + 1.0::DOUBLE / b.n AS sq, a.ch[k] / a.n AS ma, b.ch[k] / b.n AS mb
+  FROM p a JOIN p b ON a.task_id = b.task_id AND a.round = b.round AND a.slot <> b.slot AND a.i = b.i, (SELECT unnest([1, 2, 3]) AS k)
+  WHERE a.n > 0 AND b.n > 0),
+s AS (SELECT task_id, round, i, j, count(*) AS m, list_sort(list(abs((ma - mb) / sqrt(sq)))) AS ds, list_sort(list(abs(mb))) AS ms,
+  sum(ma - mb) AS sd, sum(sq) FILTER (k = 1) AS pooled FROM c GROUP BY ALL),
+sc AS (SELECT *, greatest(ds[CAST(floor(0.99::DOUBLE * (m - 1)) AS BIGINT) + 1] / 2.5758,
+  0.001::DOUBLE * greatest(ms[CAST(floor(0.5::DOUBLE * (m - 1)) AS BIGINT) + 1], 1e-9::DOUBLE)) AS scale FROM s),
+za AS (SELECT *, len(list_filter(ds, lambda x: x / scale > 6.0)) / m::DOUBLE AS tail, abs(sd / m) / (scale * sqrt(pooled / m) / sqrt(m)) AS z FROM sc),
+ok AS (SELECT a.task_id, a.round, a.slot AS i, b.slot AS j, a.pixels = b.pixels AND a.sound AND b.sound AS fit,
+  a.pixels = b.pixels AND a.sound AND b.sound AND tail <= 0.03 AND z <= 12 AS ag, z FROM size a JOIN size b
+  ON a.task_id = b.task_id AND a.round = b.round AND a.slot <> b.slot LEFT JOIN za
+  ON za.task_id = a.task_id AND za.round = a.round AND za.i = a.slot AND za.j = b.slot),
+w AS (SELECT r.task_id, r.round, r.n, r.round * 4 + 1 AS s0, {", ".join(f"g.g{i}{j}" for i in (2, 3, 4) for j in range(1, i))}
+  FROM (SELECT task_id, round, count(*) AS n FROM size GROUP BY ALL) r LEFT JOIN (SELECT task_id, round,
+  {", ".join(f"bool_or(ag) FILTER (i = {i} AND j = {j}) AS g{i}{j}" for i in (2, 3, 4) for j in range(1, i))} FROM ok GROUP BY ALL) g USING (task_id, round)),
+{_cluster_sql(lambda i, j: f"g{i}{j}")}
+far AS (SELECT a.task_id, a.round, max(CASE WHEN ok.fit THEN ok.z ELSE 0 END) AS z FROM a JOIN ok ON a.task_id = ok.task_id AND a.round = ok.round
+  AND ok.j = a.ws AND ok.i <= a.n AND [1, c2, c3, c4][ok.i] <> a.top GROUP BY ALL)
+SELECT task_id, round, n, received, clusters::BIGINT AS clusters, action, CASE WHEN action = 'Accept' THEN s0 + ws - 1 ELSE -1 END AS winner_seq,
+  CASE WHEN action = 'Accept' THEN best ELSE 0 END AS agreeing, CASE WHEN action = 'Accept' THEN n - best ELSE 0 END AS dissenting,
+  CASE WHEN action = 'Accept' THEN round(coalesce(far.z, 0), 6) ELSE 0 END AS dissent_max_rel FROM a LEFT JOIN far USING (task_id, round)""")
+def quorum_statistical(spark, sf):
+    v = K.kernel_map(B.vectors(spark, sf), "smoke_pixels", "embedding", "payload")
+
+    def altered(p, i):
+        shift = F.when(F.col("vec_id") % 3 == 0, F.lit(5.0)).otherwise(F.lit(0.0))
+        counts = F.when((F.col("vec_id") % 13 == 0) & (i == 0), F.lit(0.0)).otherwise(p["samples"])
+        return F.struct(*[(p[c] + shift).alias(c) for c in ("r", "g", "b")], counts.alias("samples"))
+    kept = F.size("payload") - F.when(F.col("vec_id") % 11 == 0, F.lit(1)).otherwise(F.lit(0))
+    subs = v.select(
+        (F.col("label") * 1_000_000 + F.floor((F.col("pair") - 1) / 4)).alias("task_id"),
+        ((F.col("pair") - 1) % 4 * 2 + 2 - F.col("odd")).alias("seq"), F.col("vec_id").alias("worker_id"),
+        F.slice(F.transform("payload", altered), F.lit(1), kept).alias("payload"))
+    d = K.decide_kernel("smoke_pixels", subs, 2, 4, "payload")
+    return d.drop("agreeing_workers", "dissent_max_ulp").withColumn("dissent_max_rel", F.round("dissent_max_rel", 6))
+
+
 @query("replica_pairs", ["sb"], """
 SELECT task_id, CAST(sum(c) * (sum(c) - 1) // 2 AS BIGINT) AS pairs, CAST(sum(c * (c - 1) // 2) AS BIGINT) AS agreeing FROM (
   SELECT task_id, answer, count(*) AS c FROM sb GROUP BY ALL) GROUP BY task_id""")

@@ -143,7 +143,11 @@ def test_kernel_registry(spark):
     with pytest.raises(KeyError):
         K.kernel_map(df, "unknown")
     with pytest.raises(ValueError):
-        K.register("x", K.Kernel(lambda c: c, "statistical"))
+        K.register("x", K.Kernel(lambda c: c, "by eye"))
+    v = spark.range(2).select("id", F.transform(F.sequence(F.lit(1), F.lit(19)), lambda i: i.cast("double")).alias("value"))
+    a = K.kernel_map(v, "smoke_pixels")
+    got = K.compare_kernel("smoke_pixels", a, a, ["id"]).collect()
+    assert [(r.verdict, r.elements) for r in got] == [("Match", 12)] * 2
 
 
 def upload(tile, seq, n, value, samples):

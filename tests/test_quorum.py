@@ -1,3 +1,4 @@
+import random
 import struct
 
 import pytest
@@ -148,3 +149,44 @@ def test_partials_of_strangers_are_refused(spark):
     leases = spark.createDataFrame([(1, 7)], "task_id long, worker_id long")
     got = Q.latest_partial(Q.held_partials(p, leases), leases.where("false")).collect()
     assert [(r.sequence, r.worker_id) for r in got] == [(1, 7)]
+
+
+def statistical(spark, payloads, required=2, cap=4):
+    rows = [(1, i + 1, i + 1, p) for i, p in enumerate(payloads)]
+    df = spark.createDataFrame(rows, "task_id long, worker_id long, seq long, payload array<struct<r:double,g:double,b:double,samples:double>>")
+    return Q.settle(Q.decide_statistical(df, required, cap)).first()
+
+
+def noisy(seed, pixels=60, bias=0.0, samples=16):
+    rng = random.Random(seed)
+    return [(*[sum(rng.gauss(10 + bias, 2) for _ in range(samples)) for _ in "rgb"], float(samples)) for _ in range(pixels)]
+
+
+def test_statistical(spark):
+    a, b, c = noisy(1), noisy(2), noisy(3)
+    off = noisy(4, bias=3.0)
+    r = statistical(spark, [a, b])
+    assert (r.action, r.agreeing, r.dissenting, r.dissent_max_rel) == ("Accept", 2, 0, 0.0)
+    r = statistical(spark, [a, off, b, c])  # settled by the third
+    assert (r.action, r.agreeing, r.dissenting, r.winner_seq, list(r.agreeing_workers)) == ("Accept", 2, 1, 1, [1, 3])
+    assert r.dissent_max_rel > 12
+    assert statistical(spark, [a, off]).action == "NeedMoreReplicas"
+    # Sizes that differ, no samples, and radiance that is not finite are no agreement, not even of equal payloads.
+    inf, none, nothing = [(float("inf"), 1.0, 1.0, 4.0)] * 3, [(1.0, 1.0, 1.0, 0.0)] * 3, [(1.0, None, 1.0, 4.0)] * 3
+    for pair in ([a, a[:-1]], [inf, inf], [none, none], [nothing, nothing], [None, None], [a, None]):
+        assert statistical(spark, pair).action == "NeedMoreReplicas"
+    assert statistical(spark, [[], []]).action == "Accept"
+    assert statistical(spark, [a, a[:-1], off, [(0.0, 0.0, 0.0, 0.0)]], cap=4).action == "Inconclusive"
+
+
+def test_statistical_pair_is_the_comparison(spark):
+    from fleetlens.operators import compare as C
+    tiles = [(i, noisy(i), noisy(100 + i, bias=(i % 4) * 0.15)) for i in range(24)]
+    kind = "array<struct<r:double,g:double,b:double,samples:double>>"
+    df = spark.createDataFrame(tiles, f"id long, a {kind}, b {kind}")
+    got = {r.id: r.p for r in df.select("id", C.statistical_pair(F.col("a"), F.col("b")).alias("p")).collect()}
+    sides = [df.select("id", F.posexplode(s).alias("pixel", "v")).select("id", F.col("pixel").cast("long").alias("pixel"), "v.*") for s in "ab"]
+    want = {r.id: r for r in C.compare_statistical(*sides, ["id"]).collect()}
+    assert {v.verdict for v in want.values()} == {"Match", "Mismatch"}
+    for i, p in got.items():
+        assert (p.match, p.z_aggregate) == (want[i].verdict == "Match", pytest.approx(want[i].z_aggregate, rel=1e-9))
