@@ -86,7 +86,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", F.col("_lines").alias("n_lines"), F.size("_removed").alias("n_removed"), F.col("_removed").alias("removed"),
-        F.col("_kept_text").alias("text"))
+        F.col("_cut_words").alias("cut_words"), F.col("_kept_text").alias("text"))
 
 
 @query

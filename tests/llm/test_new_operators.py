@@ -202,3 +202,63 @@ def test_simhash_links_are_complete(spark, monkeypatch, large):
     mine = [top(s) for s in signed]
     roots = brute_components(prints)
     assert len(set(zip(mine, roots, strict=True))) == len(set(mine)) == len(set(roots))
+
+
+# Line dedup inside lines
+
+def test_winnowing_keeps_the_least_of_every_window():
+    import numpy as np
+
+    from fleetlens.llm import lines
+
+    rng = np.random.default_rng(1)
+    counts = np.array([0, 49, 50, 300, 20, 1000])
+    hashes = rng.integers(1, 2 ** 63, counts.sum()).astype(np.uint64)
+    prints, at = lines.winnow(hashes, counts)
+    units, kept = lines._rolled(hashes), set(at.tolist())
+    start = 0
+    for n in counts.tolist():
+        own = set(range(start, start + max(n - lines.LEAST_WORDS + 1, 0)))
+        want = {i + int(np.argmin(units[i:i + lines.WINDOW])) for i in own}
+        assert want == {p for p in kept if start <= p < start + n}
+        start += n
+    assert (units[at] == prints).all()
+
+
+def test_passages_inside_lines_are_cut(spark):
+    """Against every repeated run of 50 words, found word by word."""
+    import random
+
+    from fleetlens.llm import lines
+
+    rng = random.Random(31)
+    made = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    passages = [made(n) for n in (51, 55, 61, 80, 200)]
+    rows = []
+    for i in range(80):
+        parts = [made(rng.randrange(5, 60)), rng.choice(passages), made(rng.randrange(0, 40))]
+        text = " ".join(parts[0] + parts[1] + parts[2])
+        if i % 3 == 0:  # the same words over several lines
+            text = "\n".join(" ".join(text.split()[j:j + 17]) for j in range(0, len(text.split()), 17))
+        rows.append((i, text))
+    rows += [(200, "la " * 3000), (201, "x y z " * 400), (202, " ".join(made(49))), (203, None), (204, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in lines.dedup_lines(df).collect()}
+    seen, checked = {}, 0
+    for doc, text in rows:
+        w = (text or "").split()
+        gone = set()
+        for a in range(len(w) - lines.LEAST_WORDS + 1):
+            first = seen.setdefault(tuple(w[a:a + lines.LEAST_WORDS]), (doc, a))
+            if first[0] != doc or a >= first[1] + lines.LEAST_WORDS:
+                gone |= set(range(a, a + lines.LEAST_WORDS))
+        kept = (got[doc]._kept_text or "").split()
+        want = [x for i, x in enumerate(w) if i not in gone]
+        if doc < 200:
+            # Only chance neighbours and stretches below CUT_WORDS at the ends of lines may differ.
+            assert 0 <= len(kept) - len(want) < 2 * lines.CUT_WORDS, doc
+            checked += bool(gone)
+        else:
+            assert abs(len(kept) - len(want)) <= lines.UNIT + lines.LEAST_WORDS, doc
+    assert checked > 70 and got[203]._kept_text is None and got[204]._kept_text == "" and got[202]._kept_text == rows[-3][1]
+    assert got[200]._cut_words > 2800 and lines.dedup_lines(df.limit(0)).count() == 0
