@@ -51,8 +51,8 @@ fits AS (
   SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS rule_verdict
   FROM facts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id),
 seeds AS (
-  SELECT host, count(*) FILTER (rule_verdict = 'allow') * 1000000 // count(*) AS a,
-         count(*) FILTER (rule_verdict = 'block') * 1000000 // count(*) AS b
+  SELECT host, count(*) FILTER (rule_verdict = 'allow') * 1000000000 // count(*) AS a,
+         count(*) FILTER (rule_verdict = 'block') * 1000000000 // count(*) AS b
   FROM facts LEFT JOIN fits USING (page_id) WHERE host <> '' GROUP BY host),
 links AS (
   SELECT DISTINCT host AS src, {LOWER.format("dst")} AS dst
@@ -60,7 +60,7 @@ links AS (
         FROM facts WHERE html IS NOT NULL) WHERE host <> '' AND host <> {LOWER.format("dst")}),
 hops AS (
   SELECT src AS at_host, dst AS to_host, 'a' AS kind FROM links UNION ALL SELECT dst, src, 'b' FROM links),
-degrees AS (SELECT at_host, kind, count(*) AS degree FROM hops GROUP BY ALL),
+degrees AS (SELECT src, count(*) AS degree FROM links GROUP BY src),
 start AS (
   SELECT host, 'a' AS kind, a * 15 // 100 AS mass FROM seeds WHERE a * 15 // 100 > 0
   UNION ALL SELECT host, 'b', b * 15 // 100 FROM seeds WHERE b * 15 // 100 > 0),
@@ -72,14 +72,14 @@ r{n} AS (
   SELECT host, kind, CAST(sum(mass) AS BIGINT) AS mass FROM (
     SELECT * FROM start UNION ALL
     SELECT to_host, r.kind, mass * 85 // (100 * degree) FROM r{n - 1} r
-    JOIN hops h ON r.host = h.at_host AND r.kind = h.kind JOIN degrees d ON h.at_host = d.at_host AND h.kind = d.kind)
+    JOIN hops h ON r.host = h.at_host AND r.kind = h.kind JOIN degrees d ON d.src = CASE h.kind WHEN 'a' THEN h.at_host ELSE h.to_host END)
   GROUP BY host, kind)"""
     return f"""WITH {facts.strip()}{rounds},
 scores AS (
   SELECT host, CAST(coalesce(sum(mass) FILTER (kind = 'a'), 0) AS BIGINT) AS trust,
          CAST(coalesce(sum(mass) FILTER (kind = 'b'), 0) AS BIGINT) AS distrust FROM r10 GROUP BY host)
 SELECT page_id, host, path, rule,
-       coalesce(rule_verdict, CASE WHEN distrust >= 50000 AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict,
+       coalesce(rule_verdict, CASE WHEN distrust >= 50000000 AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict,
        coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust
 FROM facts LEFT JOIN fits USING (page_id) LEFT JOIN scores USING (host)
 """

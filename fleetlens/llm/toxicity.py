@@ -30,11 +30,14 @@ MARKED_SHARE, MARKED_DOCS, GRADE_WORDS = 0.9, 4, (0, 3, 6)
 LEAST_DOCS, MOST_SHARE, STEPS, STEP, SPARSE, RIDGE = 3, 0.2, 200, 8.0, 1e-4, 1e-5
 #: Bytes of the start of a word that are a feature too.
 START = 5
+#: Words of more bytes are hashed one by one.
+STEPWISE = 64
 THRESHOLD = 0.4
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(text, table row) of every word without marks at its ends, in lower case, and of the start of every longer one."""
+    """(text, table row) of every whole word without marks at its ends, in lower case, of the start of every longer one, and
+    of the pairs of characters of scripts with three bytes a character."""
     data, offsets = subwords.text_bytes(texts)
     data = data + (((data >= 65) & (data <= 90)).astype(np.uint8) << 5)
     letter = ((data >= 97) & (data <= 122)) | (data >= 128)
@@ -52,16 +55,26 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     full = np.zeros(len(starts), np.uint64)
     head = np.zeros(len(starts), np.uint64)
     live = np.arange(len(starts))
-    for j in range(int(size.max())):
+    for j in range(min(int(size.max()), STEPWISE)):
         live = live[size[live] > j]
         full[live] = full[live] * np.uint64(BASE) + data[starts[live] + j] + np.uint64(1)
         if j == START - 1:
             head[live] = full[live]
-        if j == 63:  # the rest of words of more than 64 bytes is left out
-            break
+    for w in np.flatnonzero(size > STEPWISE):  # the same number for long words, each in one go
+        word = data[starts[w]:ends[w]].astype(np.uint64) + np.uint64(1)
+        power = np.full(len(word), BASE, np.uint64)
+        power[0] = 1
+        full[w] = (word * np.cumprod(power)[::-1]).sum(dtype=np.uint64)
     long = size > START
-    return (np.concatenate([owner, owner[long]]),
-            subwords.slot(np.concatenate([mix(full), mix(head[long] ^ np.uint64(1 << 63))])))
+    # Scripts of three bytes a character often have no blanks between words: their pairs of characters count too.
+    inner = np.flatnonzero((data[:-5] >= 0xE0) & (data[3:-2] >= 0xE0)) if len(data) > 5 else np.zeros(0, np.int64)
+    of = np.searchsorted(starts, inner, "right") - 1
+    inner, of = inner[inner + 6 <= ends[of]], of[inner + 6 <= ends[of]]
+    pair = np.zeros(len(inner), np.uint64)
+    for j in range(6):
+        pair = pair * np.uint64(BASE) + data[inner + j] + np.uint64(1)
+    return (np.concatenate([owner, owner[long], owner[of]]),
+            subwords.slot(np.concatenate([mix(full), mix(head[long] ^ np.uint64(1 << 63)), mix(pair ^ np.uint64(1 << 62))])))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,10 @@
 """URL filters: list rules first, then trust and distrust that spread over the link graph of hosts.
 
 Trust is a personalised PageRank along links, started at hosts whose pages the rules allow. Distrust runs along the
-reversed links, started at hosts whose pages the rules block: who links to a blocked host is suspect. Ranks are whole
-numbers (millionths of a host's seed), so that sums do not depend on their order and reruns agree.
+reversed links, started at hosts whose pages the rules block: who links to a blocked host is suspect. Both ranks divide by
+the links a host gives out, so a host's distrust is the chance that a walk from it along its links stops at a blocked page,
+at most one seed, and does not shrink however many other hosts link to the same place. Ranks are whole numbers
+(billionths of a host's seed), so that sums do not depend on their order and reruns agree.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from fleetlens.llm.common import LOWER, UPPER, saved
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: One host's whole seed, the percentage of rank that follows links, the rounds, and the distrust from which a host
 #: whose trust is smaller is blocked.
-UNIT, FOLLOW, ROUNDS, THRESHOLD = 1_000_000, 85, 10, 50_000
+UNIT, FOLLOW, ROUNDS, THRESHOLD = 1_000_000_000, 85, 10, 50_000_000
 #: A written copy ends the lineage after so many rounds.
 CUT_EVERY = 5
 
@@ -52,10 +54,10 @@ def host_ranks(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> Data
     ``edges``: distinct (src, dst) of different hosts; ``seeds``: (host, trust_seed, distrust_seed), one row per host. A
     host in no seed has no seed; one in no edge keeps (100 - FOLLOW) % of its seed.
     """
-    both = edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.lit(True).alias("forward")).unionAll(
-        edges.select(F.col("dst").alias("at"), F.col("src").alias("to"), F.lit(False).alias("forward")))
-    degree = both.groupBy("at", "forward").agg(F.count("*").alias("degree"))
-    hops = saved(both.join(degree, ["at", "forward"]), "hops")
+    given = edges.join(edges.groupBy("src").agg(F.count("*").alias("degree")), "src")
+    hops = saved(given.select("degree", F.inline(F.array(
+        F.struct(F.col("src").alias("at"), F.col("dst").alias("to"), F.lit(True).alias("forward")),
+        F.struct(F.col("dst").alias("at"), F.col("src").alias("to"), F.lit(False).alias("forward"))))), "hops")
     keep = 100 - FOLLOW
     start = saved(seeds.select("host", F.explode(F.array(
         F.struct(F.lit(True).alias("forward"), F.expr(f"trust_seed * {keep} div 100").alias("mass")),

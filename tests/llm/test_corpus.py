@@ -120,11 +120,11 @@ def test_url_ranks_against_brute_force(spark):
     rank = {}
     for kind, verdict, hops in (("trust", "allow", edges), ("distrust", "block", {(b, a) for a, b in edges})):
         start = {h: (v.count(verdict) * urls.UNIT // len(v)) * 15 // 100 for h, v in own.items()}
-        out, r = Counter(a for a, _ in hops), dict(start)
+        out, r = Counter(a for a, _ in edges), dict(start)
         for _ in range(urls.ROUNDS):
             new = Counter(start)
             for a, b in hops:
-                new[b] += r.get(a, 0) * 85 // (100 * out[a])
+                new[b] += r.get(a, 0) * 85 // (100 * out[a if kind == "trust" else b])
             r = new
         rank[kind] = r
     want = []

@@ -262,3 +262,38 @@ def test_passages_inside_lines_are_cut(spark):
             assert abs(len(kept) - len(want)) <= lines.UNIT + lines.LEAST_WORDS, doc
     assert checked > 70 and got[203]._kept_text is None and got[204]._kept_text == "" and got[202]._kept_text == rows[-3][1]
     assert got[200]._cut_words > 2800 and lines.dedup_lines(df.limit(0)).count() == 0
+
+
+# URL farms and long words
+
+def test_link_farms_are_blocked_whatever_their_size(spark):
+    from fleetlens.llm import urls
+
+    page = lambda host, *to: (f"https://{host}/", "".join(f'<a href="https://{h}/">x</a>' for h in to))
+    rows = [page("one.net"), page("three.net"), page("many.net"), page("solo.io", "one.net"),
+            page("clean.io", "a.io", "b.io", "c.io", "d.io", "one.net"), page("far.io", "clean.io")]
+    rows += [page(f"t{i}.io", "three.net") for i in range(3)] + [page(f"m{i}.io", "many.net") for i in range(1000)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id bigint, url string, html string")
+    got = {r.host: r for r in urls.filter_urls(df).collect()}
+    assert all(r.verdict == "block" for h, r in got.items() if h not in ("clean.io", "far.io"))
+    assert got["clean.io"].verdict == got["far.io"].verdict == "allow"
+    assert got["solo.io"].distrust == got["t0.io"].distrust == got["m999.io"].distrust > 0
+
+
+def test_words_of_any_length_are_features():
+    import numpy as np
+    import pyarrow as pa
+
+    from fleetlens.llm import toxicity
+
+    for n in (10, 64, 65, 10_000):
+        owner, slots = toxicity.features(pa.array(["x" * n + "a", "x" * n + "b", "X" * n + "A"]))
+        a, b, c = (sorted(slots[owner == i]) for i in range(3))
+        assert a != b and a == c
+    one = 0
+    for c in b"x" * 64 + b"a":
+        one = (one * toxicity.BASE + c + 1) % (1 << 64)
+    whole = toxicity.subwords.slot(toxicity.mix(np.array([one], np.uint64)))
+    assert whole[0] in toxicity.features(pa.array(["x" * 64 + "a"]))[1]
+    owner, slots = toxicity.features(pa.array(["東京都" * 5000 + "毒", "毒薬", "東", "", "é"]))
+    assert set(slots[owner == 1]) - set(slots[owner == 0]) and len(slots[owner == 0]) == 15_002 and not (owner == 3).any()
