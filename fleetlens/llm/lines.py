@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import free_name, saved
+from fleetlens.llm.common import free_name, saved, small
 from fleetlens.llm.shingles import BASE, mix, pieces, word_hashes
 
 LEAST_WORDS = 50
@@ -34,6 +34,8 @@ WINDOW = LEAST_WORDS - UNIT + 1
 MARGIN = LEAST_WORDS + WINDOW
 #: Hits on one diagonal are compared together within so many words.
 BLOCK = 1024
+#: Hits on one earlier text that one task compares.
+HITS = 5000
 #: A line that stays loses only stretches of so many words or more, so that chance neighbours of a run do not go with it.
 CUT_WORDS = 8
 PRINTS = "id bigint, text_key bigint, doc bigint, prints array<bigint>, places array<int>, words binary"
@@ -240,10 +242,16 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     # Words from ``low`` on in the later text, from ``low - shift`` on in the first one.
     low = F.greatest(F.col("a") - MARGIN, F.col("shift"), F.lit(0))
     hits = saved(hits.select("doc", "first_doc", "shift", low.alias("low"), (F.col("b") + UNIT + MARGIN).alias("high")), "hits")
+    # A first place with very many hits is dealt over several tasks, each with a copy of its words.
+    hot = small(saved(hits.groupBy("first_doc").agg(F.count("*").alias("n")).where(F.col("n") > HITS)
+                      .select("first_doc", F.ceil(F.col("n") / HITS).alias("tasks")), "hot"))
+    tasks = F.coalesce("tasks", F.lit(1))
+    hits = hits.join(hot, "first_doc", "left").withColumn("task", F.pmod(F.xxhash64("doc", "shift", "low"), tasks)).drop("tasks")
     sources = (found.select(F.col("doc").alias("first_doc"), "words").join(hits.select("first_doc").distinct(), "first_doc", "left_semi")
-               .groupBy("first_doc").agg(F.min("words").alias("words")))
+               .groupBy("first_doc").agg(F.min("words").alias("words")).join(hot, "first_doc", "left")
+               .select("first_doc", "words", F.explode(F.sequence(F.lit(0).cast("bigint"), tasks - 1)).alias("task")))
     part = F.expr("substring(words, cast(2 * (low - shift) + 1 AS int), cast(2 * (high - low) AS int))")
-    return (hits.join(sources, "first_doc").select("doc", F.struct(F.col("low").cast("int").alias("low"), part.alias("words")).alias("span")))
+    return (hits.join(sources, ["first_doc", "task"]).select("doc", F.struct(F.col("low").cast("int").alias("low"), part.alias("words")).alias("span")))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -225,12 +225,14 @@ def test_winnowing_keeps_the_least_of_every_window():
     assert (units[at] == prints).all()
 
 
-def test_passages_inside_lines_are_cut(spark):
-    """Against every repeated run of 50 words, found word by word."""
+@pytest.mark.parametrize("hits", [20, 5000])
+def test_passages_inside_lines_are_cut(spark, monkeypatch, hits):
+    """Against every repeated run of 50 words, found word by word; also with first places dealt over several tasks."""
     import random
 
     from fleetlens.llm import lines
 
+    monkeypatch.setattr(lines, "HITS", hits)
     rng = random.Random(31)
     made = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
     passages = [made(n) for n in (51, 55, 61, 80, 200)]
