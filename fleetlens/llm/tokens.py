@@ -28,12 +28,12 @@ END_ID = 2
 #: Ids after which a shard is closed, and words that an encoder remembers.
 SHARD_IDS, MEMORY = 2_000_000, 600_000
 SHARDS = ("part int, shard int, doc_ids array<bigint>, lengths array<bigint>, packed_lengths array<bigint>, "
-          "n_ids bigint, first_rule bigint, rules binary, width int, symbols binary")
+          "n_ids bigint, terminals binary, rules binary, width int, symbols binary")
 DECODED = "part int, shard int, doc_id bigint, before bigint, n_tokens bigint, ids_crc32 bigint, ids array<bigint>"
 
 
 class Encoder(dict):
-    """Ids of words, as little-endian 32-bit numbers; a word is encoded when it is first asked for.
+    """Ids of words (as UTF-8), as little-endian 32-bit numbers; a word is encoded when it is first asked for.
 
     The tokenizer splits at blanks before anything else, so a text's ids are those of its blank-separated words. ASCII
     words are put in lower case and parted before trailing marks first, as the tokenizer itself does, so that their
@@ -50,7 +50,6 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.pieces: dict[str, bytes] = {}
-        self[""] = b""
         # Latin letters as the pre-tokenizer hands them to the model.
         latin = [c for c in map(chr, range(0x61, 0x250)) if c.isalpha() and c == c.lower()]
         self.handed = {}
@@ -69,7 +68,8 @@ class Encoder(dict):
             self.pieces[text] = array("I", ids).tobytes()
         return self.pieces[text]
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, key: bytes) -> bytes:
+        word = key.decode()
         if "<|" in word or not word.isascii():
             m, lower = None, word
         else:
@@ -79,15 +79,12 @@ class Encoder(dict):
         if len(self) >= MEMORY:
             self.clear()
             self.pieces.clear()
-            self[""] = b""
-        self[word] = got
+        self[key] = got
         return got
 
-    def encode(self, text: str | None) -> bytes:
-        text = text or ""
-        for blank in "\n\t\r\x0b\x0c":
-            text = text.replace(blank, " ")
-        return b"".join(map(self.__getitem__, text.split(" ")))
+    def encode(self, text: bytes | None) -> bytes:
+        """The ids of a text in UTF-8; of bytes ``split`` takes ASCII blanks only."""
+        return b"".join(map(self.__getitem__, (text or b"").split()))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -101,25 +98,38 @@ def encoder(path: str) -> Encoder:
 
 
 def _shard(part: int, number: int, doc_ids: list, lengths: list[int], data: list[bytes]) -> pa.RecordBatch:
+    """A shard's row. Its different ids are numbered first (``terminals``), so symbols need few bytes, and rules follow."""
     size = np.array(lengths, np.int64)
     ids = np.frombuffer(b"".join(data), "<u4")
-    symbols, packed, rules, first = repair.compress(ids, size)
-    width = 2 if first + len(rules) <= 1 << 16 else 4
-    row = [part, number, doc_ids, lengths, packed.tolist(), len(ids), first, rules.astype("<u4").tobytes(), width,
-           symbols.astype(f"<u{width}").tobytes()]
+    used = np.zeros(int(ids.max()) + 1, bool)
+    used[ids] = True
+    symbols, packed, rules, first = repair.compress((np.cumsum(used, dtype=np.uint32) - np.uint32(1))[ids], size)
+    width = next(w for w in (2, 3, 4) if first + len(rules) <= 1 << 8 * w)
+    row = [part, number, doc_ids, lengths, packed.tolist(), len(ids), np.flatnonzero(used).astype("<u4").tobytes(),
+           rules.astype("<u4").tobytes(), width, symbols.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()]
     ints, longs = pa.int32(), pa.list_(pa.int64())
-    kinds = [ints, ints, longs, longs, longs, pa.int64(), pa.int64(), pa.binary(), ints, pa.binary()]
+    kinds = [ints, ints, longs, longs, longs, pa.int64(), pa.binary(), pa.binary(), ints, pa.binary()]
     names = [c.split()[0] for c in SHARDS.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
 
+def _unpacked(row, start: int = 0, n: int | None = None) -> np.ndarray:
+    """The ids of a shard, or of ``n`` of its symbols from ``start``."""
+    terminals = np.frombuffer(row["terminals"], "<u4")
+    grammar = repair.Grammar(np.frombuffer(row["rules"], "<u4").reshape(-1, 2), len(terminals))
+    raw = np.frombuffer(row["symbols"], np.uint8).reshape(-1, row["width"])[start:None if n is None else start + n]
+    symbols = np.zeros((len(raw), 4), np.uint8)
+    symbols[:, :row["width"]] = raw
+    return terminals[grammar.expand(symbols.reshape(-1).view("<u4"))]
+
+
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, number = encoder(path), TaskContext.get().partitionId(), 0
         end = np.array([END_ID], "<u4").tobytes()
         doc_ids, lengths, data, total = [], [], [], 0
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), strict=True):
                 got = coder.encode(text.as_py())
                 doc_ids.append(i)
                 lengths.append(len(got) // 4 + 1)
@@ -164,7 +174,7 @@ def _packed(path: str):
         for batch in batches:
             for part in pieces(batch, 2):
                 ids = [bytes([width]) + np.append(np.frombuffer(coder.encode(t.as_py()), "<u4"), END_ID).astype(f"<u{width}").tobytes()
-                       for t in part.column(2)]
+                       for t in part.column(2).cast(pa.large_binary())]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary())], ["doc_id", "text_key", "ids"])
     return run
 
@@ -213,19 +223,18 @@ def _decode(with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                rules = np.frombuffer(row["rules"], "<u4").reshape(-1, 2)
-                grammar = repair.Grammar(rules, row["first_rule"])
-                ids = grammar.expand(np.frombuffer(row["symbols"], f"<u{row['width']}")).astype("<u4")
+                ids = _unpacked(row)
                 ends = np.cumsum(row["lengths"])
                 starts = ends - row["lengths"]
                 view = memoryview(ids.tobytes())
                 n = len(ends)
                 crc = [zlib.crc32(view[4 * a:4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(ids.astype(np.int64)))
+                none = pa.nulls(n, pa.list_(pa.int64()))
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(ids.astype(np.int64))) if with_ids else none
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, row["part"], np.int32)), pa.array(np.full(n, row["shard"], np.int32)),
                      pa.array(row["doc_ids"], pa.int64()), pa.array(starts), pa.array(row["lengths"], pa.int64()),
-                     pa.array(crc, pa.int64()), lists if with_ids else pa.nulls(n, pa.list_(pa.int64()))],
+                     pa.array(crc, pa.int64()), lists],
                     [c.split()[0] for c in DECODED.split(", ")])
     return run
 
@@ -254,5 +263,4 @@ def read_document(spark: SparkSession, path: str, doc_id: int) -> list[int] | No
         return None
     k = found["doc_ids"].index(doc_id)
     start = sum(found["packed_lengths"][:k])
-    symbols = np.frombuffer(found["symbols"], f"<u{found['width']}")[start:start + found["packed_lengths"][k]]
-    return repair.Grammar(np.frombuffer(found["rules"], "<u4").reshape(-1, 2), found["first_rule"]).expand(symbols).tolist()
+    return _unpacked(found, start, found["packed_lengths"][k]).tolist()

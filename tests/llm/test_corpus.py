@@ -286,6 +286,30 @@ def test_grammar_round_trip(ids):
     assert repair.Grammar(rules, first).expand(symbols).tolist() == ids and packed.sum() == len(symbols)
 
 
+def test_no_pair_that_pays_is_left_without_a_rule():
+    import numpy as np
+
+    from fleetlens.llm import repair
+
+    rng = np.random.default_rng(5)
+    common = rng.integers(0, 4000, (3000, 2))
+    ids = np.concatenate([common[i] for i in rng.integers(0, len(common), 30_000)] + [np.full(999, 7), np.tile([1, 1, 2], 50)]).astype(np.uint32)
+    lengths = np.full(len(ids) // 10, 10, np.int64)
+    lengths[-1] += len(ids) % 10
+    symbols, packed, rules, first = repair.compress(ids, lengths)
+    assert repair.Grammar(rules, first).expand(symbols).tolist() == ids.tolist()
+    docs, counts = np.split(symbols, np.cumsum(packed)[:-1]), Counter()
+    for doc in docs:
+        last = None
+        for i, pair in enumerate(zip(doc.tolist(), doc[1:].tolist(), strict=False)):
+            if pair == last and pair[0] == pair[1]:
+                last = None  # overlaps the pair before
+                continue
+            counts[pair] += 1
+            last = pair
+    assert max(counts.values()) < 5 and len(rules) > 384
+
+
 # Line dedup
 
 def brute_lines(rows):
