@@ -12,6 +12,7 @@ timers that Spark keeps with the state, so after a restart they fire once, at th
 from __future__ import annotations
 
 import pickle
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,8 @@ from fleetlens.operators.ordered import Scan
 #: Columns that every result has besides its rule's: whether the row was late, and its time.
 MARKS = "late boolean, t_ms long"
 FAR_MS = 4_102_444_800_000  # 2100-01-01
+#: Rows that a stream with keyed state exchanges with Python at a time.
+BATCH_ROWS = 500
 
 
 class Rule:
@@ -157,13 +160,21 @@ def in_order(df: DataFrame, keys: list[str], order: list[str], rule: Rule, event
     Rows from ``FAR_MS`` on only move the watermark.
 
     Spark drops rows behind the watermark before a stateful operator sees them. So each row goes on twice: one copy
-    carries its time and moves the watermark, the other has no event time of Spark's, is never dropped, and is judged here.
+    carries its time and moves the watermark, and goes no further; the other has no event time of Spark's, is never dropped,
+    and is judged here.
+
+    Spark's Python side hands back the states of keys only together with output rows, so a key without any gives one row of
+    nulls, which is dropped here: a worker then holds the states of as many keys as a batch has rows (``short_batches``), not
+    those of its whole partition.
     """
     t = F.unix_millis(F.col(event_time).cast("timestamp"))
     cols = list(dict.fromkeys([*order, *[c for c in rule.inputs if c != "__t"]]))
     rows = df.select(*keys, t.alias("__t"), *[c for c in cols if c not in keys], F.col(event_time).cast("timestamp").alias("__ts"),
                      F.explode(F.array(F.lit(True), F.lit(False))).alias("__live"))
-    rows = rows.where((F.col("__t") < FAR_MS) | ~F.col("__live")).withColumn("__mark", F.when(~F.col("__live"), F.col("__ts"))).drop("__ts").withWatermark("__mark", watermark)
+    rows = rows.where(F.col("__t").isNotNull() & ((F.col("__t") < FAR_MS) | ~F.col("__live")))
+    # The copies that moved the watermark are dropped by a condition on the mark, which cannot go before it.
+    rows = (rows.withColumn("__mark", F.when(~F.col("__live"), F.col("__ts"))).drop("__ts", "__live")
+            .withWatermark("__mark", watermark).where(F.col("__mark").isNull()))
     schema = T.StructType([df.schema[k] for k in keys] + T._parse_datatype_string(f"{rule.outputs}, {MARKS}").fields)
     names = [f.name for f in schema]
     blank = [None] * (len(names) - len(keys) - 2)
@@ -173,7 +184,6 @@ def in_order(df: DataFrame, keys: list[str], order: list[str], rule: Rule, event
         out = []
         if not state.hasTimedOut:
             for pdf in batches:
-                pdf = pdf[pdf["__live"]]
                 given = {k: [v] * len(pdf) for k, v in zip(keys, key, strict=True)}
                 place = list(zip(*[pdf[c].tolist() if c in pdf else given[c] for c in ["__t", *order]], strict=True))
                 body = zip(*[pdf[c].tolist() if c in pdf else given[c] for c in rule.inputs], strict=True)
@@ -216,11 +226,24 @@ def in_order(df: DataFrame, keys: list[str], order: list[str], rule: Rule, event
             due = [w[0][0] for w in waiting[:1]] + [d for d in [rule.deadline(own)] if d is not None] + ([last + retain_ms] if ended else [])
             if due:
                 state.setTimeoutTimestamp(max(min(due), now + 1))
-        if out:
-            yield pd.DataFrame({c: pd.Series(list(v), dtype=object) for c, v in zip(names, zip(*out, strict=True), strict=True)})
+        out = out or [(*key, *blank, None, None)]
+        yield pd.DataFrame({c: pd.Series(list(v), dtype=object) for c, v in zip(names, zip(*out, strict=True), strict=True)})
 
     return rows.groupBy(*keys).applyInPandasWithState(
-        handle, schema, T.StructType([T.StructField("s", T.BinaryType())]), "append", GroupStateTimeout.EventTimeTimeout)
+        handle, schema, T.StructType([T.StructField("s", T.BinaryType())]), "append",
+        GroupStateTimeout.EventTimeTimeout).where(F.col("late").isNotNull())
+
+
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = BATCH_ROWS):
+    """Streams started inside exchange at most so many rows at a time with Python, and so hold as many states there."""
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(conf, before)
 
 
 def end_of_stream(spark: SparkSession, path: str, like: DataFrame, event_time: str = "ts") -> DataFrame:

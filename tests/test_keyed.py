@@ -166,3 +166,30 @@ def test_upsert_survives_replays_and_crashes(spark, tmp_path, monkeypatch):
     # A manifest folder that is being rewritten is one of the older ones.
     shutil.rmtree(tmp_path / "t" / "manifest" / str(6 % 4))
     assert dict(map(tuple, table.read().collect())) == want(6)
+
+
+def test_rows_that_move_the_watermark_make_no_key(spark, deal):
+    rows = make_log(200)
+    with K.short_batches(spark, 7):
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "7"
+        got, q = deal([rows], lambda s: S.stream_leases(s, 120_000, watermark="2 hours"), "w")
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+    batch = spark.createDataFrame(rows, ROW).withColumn("ts", F.timestamp_millis("t_ms"))
+    assert bag(got) == bag(L.renewed_leases(batch, 120_000, K.FAR_MS).collect())
+    assert all(r.late is False for r in got)
+    keys = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(keys) == len({r[3] for r in rows})
+
+
+def test_in_order_leaves_out_events_without_a_time(spark, tmp_path):
+    from fleetlens.plans import bindings as B
+    from fleetlens.plans import queries_live as Q
+
+    day, kinds = 86_400, ["click", "view", "error", "signup"]
+    rows = [(i, 1_704_067_200 + i * day // 10, i % 7, kinds[i % 4], 1.0, f'{{"k": {i % 90}}}') for i in range(200)] + [(200, None, 3, "view", 1.0, "{}")]
+    df = spark.createDataFrame(rows, "event_id long, ts long, user_id long, event_type string, value double, props string")
+    df = df.withColumn("ts", F.timestamp_seconds("ts").cast("timestamp_ntz"))
+    df.select(*[f.split()[0] for f in B.TABLES["events"].split(", ")]).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = Q.stream_in_order(spark, str(tmp_path)).collect()
+    assert len(got) == 7 and sum(r.late + r.applied + r.illegal for r in got) == 200
+    assert sum(r.late for r in got) > 0
