@@ -12,7 +12,7 @@ from fleetlens.plans.catalog import query
 from fleetlens.plans.queries_exprs import TRANSITION_ROWS
 from fleetlens.session import checkpoint_dir
 from fleetlens.streaming import stateful as S
-from fleetlens.streaming.keyed import FAR_MS, end_of_stream
+from fleetlens.streaming.keyed import FAR_MS, end_of_stream, short_batches
 from fleetlens.streaming.upsert import UpsertTable
 
 
@@ -33,12 +33,18 @@ def run_now(spark, df, mode, keys=None):
         (df.writeStream.outputMode(mode).foreachBatch(kept.land).option("checkpointLocation", f"{base}/state")
          .trigger(availableNow=True).start().awaitTermination())
         return kept.read(df.schema)
-    q = (S.stream_upsert(df, f"{base}/rows", mode).option("checkpointLocation", f"{base}/state")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    drain(spark, df, mode, base)
     return S.read_upserted(spark, f"{base}/rows")
 
 
+def drain(spark, df, mode, base):
+    """Land what a stream has not yet landed in ``base``."""
+    with short_batches(spark):
+        q = (S.stream_upsert(df, f"{base}/rows", mode).option("checkpointLocation", f"{base}/state")
+             .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
 def _stream_events(spark, sf, whole=False):
     """The event stream; with ``whole`` a last row moves the watermark past all others."""
     ev = B.as_event_log(stream_table(spark, sf, "events"))
@@ -101,16 +107,23 @@ SELECT worker_id AS task_id, count(*) FILTER (late) AS late, any_value(state) AS
 FROM judged LEFT JOIN (SELECT task_id AS task, arg_max(state, i) AS state, count(*) FILTER (legal) AS applied, count(*) FILTER (NOT legal) AS illegal
   FROM f WHERE i > 0 GROUP BY task_id) ON task = worker_id GROUP BY worker_id""")
 def stream_in_order(spark, sf):
-    """The lifecycle of events that come in eight triggers, out of order by half a day and one in fifty by four days."""
-    folder = fresh_folder(spark)
+    """The lifecycle of events that come in eight triggers, out of order by half a day and one in fifty by four days.
+
+    All slices are staged by one parallel write; each is then fed to the stream, which goes on from its checkpoint. Events
+    without a time are in no slice."""
+    staged, folder, base = (fresh_folder(spark) for _ in range(3))
     ev = _task_events(B.event_log(spark, sf)).withColumn("slice", F.expr(SLICE.format(div="div")))
-    slices = sorted(r.slice for r in ev.select("slice").distinct().collect())
-    for n in slices:
-        ev.where(F.col("slice") == n).drop("slice").coalesce(1).write.mode("append").parquet(folder)
-    end_of_stream(spark, folder, ev.drop("slice"))
-    rows = spark.readStream.schema(ev.drop("slice").schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    order = ["t_ms", "event_id"]
-    got = run_now(spark, S.stream_lifecycle(rows, order, "ts", "1 day"), "append")
+    ev.where("slice IS NOT NULL").write.partitionBy("slice").parquet(staged)
+    slices = sorted(r.slice for r in spark.read.schema(ev.schema).parquet(staged).select("slice").distinct().collect())
+    like, order = ev.drop("slice"), ["t_ms", "event_id"]
+    for n in [*slices, None]:
+        if n is None:
+            end_of_stream(spark, folder, like)
+        else:
+            spark.read.schema(like.schema).parquet(f"{staged}/slice={n}").write.mode("append").parquet(folder)
+        events = spark.readStream.schema(like.schema).parquet(folder)
+        drain(spark, S.stream_lifecycle(events, order, "ts", "1 day"), "append", base)
+    got = S.read_upserted(spark, f"{base}/rows")
     late = got.groupBy("task_id").agg(F.count_if("late").alias("late"))
     return late.join(L.lifecycle_totals(on_time(got), order), "task_id", "left").fillna(0, ["applied", "illegal"])
 
