@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,23 +26,25 @@ from fleetlens.llm.shingles import pieces
 from fleetlens.session import checkpoint_dir, shuffle_partitions
 
 END_ID = 2
-#: Ids after which a shard is closed, and words that an encoder remembers.
+#: Ids after which a shard is closed, and words and marks that an encoder remembers.
 SHARD_IDS, MEMORY = 2_000_000, 600_000
+#: Bytes of text encoded at once.
+PIECE = 4_000_000
 SHARDS = ("part int, shard int, doc_ids array<bigint>, lengths array<bigint>, packed_lengths array<bigint>, "
           "n_ids bigint, terminals binary, rules binary, width int, symbols binary")
 DECODED = "part int, shard int, doc_id bigint, before bigint, n_tokens bigint, ids_crc32 bigint, ids array<bigint>"
 
 
 class Encoder(dict):
-    """Ids of words (as UTF-8), as little-endian 32-bit numbers; a word is encoded when it is first asked for.
+    """Ids of words and of parts of words, as little-endian 32-bit numbers; a part is encoded when it is first asked for.
 
-    The tokenizer splits at blanks before anything else, so a text's ids are those of its blank-separated words. ASCII
-    words are put in lower case and parted before trailing marks first, as the tokenizer itself does, so that their
-    variants share one entry. Of a run of lower-case Latin letters the tokenizer makes one piece, which goes to its
+    The tokenizer splits at blanks before anything else, so a text's ids are those of its blank-separated words. Words of
+    Latin letters are put in lower case and parted before trailing marks first, as the tokenizer itself does, so that
+    their variants share one entry. Of a run of lower-case Latin letters the tokenizer makes one piece, which goes to its
     vocabulary model directly. Everything else, special tokens too, is encoded as it is.
     """
 
-    MARKS = re.compile(r"(?<=[a-z])[!-/:-@\[-`{-~]+\Z")
+    MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum())
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -49,42 +52,55 @@ class Encoder(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.pieces: dict[str, bytes] = {}
-        # Latin letters as the pre-tokenizer hands them to the model.
-        latin = [c for c in map(chr, range(0x61, 0x250)) if c.isalpha() and c == c.lower()]
-        self.handed = {}
-        for c in latin:
-            if self.tokenizer.normalizer.normalize_str(c) == c:
-                [(text, _)] = self.tokenizer.pre_tokenizer.pre_tokenize_str(c)
-                self.handed[ord(c)] = text
-        self.letters = re.compile("[" + "".join(map(chr, self.handed)) + r"]+\Z")
-
-    def _piece(self, text: str) -> bytes:
-        if text not in self.pieces:
-            if self.letters.match(text):
-                ids = [t.id for t in self.model.tokenize(text if text.isascii() else text.translate(self.handed))]
-            else:
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            self.pieces[text] = array("I", ids).tobytes()
-        return self.pieces[text]
-
-    def __missing__(self, key: bytes) -> bytes:
-        word = key.decode()
-        if "<|" in word or not word.isascii():
-            m, lower = None, word
+        # Letters that the normalizer changes alone, and the lower-case ones as the pre-tokenizer hands them to the model.
+        letters, self.handed = [], {}
+        for c in map(chr, range(0x41, 0x250)):
+            lower = c.lower()
+            if c.isalpha() and len(lower) == 1 and self.tokenizer.normalizer.normalize_str(c) == lower:
+                letters.append(c)
+                [(self.handed[ord(lower)], _)] = self.tokenizer.pre_tokenizer.pre_tokenize_str(lower)
+        self.latin = "^[" + "".join(letters) + "]+$"
+        self.lower = re.compile("[" + "".join(map(chr, self.handed)) + r"]+\Z")
+
+    def __missing__(self, part: str) -> bytes:
+        if part.isascii() and part.isalpha() and part.islower():
+            ids = [t.id for t in self.model.tokenize(part)]
+        elif self.lower.match(part):
+            ids = [t.id for t in self.model.tokenize(part.translate(self.handed))]
         else:
-            lower = word.lower()
-            m = self.MARKS.search(lower)
-        got = self._piece(lower[:m.start()]) + self._piece(m[0]) if m else self._piece(lower)
+            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
         if len(self) >= MEMORY:
             self.clear()
-            self.pieces.clear()
-        self[key] = got
+        got = self[part] = array("I", ids).tobytes()
         return got
 
-    def encode(self, text: bytes | None) -> bytes:
-        """The ids of a text in UTF-8; of bytes ``split`` takes ASCII blanks only."""
-        return b"".join(map(self.__getitem__, (text or b"").split()))
+    def _parts(self, words: pa.Array) -> pa.Array:
+        """Of every word two parts: its letters and the marks behind them, or all of it and nothing."""
+        core = pc.ascii_rtrim(words, characters=self.MARKS)
+        plain = pc.match_substring_regex(core, self.latin)
+        start = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1]
+        cut = start[:-1] + pc.if_else(plain, pc.binary_length(core), pc.binary_length(words)).to_numpy()
+        at = np.r_[np.stack([start[:-1], cut], 1).ravel(), start[-1:]].astype(np.int32)
+        parts = pa.StringArray.from_buffers(2 * len(words), pa.py_buffer(at), words.buffers()[2])
+        return pc.if_else(pa.array(np.repeat(plain.to_numpy(zero_copy_only=False), 2)), pc.utf8_lower(parts), parts)
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of every text; a null text has none.
+
+        Arrow splits at ASCII blanks and numbers the different words and parts, so each is looked up once per call.
+        """
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.string()))
+        if not len(split):
+            return []
+        words = split.flatten().dictionary_encode()
+        parts = self._parts(words.dictionary).dictionary_encode()
+        known = pa.array([self[p] for p in parts.dictionary.to_pylist()], pa.large_binary())
+        found = known.take(pa.array(parts.indices.to_numpy().reshape(-1, 2)[words.indices.to_numpy()].ravel()))
+        _, offsets, data = found.buffers()
+        ids = np.frombuffer(data, "<u4") if data else np.zeros(0, "<u4")
+        ends = np.r_[0, np.cumsum(pc.list_value_length(split).to_numpy(), dtype=np.int64)]
+        ends = np.frombuffer(offsets, np.int64)[found.offset + 2 * ends] // 4
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -97,7 +113,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def _shard(part: int, number: int, doc_ids: list, lengths: list[int], data: list[bytes]) -> pa.RecordBatch:
+def _shard(part: int, number: int, doc_ids: list, lengths: list[int], data: list) -> pa.RecordBatch:
     """A shard's row. Its different ids are numbered first (``terminals``), so symbols need few bytes, and rules follow."""
     size = np.array(lengths, np.int64)
     ids = np.frombuffer(b"".join(data), "<u4")
@@ -126,18 +142,18 @@ def _unpacked(row, start: int = 0, n: int | None = None) -> np.ndarray:
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, number = encoder(path), TaskContext.get().partitionId(), 0
-        end = np.array([END_ID], "<u4").tobytes()
+        end = np.array([END_ID], "<u4")
         doc_ids, lengths, data, total = [], [], [], 0
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), strict=True):
-                got = coder.encode(text.as_py())
-                doc_ids.append(i)
-                lengths.append(len(got) // 4 + 1)
-                data += (got, end)
-                total += lengths[-1]
-                if total >= SHARD_IDS:
-                    yield _shard(part, number, doc_ids, lengths, data)
-                    number, doc_ids, lengths, data, total = number + 1, [], [], [], 0
+            for piece in pieces(batch, 1, PIECE):
+                for i, ids in zip(piece.column(0).to_pylist(), coder.encode(piece.column(1)), strict=True):
+                    doc_ids.append(i)
+                    lengths.append(len(ids) + 1)
+                    data += (ids, end)
+                    total += lengths[-1]
+                    if total >= SHARD_IDS:
+                        yield _shard(part, number, doc_ids, lengths, data)
+                        number, doc_ids, lengths, data, total = number + 1, [], [], [], 0
         if doc_ids:
             yield _shard(part, number, doc_ids, lengths, data)
     return run
@@ -172,9 +188,8 @@ def _packed(path: str):
         coder = encoder(path)
         width = 2 if coder.tokenizer.get_vocab_size() <= 1 << 16 else 4
         for batch in batches:
-            for part in pieces(batch, 2):
-                ids = [bytes([width]) + np.append(np.frombuffer(coder.encode(t.as_py()), "<u4"), END_ID).astype(f"<u{width}").tobytes()
-                       for t in part.column(2).cast(pa.large_binary())]
+            for part in pieces(batch, 2, PIECE):
+                ids = [bytes([width]) + np.append(got, END_ID).astype(f"<u{width}").tobytes() for got in coder.encode(part.column(2))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary())], ["doc_id", "text_key", "ids"])
     return run
 

@@ -270,6 +270,16 @@ def test_token_files_round_trip(spark, tmp_path):
     assert tokens.read_document(spark, path, 12345) is None
 
 
+def test_variants_of_a_word_share_an_entry():
+    import pyarrow as pa
+
+    coder = tokens.Encoder(queries.tokenizer_path())
+    texts = ["Été, été. ÉTÉ! été", None, "", " The\tTHE,\nthe. ", "a1. <|endoftext|>", "ΟΔΟΣ!"]
+    got = coder.encode(pa.array(texts))
+    assert [ids.tolist() for ids in got] == [coder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert set(coder) == {"", "été", ",", ".", "!", "the", "a1.", "<|endoftext|>", "ΟΔΟΣ!"}
+
+
 def test_token_files_of_nothing(spark):
     path = tokens.write_tokens(documents(spark, [(1, "a")]).limit(0), queries.tokenizer_path())
     assert tokens.read_tokens(spark, path).count() == 0
