@@ -45,14 +45,14 @@ def reputation_scores(verdicts: DataFrame, cfg: ReputationConfig = ReputationCon
             .drop("alpha_sum", "beta_sum", "seen", "gain", "penalty"))
 
 
-def reputation_history(verdicts: DataFrame, cfg: ReputationConfig = ReputationConfig()) -> DataFrame:
+def reputation_history(verdicts: DataFrame, cfg: ReputationConfig = ReputationConfig(), hot: bool | None = None) -> DataFrame:
     """Scores plus bans and probation after each verdict.
 
     A rejection that leaves the score under the limit starts a ban unless one
     runs. A served ban becomes probation, which an accept at a trusted score
     ends. Probation is read when the worker's next verdict arrives."""
     keys, order = ["worker_id"], ["t_ms", "verdict_id"]
-    hot = is_hot(verdicts, keys)
+    hot = is_hot(verdicts, keys) if hot is None else hot
     s = reputation_scores(verdicts, cfg, hot)
     s = s.withColumn("strike", ~F.col("accepted") & (F.col("score") < cfg.blacklist_below))
     b = scan(s, keys, order, ["t_ms", "strike"], Cooldown("t_ms", "strike", cfg.cooldown_ms), hot)

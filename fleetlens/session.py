@@ -83,6 +83,29 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Buckets:
+    """A table under ``spark.checkpoint.dir`` filed by the hash of one column; rows may be added to it.
+
+    Windows and groupings by that column, and joins on it, then need no shuffle. ``read`` gives the rows added so far, or
+    later ones too, and stays valid after ``close``, which takes the name out of the catalog and leaves the files."""
+
+    def __init__(self, df: DataFrame, by: str, label: str):
+        self.spark, self.by, self.n = df.sparkSession, by, shuffle_partitions(df.sparkSession)
+        self.name = f"fleetlens_{label}_{uuid.uuid4().hex}"
+        self.path = f"{checkpoint_dir(self.spark).rstrip('/')}/{self.name}"
+        self.add(df)
+
+    def add(self, df: DataFrame) -> None:
+        (df.repartition(self.n, self.by).write.format("parquet").mode("append").bucketBy(self.n, self.by)
+         .option("path", self.path).saveAsTable(self.name))
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
 def tune(spark: SparkSession) -> None:
     """Runtime settings the operators count on, and this package for Python workers."""
     ship_package(spark)
@@ -92,6 +115,8 @@ def tune(spark: SparkSession) -> None:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # Split a skewed join even where the aggregation after it then needs a shuffle.
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        # Rows that lie by one key are joined on it and others where they lie.
+        "spark.sql.requireAllClusterKeysForCoPartition": "false",
         # Merge the sessions of a key in each task before they are shuffled.
         "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     }.items():

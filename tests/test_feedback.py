@@ -80,6 +80,15 @@ def test_requirements_follow_the_records(spark):
     assert {r.task_id: (r.action, r.answer) if r.action == "Accept" else r.action for r in got.collect()} == verdicts
 
 
+def test_judging_by_task_needs_no_shuffle(spark):
+    rows = arrivals(8, 20, 5, {2: .9})
+    df = spark.createDataFrame(rows, "task_id long, worker_id long, seq long, answer string, t_ms long, sub_id long")
+    before = {t.name for t in spark.catalog.listTables()}
+    got = feedback.decide_adaptive(df, CFG, CAP)
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == len({r[0] for r in rows}) and {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_no_submissions(spark):
     none = spark.createDataFrame([], "task_id long, worker_id long, seq long, answer string, t_ms long, sub_id long")
     assert feedback.decide_adaptive(none).count() == 0
