@@ -20,7 +20,7 @@ from fleetlens.functions.exprs import MAX_REPLICAS, TRUSTED_AT, beta_score, requ
 from fleetlens.operators.ordered import is_hot, running
 from fleetlens.operators.quorum import decide_exact, quorum_credits, settle
 from fleetlens.operators.reputation import ReputationConfig, reputation_history
-from fleetlens.session import Buckets
+from fleetlens.session import Buckets, join_where_they_lie
 
 ORDER = ["t_ms", "sub_id"]
 EVIDENCE = ["worker_id", "task_id", "t_ms", "sub_id", "slot", "accepted", "severity"]
@@ -67,6 +67,7 @@ def adaptive_requirements(subs: DataFrame, cfg: ReputationConfig = ReputationCon
     once by worker, and stay there; a round files what changed: requirements, and evidence that came or went. A round
     settles at least one more arrival for good; in practice requirements change seldom and few rounds are needed.
     """
+    join_where_they_lie(subs.sparkSession)
     first = required_agreement(F.lit("adaptive"), F.lit(cfg.alpha0 / (cfg.alpha0 + cfg.beta0)), F.lit(False), F.lit(False))
     tasks = Buckets(subs.select("task_id", "worker_id", "seq", "answer", *ORDER), "task_id", "tasks")
     judged = tasks.read()

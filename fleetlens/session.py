@@ -106,6 +106,11 @@ class Buckets:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
+def join_where_they_lie(spark: SparkSession) -> None:
+    """Until the next ``tune``, rows that lie by one key are not shuffled for a join on it and others."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
 def tune(spark: SparkSession) -> None:
     """Runtime settings the operators count on, and this package for Python workers."""
     ship_package(spark)
@@ -115,8 +120,8 @@ def tune(spark: SparkSession) -> None:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # Split a skewed join even where the aggregation after it then needs a shuffle.
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-        # Rows that lie by one key are joined on it and others where they lie.
-        "spark.sql.requireAllClusterKeysForCoPartition": "false",
+        # As Spark has it, whatever ``join_where_they_lie`` set for an earlier query.
+        "spark.sql.requireAllClusterKeysForCoPartition": "true",
         # Merge the sessions of a key in each task before they are shuffled.
         "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     }.items():
