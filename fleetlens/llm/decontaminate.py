@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from fleetlens.llm.common import BROADCAST_ROWS, ascii_lower, let, saved, small
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What lies between words. Spark splits a text several times faster than it extracts all matches from it.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a window, and of the grams that are hashed.
 WINDOW, GRAM = 13, 6
 #: A document is contaminated if at least one word in so many is hit.
@@ -21,29 +23,47 @@ ONE_IN = 20
 BROADCAST_ITEMS = 10_000
 
 
+def words_of(text: Column) -> Column:
+    """The matches of ``WORD`` in a text, lower-cased from A to Z; a null text has none."""
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAP), "")
+
+
 def word_hashes(text: Column) -> Column:
-    found = F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
-    return F.transform(found, lambda w: F.xxhash64(w))
+    return F.transform(words_of(text), lambda w: F.xxhash64(w))
+
+
+def doubled(values: Column, width: int, best, step: int) -> Column:
+    """``best`` of every element and the ``width`` - 1 ones behind it (``step`` 1) or before it (-1), by doubling: two
+    overlapping halves make a run. Runs end with the array; nulls do not count."""
+    def halves(by: int):
+        return lambda v: F.transform(v, lambda x, i: best(x, F.get(v, i + step * by)))
+
+    size = 1
+    while size < width:
+        by = min(size, width - size)
+        values = let(values, halves(by))
+        size += by
+    return values
 
 
 def winnowed(rows: DataFrame, length: int, into: str) -> DataFrame:
     """Adds ``into``: array of (hash, pos) of the grams that windows of ``length`` words keep; of ties, all.
 
-    ``rows`` has the word hashes as ``h``. Each step is a projection of its own that is used more than once, so that
-    Spark evaluates it once per row.
+    ``rows`` has the word hashes as ``h``. Each step is a projection, or ``let``, of its own that is used more than once,
+    so that Spark evaluates it once per row. Elements are got one by one, as a slice of an array costs far more.
     """
     gram = min(GRAM, length)
     width = length - gram + 1
-    none = F.array().cast("array<bigint>")
-    grams = F.transform(F.sequence(F.lit(1), F.size("h") - gram + 1),
-                        lambda i: F.xxhash64(F.lit(length), F.slice("h", i, gram)))
-    rows = rows.withColumn("g", F.when(F.size("h") >= length, grams).otherwise(none))
-    least = F.transform(F.sequence(F.lit(1), F.size("g") - width + 1), lambda j: F.array_min(F.slice("g", j, width)))
-    least = F.when(F.size("g") >= width, least).otherwise(none)
-    places = F.transform("g", lambda x, i: F.struct(x.alias("hash"), i.alias("pos")))
+    grams = F.transform(F.sequence(F.lit(0), F.size("h") - gram),
+                        lambda i: F.xxhash64(F.lit(length), *[F.get("h", i + k if k else i) for k in range(gram)]))
+    rows = rows.withColumn("g", F.when(F.size("h") >= length, grams).otherwise(F.array().cast("array<bigint>")))
+    whole = lambda v: F.transform(v, lambda x, i: F.when(i + width <= F.size("g"), x))
     # A gram is kept if it is the least of some window that it lies in; no window's least is above it.
-    most = lambda p, m: F.array_max(F.slice(m, F.greatest(p["pos"] - width + 2, F.lit(1)), F.least(p["pos"] + 1, F.lit(width))))
-    return rows.withColumn(into, let(least, lambda m: F.filter(places, lambda p: p["hash"] == most(p, m)))).drop("g")
+    most = doubled(whole(doubled(F.col("g"), width, F.least, 1)), width, F.greatest, -1) if width > 1 else F.col("g")
+    at = let(most, lambda m: F.filter(F.sequence(F.lit(0), F.size("g") - 1), lambda i: F.get("g", i) == F.get(m, i)))
+    kept = F.transform(at, lambda i: F.struct(F.get("g", i).alias("hash"), i.alias("pos")))
+    return rows.withColumn(into, F.when(F.size("g") > 0, kept).otherwise(
+        F.array().cast("array<struct<hash: bigint, pos: int>>"))).drop("g")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -92,6 +92,28 @@ def test_decontamination_of_nothing(spark):
     assert decontaminate.decontaminate(docs.limit(0), spark.createDataFrame([(1, "a b")], "item_id bigint, text string")).count() == 0
 
 
+def test_words_are_split_and_winnowed_without_slices(spark):
+    """Texts are split, not searched for all matches, and no window is copied; words and kept grams are as by brute force."""
+    rng = random.Random(9)
+    texts = ["", None, "?!", " a", "a ", "\x00A\x7fb", "ÀÉ x_Y", "ẞ-İ 12.5", "漢字, 😀z", words(rng, 12), words(rng, 13), words(rng, 300), "la " * 60]
+    find = lambda t: re.findall(decontaminate.WORD, (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = rows.select("id", decontaminate.words_of(F.col("text")).alias("w"))
+    assert {r.id: r.w for r in got.collect()} == {i: find(t) for i, t in enumerate(texts)}
+    hashed = rows.select("text", decontaminate.word_hashes(F.col("text")).alias("h"))
+    for n in (1, 5, 6, 7, 9, 13):
+        gram = min(6, n)
+        width = n - gram + 1
+        grams = F.transform(F.sequence(F.lit(1), F.size("h") - gram + 1), lambda i: F.xxhash64(F.lit(n), F.slice("h", i, gram)))
+        kept = decontaminate.winnowed(hashed, n, "kept")
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+        assert "slice(" not in plan and "regexp_extract_all(" not in plan
+        for r in kept.select("kept", F.when(F.size("h") >= n, grams).alias("g")).collect():
+            g = r.g or []
+            want = {p for a in range(len(g) - width + 1) for p in range(a, a + width) if g[p] == min(g[a:a + width])}
+            assert [tuple(k) for k in r.kept] == [(g[p], p) for p in sorted(want)]
+
+
 # URL filters
 
 def test_url_ranks_against_brute_force(spark):
