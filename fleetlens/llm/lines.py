@@ -13,11 +13,11 @@ ends, at some line, and equal windows have one first place. What either way find
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +39,7 @@ HITS = 5000
 #: A line that stays loses only stretches of so many words or more, so that chance neighbours of a run do not go with it.
 CUT_WORDS = 8
 PRINTS = "id bigint, text_key bigint, doc bigint, prints array<bigint>, places array<int>, words binary"
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_SOLID = np.array([not (b == 0x20 or 0x09 <= b <= 0x0D) for b in range(256)])
 
 
 def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
@@ -110,15 +110,20 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array([short[starts[i]:ends[i]].tobytes() for i in some], pa.binary())], names)
 
 
+def _runs(flags: np.ndarray) -> np.ndarray:
+    """(first, end) of every run of true values."""
+    framed = np.zeros(len(flags) + 2, bool)
+    framed[1:-1] = flags
+    return np.flatnonzero(framed[1:] != framed[:-1]).reshape(-1, 2)
+
+
 def repeated_words(short: np.ndarray, spans: list[tuple[int, bytes]]) -> np.ndarray:
     """Which words agree with earlier texts: each span is (first word, the earlier text's words from there on)."""
     covered = np.zeros(len(short) + 1, np.int32)
     for low, other in spans:
         theirs = np.frombuffer(other, "<u2")
         mine = short[low:low + len(theirs)]
-        same = np.r_[False, mine == theirs[:len(mine)], False]
-        change = np.flatnonzero(same[1:] != same[:-1])
-        for a, b in change.reshape(-1, 2):
+        for a, b in _runs(mine == theirs[:len(mine)]).tolist():
             if b - a >= LEAST_WORDS:
                 covered[low + a] += 1
                 covered[low + b] -= 1
@@ -129,13 +134,14 @@ def cut(text: str, gone: np.ndarray, lines: set[int]) -> tuple[list[int], int, s
     """(indexes of removed lines, words cut out of the others, the text that stays) without some words and whole lines."""
     removed, inside, kept, word, pending = [], 0, [], 0, []
     for i, line in enumerate(text.encode().split(b"\n")):
-        spots = [m.span() for m in _WORD.finditer(line)]
-        mine = gone[word:word + len(spots)]
-        word += len(spots)
-        if not spots:
+        words = len(line.split())  # bytes are split at the same blanks
+        mine = gone[word:word + words]
+        word += words
+        if not words:
             pending.append((i, line))
             continue
-        whole = i in lines or bool(mine.all())
+        lost = np.count_nonzero(mine)
+        whole = i in lines or lost == words
         # Blank lines between two removed lines go with them.
         if whole and removed and pending and removed[-1] == pending[0][0] - 1:
             removed += [j for j, _ in pending]
@@ -145,11 +151,13 @@ def cut(text: str, gone: np.ndarray, lines: set[int]) -> tuple[list[int], int, s
         if whole:
             removed.append(i)
             continue
-        edges = np.flatnonzero(np.diff(np.r_[False, mine, False].astype(np.int8))).reshape(-1, 2)
-        for a, b in edges[::-1].tolist():
-            if b - a >= CUT_WORDS:
-                inside += b - a
-                line = line[:spots[a][0]] + line[spots[b][0] if b < len(spots) else spots[b - 1][1]:]
+        # Where words lie is looked up only in lines that may lose some.
+        if lost >= CUT_WORDS:
+            spots = _runs(_SOLID[np.frombuffer(line, np.uint8)])
+            for a, b in _runs(mine)[::-1].tolist():
+                if b - a >= CUT_WORDS:
+                    inside += b - a
+                    line = line[:spots[a, 0]] + line[spots[b, 0] if b < words else spots[b - 1, 1]:]
         kept.append(line)
     return removed, inside, b"\n".join(kept + [x for _, x in pending]).decode()
 
@@ -175,10 +183,13 @@ def windows(text: str) -> list[tuple[int, int, int, int]]:
     raw = np.array(hashes, "<u8")
     data = raw.tobytes()
     # Shortest windows that start at a line, and that end at one.
-    last = np.searchsorted(total, total[:-1] + LEAST_WORDS)
-    first = np.searchsorted(total, total[1:] - LEAST_WORDS, "right") - 1
-    pairs = {(i, int(j)) for i, j in enumerate(last) if j <= n} | {(int(i), j + 1) for j, i in enumerate(first) if i >= 0}
-    return [(int(raw[i:j].min().view(np.int64)), xxhash.xxh64_intdigest(data[8 * i:8 * j]) - (1 << 63), place[i], place[j - 1])
+    last = np.searchsorted(total, total[:-1] + LEAST_WORDS).tolist()
+    first = (np.searchsorted(total, total[1:] - LEAST_WORDS, "right") - 1).tolist()
+    pairs = {(i, j) for i, j in enumerate(last) if j <= n} | {(i, j + 1) for j, i in enumerate(first) if i >= 0}
+    signed = raw.view("<i8").tolist()
+    # The least is that of the unsigned hashes.
+    least = lambda i, j: signed[i] if j == i + 1 else signed[min(range(i, j), key=hashes.__getitem__)]
+    return [(least(i, j), xxhash.xxh64_intdigest(data[8 * i:8 * j]) - (1 << 63), place[i], place[j - 1])
             for i, j in sorted(pairs)]
 
 
@@ -203,13 +214,21 @@ CUT = "struct<removed: array<int>, inside: int, kept: string>"
 def _cut_texts(texts: pa.Array, spans: pa.Array, lines: pa.Array) -> pa.Array:
     """``cut`` of texts with spans; a null text gives null."""
     out = []
-    for text, found, whole in zip(texts, spans, lines, strict=True):
-        if not text.is_valid:
-            out.append(None)
-            continue
-        hashes, _ = word_hashes(pa.array([text.as_py()]), fold=False)
-        gone = repeated_words((hashes >> np.uint64(48)).astype("<u2"), [(x["low"].as_py(), x["words"].as_py()) for x in found])
-        out.append(dict(zip(("removed", "inside", "kept"), cut(text.as_py(), gone, set(whole.as_py())), strict=True)))
+    for part in pieces(pa.RecordBatch.from_arrays([texts, spans, lines], ["text", "spans", "lines"]), 0, 3_000_000):
+        text = part.column(0)
+        hashes, counts = word_hashes(pc.fill_null(text, ""), fold=False)
+        short = (hashes >> np.uint64(48)).astype("<u2")
+        # Rows' parts of the flat arrays: words, spans and lines.
+        cuts = [np.r_[0, np.cumsum(n)].tolist() for n in (counts, *(pc.fill_null(pc.list_value_length(part.column(c)), 0) for c in (1, 2)))]
+        low, theirs = (x.to_pylist() for x in part.column(1).flatten().flatten())
+        whole = part.column(2).flatten().to_pylist()
+        for i, valid in enumerate(text.is_valid().to_pylist()):
+            if not valid:
+                out.append(None)
+                continue
+            w, f, g = (slice(c[i], c[i + 1]) for c in cuts)
+            gone = repeated_words(short[w], list(zip(low[f], theirs[f], strict=True)))
+            out.append(dict(zip(("removed", "inside", "kept"), cut(text[i].as_py(), gone, set(whole[g])), strict=True)))
     return pa.array(out, pa.struct([("removed", pa.list_(pa.int32())), ("inside", pa.int32()), ("kept", pa.string())]))
 
 

@@ -225,6 +225,31 @@ def test_winnowing_keeps_the_least_of_every_window():
     assert (units[at] == prints).all()
 
 
+def test_words_are_cut_for_a_whole_batch_at_once(monkeypatch):
+    """One pass of hashing per batch of texts, not one per text; rows with and without spans, nulls and sliced arrays."""
+    import pyarrow as pa
+
+    from fleetlens.llm import lines
+
+    rng = random.Random(5)
+    made = lambda n: [f"é{rng.randrange(900)}" for _ in range(n)]
+    passage = made(60)
+    other = (lines.word_hashes(pa.array([" ".join(passage)]), fold=False)[0] >> np.uint64(48)).astype("<u2").tobytes()
+    rows, want = [], []
+    for i in range(40):
+        a, b = made(rng.randrange(1, 30)), made(rng.randrange(0, 30))
+        text = " ".join(a) + "\t " + "\x0b".join(passage) + "\r\n\n" * (i % 2) + " " + " ".join(b) + " " * (i % 3)
+        rows += [(text, [{"low": len(a), "words": other}], []), (None, None, None), (text, [], [0]), ("", [], [])]
+        want += [(60, (a + b)), None, (0, b if i % 2 else []), (0, [])]
+    kinds = (pa.string(), pa.list_(pa.struct([("low", pa.int32()), ("words", pa.binary())])), pa.list_(pa.int32()))
+    arrays = [pa.array([("x", [{"low": 0, "words": other}], [0])[c], *[r[c] for r in rows]], k).slice(1) for c, k in enumerate(kinds)]
+    calls, whole = [], lines.word_hashes
+    monkeypatch.setattr(lines, "word_hashes", lambda *a, **k: calls.append(1) or whole(*a, **k))
+    got = lines._cut_texts(*arrays).to_pylist()
+    assert len(calls) == 1
+    assert [None if g is None else (g["inside"], g["kept"].split()) for g in got] == want
+
+
 @pytest.mark.parametrize("hits", [20, 5000])
 def test_passages_inside_lines_are_cut(spark, monkeypatch, hits):
     """Against every repeated run of 50 words, found word by word; also with first places dealt over several tasks."""
