@@ -68,6 +68,7 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
             here = (left << np.uint32(16)) | right
         else:
             here = (left.astype(np.uint64) << np.uint64(32)) | right
+        del left, right
         ordered = np.sort(here)
         start = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][:len(ordered)])
         count = np.diff(np.r_[start, len(ordered)])
@@ -77,6 +78,7 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
         least = max(LEAST, min(top, (least or top) // STEP))
         pick = count >= least
         found, count = ordered[start[pick]], count[pick]
+        del ordered, start, pick
         rank = np.argsort(count, kind="stable")
         bits = min(TABLE_BITS, len(found).bit_length() + 5)
         slots = _slots(here, bits)
@@ -91,11 +93,13 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
             at, which = tried[same], which[same]
             kept = _apart(at, which, count)
             at, which = at[kept], which[kept]
+            del table, hit, same, kept
             good = np.bincount(which, minlength=len(found)) >= LEAST
             if good.any():
                 break
             # They take each other's places: the more frequent half first, in the end one pair alone.
             rank, whole = rank[len(rank) // 2:], False
+        del here, slots, places
         pays = good[which]
         at, which = at[pays], (np.cumsum(good) - 1)[which[pays]]
         seq[at] = first + made + which

@@ -12,6 +12,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -113,6 +114,24 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def _forget() -> None:
+    """Python workers serve one stage after the other: those of a stage that encodes nothing give the words back."""
+    _ENCODERS.clear()
+    pa.default_memory_pool().release_unused()
+
+
+@contextmanager
+def _short_batches(spark: SparkSession):
+    """Tables written inside exchange at most two pieces of text at a time with Python; a longer row goes alone."""
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, str(2 * PIECE))
+    try:
+        yield
+    finally:
+        spark.conf.set(conf, before)
+
+
 def _shard(part: int, number: int, doc_ids: list, lengths: list[int], data: list) -> pa.RecordBatch:
     """A shard's row. Its different ids are numbered first (``terminals``), so symbols need few bytes, and rules follow."""
     size = np.array(lengths, np.int64)
@@ -175,10 +194,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, id_co
     place = [F.col(order_col).alias("place")] if order_col else []
     order = [F.col("place").asc_nulls_last()] if order_col else []
     order += [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *place)
-     .repartitionByRange(shuffle_partitions(spark), *order[:-1])
-     .sortWithinPartitions(*order)
-     .mapInArrow(_encode(tokenizer), SHARDS).write.parquet(path))
+    shards = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *place)
+              .repartitionByRange(shuffle_partitions(spark), *order[:-1])
+              .sortWithinPartitions(*order)
+              .mapInArrow(_encode(tokenizer), SHARDS))
+    with _short_batches(spark):
+        shards.write.parquet(path)
     return path
 
 
@@ -204,6 +225,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    _forget()
     part, number = TaskContext.get().partitionId(), 0
     doc_ids, lengths, data, total = [], [], [], 0
     for batch in batches:
@@ -229,13 +251,16 @@ def write_encoded(rows: DataFrame, order_col: str, path: str | None = None) -> s
     spark = rows.sparkSession
     path = path or fresh_path(spark, "tokens")
     order = [F.col(order_col).asc_nulls_last(), F.col("doc_id").asc_nulls_first(), F.col("text_key")]
-    (rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-     .select("doc_id", "ids").mapInArrow(_shards, SHARDS).write.parquet(path))
+    shards = (rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+              .select("doc_id", "ids").mapInArrow(_shards, SHARDS))
+    with _short_batches(spark):
+        shards.write.parquet(path)
     return path
 
 
 def _decode(with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
         for batch in batches:
             for row in batch.to_pylist():
                 ids = _unpacked(row)

@@ -307,6 +307,54 @@ def test_token_files_of_nothing(spark):
     assert tokens.read_tokens(spark, path).count() == 0
 
 
+def test_workers_that_encode_nothing_hold_no_words(monkeypatch):
+    class Task:
+        get = partitionId = staticmethod(lambda: Task)
+
+    path = queries.tokenizer_path()
+    monkeypatch.setattr(tokens, "TaskContext", Task)
+    for stage in (tokens._shards, tokens._decode(False)):
+        assert len(tokens.encoder(path).encode(pa.array(["some words"]))) == 1 and tokens._ENCODERS
+        assert list(stage(iter([]))) == [] and not tokens._ENCODERS
+
+
+def test_token_files_are_made_of_short_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokens, "PIECE", 1_000)
+
+    def count(batches):
+        for n, batch in enumerate(batches, 1):
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for f, v in zip(kinds, [0, n, *[None] * 8], strict=True)], kinds.names)
+
+    kinds = pa.schema([(c.split()[0], pa.int32() if c.endswith("int") and "bigint" not in c else pa.list_(pa.int64()) if "array" in c else
+                        pa.int64() if "bigint" in c else pa.binary()) for c in tokens.SHARDS.split(", ")])
+    monkeypatch.setattr(tokens, "_encode", lambda path: count)
+    monkeypatch.setattr(tokens, "_shards", count)
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(conf)
+    docs = documents(spark, [(1, "x" * 500)] * 100, clash=False).coalesce(1)
+    rows = docs.select("doc_id", F.lit(0).alias("text_key"), F.col("text").cast("binary").alias("ids"), F.lit(0).alias("place"))
+    for path in (tokens.write_tokens(docs, "", str(tmp_path / "t")), tokens.write_encoded(rows, "place", str(tmp_path / "e"))):
+        assert spark.read.schema(tokens.SHARDS).parquet(path).agg(F.max("shard")).first()[0] >= 10
+    assert spark.conf.get(conf) == before
+
+
+def test_a_grammar_takes_few_bytes_an_id():
+    import tracemalloc
+
+    import numpy as np
+
+    from fleetlens.llm import repair
+
+    ids = np.random.default_rng(1).zipf(1.3, 400_000).clip(max=40_000).astype(np.uint32)
+    tracemalloc.start()
+    try:
+        repair.compress(ids, np.full(400, 1_000))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak <= 54 * len(ids)
+
+
 @pytest.mark.parametrize("ids", [[], [5], [3, 3, 3, 3, 3] * 200, [1, 2] * 500, list(range(70_000)) * 2, [9] * 3 + [70_000, 1] * 200])
 def test_grammar_round_trip(ids):
     import numpy as np
