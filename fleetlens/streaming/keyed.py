@@ -151,7 +151,7 @@ class HeldWork(Rule):
 
 
 def in_order(df: DataFrame, keys: list[str], order: list[str], rule: Rule, event_time: str = "ts",
-             watermark: str = "10 minutes", retain_ms: int = 0) -> DataFrame:
+             watermark: str = "10 minutes", retain_ms: int = 0, buckets: int | None = None) -> DataFrame:
     """``keys``, the rule's outputs and ``MARKS`` for a stream with the timestamp ``event_time``.
 
     Rows of a key are handled by (event time, ``order``). Late rows have ``late`` set, their time in ``t_ms`` and no
@@ -166,6 +166,10 @@ def in_order(df: DataFrame, keys: list[str], order: list[str], rule: Rule, event
     Spark's Python side hands back the states of keys only together with output rows, so a key without any gives one row of
     nulls, which is dropped here: a worker then holds the states of as many keys as a batch has rows (``short_batches``), not
     those of its whole partition.
+
+    A call to Python costs far more than a row in it. With ``buckets`` keys are dealt over that many groups by their hash, a
+    group's keys are handled in one call and their states are one value: for triggers that touch most keys, as each rewrites
+    the states of the groups that it touches. The number belongs to the stream's checkpoint.
     """
     t = F.unix_millis(F.col(event_time).cast("timestamp"))
     cols = list(dict.fromkeys([*order, *[c for c in rule.inputs if c != "__t"]]))
@@ -179,19 +183,22 @@ def in_order(df: DataFrame, keys: list[str], order: list[str], rule: Rule, event
     names = [f.name for f in schema]
     blank = [None] * (len(names) - len(keys) - 2)
 
-    def handle(key, batches, state: GroupState):
-        now, (own, waiting, last) = state.getCurrentWatermarkMs(), (pickle.loads(state.get[0]) if state.exists else (rule.start(), [], 0))
-        out = []
-        if not state.hasTimedOut:
-            for pdf in batches:
-                given = {k: [v] * len(pdf) for k, v in zip(keys, key, strict=True)}
-                place = list(zip(*[pdf[c].tolist() if c in pdf else given[c] for c in ["__t", *order]], strict=True))
-                body = zip(*[pdf[c].tolist() if c in pdf else given[c] for c in rule.inputs], strict=True)
-                for p, b in zip(place, body, strict=True):
-                    if p[0] <= now:
-                        out.append((*key, *blank, True, p[0]))
-                    else:
-                        waiting.append((p, b))
+    def arrivals(batches, given):
+        """Key, place and inputs of every row. ``given`` names keys that are the same for all."""
+        for pdf in batches:
+            def column(c, pdf=pdf):
+                return given[c] * len(pdf) if c in given else pdf[c].tolist()
+            yield from zip(zip(*[column(k) for k in keys], strict=True), zip(*[column(c) for c in ["__t", *order]], strict=True),
+                           zip(*[column(c) for c in rule.inputs], strict=True), strict=True)
+
+    def advance(key, held, new, now, out):
+        """State of a key, or None once it is forgotten, and when it is to be called without rows."""
+        own, waiting, last = held or (rule.start(), [], 0)
+        for p, b in new:
+            if p[0] <= now:
+                out.append((*key, *blank, True, p[0]))
+            else:
+                waiting.append((p, b))
         waiting.sort(key=lambda r: r[0])
         n = sum(p[0] <= now for p, _ in waiting)
         ready, waiting = waiting[:n], waiting[n:]
@@ -219,18 +226,49 @@ def in_order(df: DataFrame, keys: list[str], order: list[str], rule: Rule, event
 
         ended = rule.ended(own) and not waiting
         if ended and now >= last + retain_ms:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((pickle.dumps((own, waiting, last)),))
-            due = [w[0][0] for w in waiting[:1]] + [d for d in [rule.deadline(own)] if d is not None] + ([last + retain_ms] if ended else [])
-            if due:
-                state.setTimeoutTimestamp(max(min(due), now + 1))
-        out = out or [(*key, *blank, None, None)]
-        yield pd.DataFrame({c: pd.Series(list(v), dtype=object) for c, v in zip(names, zip(*out, strict=True), strict=True)})
-
-    return rows.groupBy(*keys).applyInPandasWithState(
-        handle, schema, T.StructType([T.StructField("s", T.BinaryType())]), "append",
+            return None, None
+        due = [w[0][0] for w in waiting[:1]] + [d for d in [rule.deadline(own)] if d is not None] + ([last + retain_ms] if ended else [])
+        return (own, waiting, last), max(min(due), now + 1) if due else None
+
+    def put(state, held, due):
+        if held:
+            state.update((pickle.dumps(held),))
+            if due is not None:
+                state.setTimeoutTimestamp(due)
+        elif state.exists:
+            state.remove()
+
+    def table(out):
+        out = out or [(*[None] * len(keys), *blank, None, None)]
+        return pd.DataFrame({c: pd.Series(list(v), dtype=object) for c, v in zip(names, zip(*out, strict=True), strict=True)})
+
+    def handle(key, batches, state: GroupState):
+        now, out = state.getCurrentWatermarkMs(), []
+        new = [] if state.hasTimedOut else [row[1:] for row in arrivals(batches, {k: [v] for k, v in zip(keys, key, strict=True)})]
+        put(state, *advance(key, pickle.loads(state.get[0]) if state.exists else None, new, now, out))
+        yield table(out)
+
+    def handle_bucket(bucket, batches, state: GroupState):
+        now, out, new = state.getCurrentWatermarkMs(), [], {}
+        held = pickle.loads(state.get[0]) if state.exists else {}
+        if not state.hasTimedOut:
+            for key, *row in arrivals(batches, {k: [None] for k, null in zip(keys, bucket[1:], strict=True) if null}):
+                new.setdefault(key, []).append(row)
+        for key in [*new, *[k for k, (_, due) in held.items() if due is not None and due <= now and k not in new]]:
+            found = advance(key, held.pop(key, (None, None))[0], new.get(key, []), now, out)
+            if found[0]:
+                held[key] = found
+        put(state, held, min((due for _, due in held.values() if due is not None), default=None))
+        yield table(out)
+
+    by = keys
+    if buckets is not None:
+        # A column of a group is all null or not at all, so that whole numbers come to Python as such.
+        rows = rows.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        rows = rows.select("*", *[F.col(k).isNull().alias(f"__null_{k}") for k in keys])
+        by = ["__bucket", *[f"__null_{k}" for k in keys]]
+    return rows.groupBy(*by).applyInPandasWithState(
+        handle if buckets is None else handle_bucket, schema, T.StructType([T.StructField("s", T.BinaryType())]), "append",
         GroupStateTimeout.EventTimeTimeout).where(F.col("late").isNotNull())
 
 

@@ -32,13 +32,13 @@ RETAIN_MS = 60 * 86_400_000
 
 
 def scan_stream(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], fold: Scan,
-                event_time: str | None = None, watermark: str = WATERMARK) -> DataFrame:
+                event_time: str | None = None, watermark: str = WATERMARK, buckets: int | None = None) -> DataFrame:
     """The streaming form of :func:`operators.ordered.scan`: each row with the
-    fold's outputs, state carried across triggers."""
+    fold's outputs, state carried across triggers. ``buckets``: see :func:`keyed.in_order`."""
     if event_time:
         keep = [c for c in df.columns if c not in (*keys, event_time, "t_ms")]
         rule = keyed.Folded(fold, df.schema, inputs, keep)
-        return keyed.in_order(df, keys, order, rule, event_time, watermark, RETAIN_MS)
+        return keyed.in_order(df, keys, order, rule, event_time, watermark, RETAIN_MS, buckets)
     fields = df.schema.fields + T._parse_datatype_string(
         ", ".join(f"{n} {t}" for n, t in fold.outputs.items())).fields
     state_schema = T.StructType([T.StructField("s", T.ArrayType(T.DoubleType()))])
@@ -54,10 +54,11 @@ def scan_stream(df: DataFrame, keys: list[str], order: list[str], inputs: list[s
         handle, T.StructType(fields), state_schema, "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_lifecycle(events: DataFrame, order: list[str], event_time: str | None = None, watermark: str = WATERMARK) -> DataFrame:
+def stream_lifecycle(events: DataFrame, order: list[str], event_time: str | None = None, watermark: str = WATERMARK,
+                     buckets: int | None = None) -> DataFrame:
     coded = events.select("task_id", *order, *([event_time] if event_time else []), "task_event",
                           live.code_of(F.col("task_event"), EVENTS).alias("code"))
-    got = scan_stream(coded, ["task_id"], order, ["code"], StateMachine("code", live.transition_table()), event_time, watermark)
+    got = scan_stream(coded, ["task_id"], order, ["code"], StateMachine("code", live.transition_table()), event_time, watermark, buckets)
     return got.withColumn("state", live.name_of(F.col("state_code"), STATES)).drop("code", "state_code")
 
 

@@ -193,3 +193,18 @@ def test_in_order_leaves_out_events_without_a_time(spark, tmp_path):
     got = Q.stream_in_order(spark, str(tmp_path)).collect()
     assert len(got) == 7 and sum(r.late + r.applied + r.illegal for r in got) == 200
     assert sum(r.late for r in got) > 0
+
+
+def test_keys_in_buckets_give_the_same_rows(spark, deal):
+    rows = [(*r[:3], None if r[3] == 5 else r[3], *r[4:]) for r in make_log(300)]
+    slices = shuffled(rows, 6)
+
+    def make(s, **kw):
+        return K.in_order(s, ["task_id"], ["event_id"], K.Lease(120_000), watermark="10 minutes", **kw)
+    alone, _ = deal(slices, make, "alone")
+    got, q = deal(slices, lambda s: make(s, buckets=3), "buckets", stop_after=2)
+    assert bag(got, drop=()) == bag(alone, drop=())
+    assert any(r.late for r in got) and any(r.task_id is None and not r.late for r in got)
+    # Keys without a value are a group of their own.
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert 0 < max(states) <= 3 + 1 and states[-1] == 0
